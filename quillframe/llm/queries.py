@@ -5,19 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillframe.llm import minhash_oph, sql
+from quillframe.llm import license_scan, minhash_oph, secret_scan, sql, url_trust
 from quillframe.llm._common import table
 
 
+def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge(table(spark, sf_dir, "pages"), sql.RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("found", lambda x: x.base)
+    starts = F.transform(base, lambda x: x.start.cast("long"))
+    names = lambda xs: F.array_join(F.array_sort(F.array_distinct(F.transform(xs, lambda x: x.label))), ",")
+    return license_scan.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        names(base).alias("base_labels"),
+        names(F.col("found")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda x: x.share)), F.lit(0.0)).alias("score"),
+    )
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long")
+    return secret_scan.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *(count(i).alias(f"n_{k}") for i, k in enumerate(secret_scan.KINDS[:3])),
+        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.listed(F.concat("base", "random")).alias("spans"),
+    )
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_oph.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_trust": op1_url_trust,
+    "op2_license_scan": op2_license_scan,
+    "op3_secret_scan": op3_secret_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_trust": sql.op1(),
+    "op2_license_scan": sql.op2(),
     "op8_minhash_near_dedup": sql.OP8,
 }

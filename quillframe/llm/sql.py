@@ -1,10 +1,66 @@
 """DuckDB SQL that gives the same rows as the queries, by plain and exact means."""
 
+from quillframe.llm import license_scan, url_trust
+
+FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op1(rules: list[tuple[str, str]] = RULES) -> str:
+    """Rules and the propagation unrolled step by step."""
+    fit = [(v, r, *r.partition("/")[::2]) for v, r in sorted(rules, key=lambda x: -len(x[1]))]
+    case = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN {i}" for i, (_, _, h, p) in enumerate(fit)) + " END"
+    link = url_trust.LINK.replace("'", "''")
+    steps = "".join(
+        f""", s{i} AS (SELECT kind, host, sum(mass) AS mass FROM (SELECT f.kind, f.dest AS host, s.mass * f.share AS mass FROM s{i - 1} s JOIN flow f ON s.kind = f.kind AND s.host = f.host
+        UNION ALL SELECT * FROM s0) GROUP BY ALL)"""
+        for i in range(1, url_trust.STEPS + 1)
+    )
+    last = f"s{url_trust.STEPS}"
+    return rf"""
+WITH u AS (SELECT page_id, html, coalesce(url, '') AS url FROM pages),
+h AS (SELECT page_id, html, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {FOLD}) AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
+p AS (SELECT *, {case} AS r FROM h),
+q AS (SELECT *, ([{", ".join(f"'{r}'" for _, r, _, _ in fit)}])[r + 1] AS rule, ([{", ".join(f"'{v}'" for v, _, _, _ in fit)}])[r + 1] AS verdict FROM p),
+seeds AS (SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0 ELSE 0.0 END) AS t, avg(CASE WHEN verdict = 'block' THEN 1.0 ELSE 0.0 END) AS b FROM q WHERE host <> '' GROUP BY host),
+l AS (SELECT host AS source, translate(unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '{link}', 1))), {FOLD}) AS target FROM h),
+e AS (SELECT source, target, count(*) AS w FROM l WHERE source <> '' AND target <> '' AND source <> target GROUP BY ALL),
+k AS (SELECT 't' AS kind, source AS host, target AS dest, w FROM e UNION ALL SELECT 'b', target, source, w FROM e),
+flow AS (SELECT kind, host, dest, {url_trust.DAMPING} * w / sum(w) OVER (PARTITION BY kind, host) AS share FROM k),
+s0 AS (SELECT kind, host, start * {1 - url_trust.DAMPING} AS mass FROM (SELECT 't' AS kind, host, t AS start FROM seeds UNION ALL SELECT 'b', host, b FROM seeds) WHERE start > 0){steps},
+tot AS (SELECT kind, sum(mass) AS total FROM {last} GROUP BY kind),
+sc AS (SELECT host, sum(CASE WHEN kind = 't' THEN mass / total ELSE 0 END) AS trust, sum(CASE WHEN kind = 'b' THEN mass / total ELSE 0 END) AS distrust FROM {last} JOIN tot USING (kind) GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) > {url_trust.THRESHOLD} * (coalesce(trust, 0) + coalesce(distrust, 0)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM q LEFT JOIN sc USING (host)
+"""
+
+
+def op2() -> str:
+    """Every template word is matched wherever it stands, without an index; places are counted together."""
+    rows = []
+    for i, t in enumerate(license_scan.TEMPLATES):
+        words, phrase = t.text.split(), t.phrase.split()
+        at = next(k for k in range(len(words)) if words[k : k + len(phrase)] == phrase)
+        rows += [f"({i}, '{t.label}', {t.base}, {j}, '{w}', {int(at <= j < at + len(phrase))}, {len(phrase)}, {len(words)})" for j, w in enumerate(words)]
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {FOLD}), '{license_scan.WORD}') AS w FROM documents),
+t(tid, label, base, j, word, must, n_must, n) AS (VALUES {", ".join(rows)}),
+v AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+m AS (SELECT doc_id, tid, label, base, pos - j AS start, n, n_must, count(*) AS c, sum(must) AS cm FROM v JOIN t USING (word) GROUP BY ALL),
+f AS (SELECT *, c / n::DOUBLE AS share FROM m WHERE cm = n_must AND c / n::DOUBLE >= {license_scan.KEEP}),
+a AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM f GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
 OP8 = r"""
 WITH RECURSIVE
-d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-      ELSE list_transform(range(1, len(w) - 2), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS g FROM d),
+      ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS g FROM d),
 n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
 e AS (SELECT doc_id, hash(unnest(g)) AS h FROM s),
 common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL),
