@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import license_scan, minhash_oph, secret_scan, sql, url_trust
+from quillframe.llm import decontam, license_scan, minhash_oph, pfair_mix, secret_scan, sql, url_trust
 from quillframe.llm._common import table
 
 
@@ -41,6 +41,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_oph.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -49,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_trust": op1_url_trust,
     "op2_license_scan": op2_license_scan,
     "op3_secret_scan": op3_secret_scan,
+    "op6_bm25_decontamination": op6_bm25_decontamination,
+    "op7_pfair_mixing": op7_pfair_mixing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
