@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import decontam, license_scan, minhash_oph, pfair_mix, secret_scan, sql, url_trust
+from quillframe.llm import ann_rabitq, decontam, license_scan, minhash_oph, pfair_mix, quality_bt, secret_scan, sql, toxicity_nb, url_trust
 from quillframe.llm._common import table
 
 
@@ -41,6 +41,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_bt.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_nb.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,17 +61,25 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_oph.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op9_ann_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_rabitq.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_trust": op1_url_trust,
     "op2_license_scan": op2_license_scan,
     "op3_secret_scan": op3_secret_scan,
+    "op4_quality_ranking": op4_quality_ranking,
+    "op5_toxicity_nb": op5_toxicity_nb,
     "op6_bm25_decontamination": op6_bm25_decontamination,
     "op7_pfair_mixing": op7_pfair_mixing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_ann_rabitq": op9_ann_rabitq,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_trust": sql.op1(),
     "op2_license_scan": sql.op2(),
     "op8_minhash_near_dedup": sql.OP8,
+    "op9_ann_rabitq": sql.OP9,
 }
