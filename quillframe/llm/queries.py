@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import ann_rabitq, decontam, license_scan, minhash_oph, pfair_mix, quality_bt, secret_scan, sql, toxicity_nb, url_trust
+from quillframe.llm import ann_rabitq, decontam, langid_viterbi, license_scan, minhash_oph, pfair_mix, quality_bt, secret_scan, sql, toxicity_nb, url_trust
 from quillframe.llm._common import table
 
 
@@ -65,6 +65,10 @@ def op9_ann_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_rabitq.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op10_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid_viterbi.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_trust": op1_url_trust,
     "op2_license_scan": op2_license_scan,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pfair_mixing": op7_pfair_mixing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_ann_rabitq": op9_ann_rabitq,
+    "op10_language_viterbi": op10_language_viterbi,
 }
 
 ORACLE_SQL: dict[str, str] = {
