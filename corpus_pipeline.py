@@ -1,18 +1,43 @@
-"""The corpus pipeline: STAGES over documents, each written as Parquet and reread as the next one's documents."""
+"""The corpus pipeline: STAGES over documents, each written as Parquet and reread as the next one's documents.
+
+Every stage but the last returns the columns of documents; the last adds mix_slot, mix_block and mix_position, the place of
+each document in the mixed order. No stage has an equal in SQL (learned scores come first), so ORACLE_SQL is None.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillframe.llm import decontam, minhash_oph, pfair_mix, quality_bt, secret_scan
 from quillframe.llm._common import table, written
-from quillframe.llm.minhash_oph import one_of_each
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality ranking does not reject."""
+    return quality_bt.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs, k=5, percent=80)
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the least doc_id."""
+    return minhash_oph.one_of_each(docs, k=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without secrets."""
+    return secret_scan.without_secrets(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents left, with their place in the mix of sources."""
+    return pfair_mix.mix(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("quality classifier", quality), ("near dedup", near_dedup), ("decontamination", decontaminate), ("secret scan", secrets), ("mixing", mixing)]
 
 ORACLE_SQL = None
 
