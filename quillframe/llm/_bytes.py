@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are worked on at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _MOD = 1 << 16
 
 

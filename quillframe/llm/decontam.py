@@ -2,15 +2,16 @@
 
 Every window of a document's words is a query. Impacts are BM25 contributions divided by the score that the item gets
 from its own text, so one threshold fits all items: a window retrieves an item if it scores at least THRESHOLD of that.
-WAND's upper bounds work at three levels, each exact: a window whose words' largest impacts add up to less than the
-threshold retrieves nothing (one running sum over the document); nor does, for the rest, a block of items in which the
-words' largest block impacts add up to less; within the blocks left, items are scored in full. What is retrieved is
+WAND's upper bounds work at three levels, each exact. Common words are chosen so that no item gets more than COMMON of its
+score from them; so a window retrieves nothing if the largest impacts of its other words add up to less than the rest of
+the threshold (one running sum over the document). Nor does, for the windows left, a block of items in which the words'
+largest block impacts add up to less than the threshold; within the blocks left, items are scored in full. What is retrieved is
 verified on the document's words around the window: at least Q_OVERLAP of the question's and A_OVERLAP of the answer's
 five-word runs (the whole, if it has fewer words) must stand there. The answer is what follows the last "answer:" of an
 item; without that, its last sentence.
 
-Items are indexed by length class, with windows half as long again as the class's longest item, so that every copy of an
-item lies within some window. An index is built on the driver from one block of about ITEMS_A_PASS items at most, and that
+Items are indexed by length class, with windows twice as long as the class's longest item at every such length, so that
+every copy of an item lies within some window. The windows of many documents are searched at once, in array operations. An index is built on the driver from one block of about ITEMS_A_PASS items at most, and that
 is what executors get; more items take more passes over the documents. Document frequencies and the mean length are those
 of all items in any case.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from quillframe.llm._bytes import alnum_split, mix, seeds, word_rows
 from quillframe.llm._common import small, written
 
-K1, B, THRESHOLD, Q_OVERLAP, A_OVERLAP = 1.2, 0.75, 0.5, 0.6, 0.6
+K1, B, THRESHOLD, COMMON, Q_OVERLAP, A_OVERLAP = 1.2, 0.75, 0.5, 0.25, 0.6, 0.6
 SHORTEST, BLOCK, RUN = 64, 16, 5
 ITEMS_A_PASS, ITEM_BYTES_A_PASS = 20_000, 32_000_000
 
@@ -41,7 +42,8 @@ class Index:
     ids: list[int]
     window: int
     vocabulary: np.ndarray
-    most: np.ndarray  # largest impact of each word
+    most: np.ndarray  # largest impact of each word, 0 for common ones
+    common: float  # the most that any item gets from common words
     starts: np.ndarray  # postings of word t are starts[t]:starts[t + 1] of items and impacts
     items: np.ndarray
     impacts: np.ndarray
@@ -91,7 +93,7 @@ def build(items: list[tuple[int, str]], df: dict[int, int], n_items: int, mean_w
         h = word_hashes(text)
         if len(h):
             classes.setdefault(length_class(len(h)), []).append((i, text, h))
-    return [_build(x, size * 3 // 2, df, n_items, mean_words) for size, x in sorted(classes.items())]
+    return [_build(x, 2 * size, df, n_items, mean_words) for size, x in sorted(classes.items())]
 
 
 def _build(items: list[tuple[int, str, np.ndarray]], window: int, df: dict[int, int], n_items: int, mean_words: float) -> Index:
@@ -111,53 +113,86 @@ def _build(items: list[tuple[int, str, np.ndarray]], window: int, df: dict[int,
     np.maximum.at(block_most, group, impact)
     most = np.zeros(len(vocabulary))
     np.maximum.at(most, word, impact)
+    got, common = np.zeros(len(items)), np.zeros(len(vocabulary), bool)
+    starts = np.searchsorted(word, bounds)
+    for w in np.argsort(-np.diff(starts), kind="stable"):
+        of = slice(starts[w], starts[w + 1])
+        if (got[item[of]] + impact[of]).max() <= COMMON:
+            got[item[of]] += impact[of]
+            common[w] = True
+    most[common] = 0
     part = lambda text: (min(RUN, len(h := word_hashes(text))), np.unique(runs(h, min(RUN, len(h)))))
     halves = [tuple(map(part, split_answer(text))) for _, text, _ in items]
-    return Index([i for i, _, _ in items], window, vocabulary, most, np.searchsorted(word, bounds), item, impact, np.searchsorted(key // (len(items) + 1), bounds), key % (len(items) + 1), block_most, halves)
+    return Index([i for i, _, _ in items], window, vocabulary, most, float(got.max()), starts, item, impact, np.searchsorted(key // (len(items) + 1), bounds), key % (len(items) + 1), block_most, halves)
 
 
 def _slices(starts: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.arange(starts[t], starts[t + 1]) for t in terms])
-
-
-def search(index: Index, h: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, int, float]]:
-    """(item number, from, to, score) of each window of the word sequence and each item that it retrieves."""
-    if not len(h):
+    """Positions of the postings of these words, one after another."""
+    lengths = starts[terms + 1] - starts[terms]
+    return np.arange(lengths.sum()) + np.repeat(starts[terms] - np.append(0, np.cumsum(lengths)[:-1]), lengths)
+
+
+def search(index: Index, h: np.ndarray, first: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, int, float]]:
+    """(row, item number, first word, score) of each window that retrieves an item, over rows of words h[first[i]:first[i + 1]]; windows of a row in order."""
+    least, stride, n_items, n_words = threshold - 1e-9, index.window // 2, len(index.ids), len(index.vocabulary)
+    lengths = np.diff(first)
+    per_row = np.where(lengths > 0, np.maximum(1, -(-(lengths - stride) // stride)), 0)
+    from_row = np.concatenate([[0], np.cumsum(per_row)])
+    row_of = np.repeat(np.arange(len(lengths)), per_row)
+    lows = first[row_of] + stride * (np.arange(from_row[-1]) - from_row[row_of])
+    if not len(lows):
         return
-    least = threshold - 1e-9
-    at = np.minimum(np.searchsorted(index.vocabulary, h), len(index.vocabulary) - 1)
+    at = np.minimum(np.searchsorted(index.vocabulary, h), n_words - 1)
     known = index.vocabulary[at] == h
     running = np.concatenate([[0.0], np.cumsum(np.where(known, index.most[at], 0.0))])
-    stride = index.window // 3
-    lows = np.arange(0, max(1, len(h) - index.window + stride), stride)
-    highs = np.minimum(lows + index.window, len(h))
-    for w in np.flatnonzero(running[highs] - running[lows] >= least):
-        lo, hi = int(lows[w]), int(highs[w])
-        terms = np.unique(at[lo:hi][known[lo:hi]])
-        if index.most[terms].sum() < least:
-            continue
-        of = _slices(index.block_starts, terms)
-        alive = np.bincount(index.blocks[of], index.block_most[of], minlength=len(index.ids) // BLOCK + 1) >= least
-        if not alive.any():
-            continue
-        of = _slices(index.starts, terms)
-        of = of[alive[index.items[of] // BLOCK]]
-        score = np.bincount(index.items[of], index.impacts[of])
-        for i in np.flatnonzero(score >= least):
-            yield int(i), lo, hi, float(score[i])
-
-
-def held(index: Index, h: np.ndarray, threshold: float = THRESHOLD, question: float = Q_OVERLAP, answer: float = A_OVERLAP) -> list[tuple[int, float, float, float, int]]:
-    """(item id, score, question overlap, answer overlap, first word of the window) of each item that a word sequence holds, from its best verified window."""
-    best: dict[int, tuple[float, float, float, int]] = {}
-    for i, lo, hi, score in search(index, h, threshold):
-        if i in best and best[i][0] >= score:
+    open_ = running[np.minimum(lows + index.window, first[row_of + 1])] - running[lows] >= least - index.common
+    place = np.flatnonzero(known)
+    row = np.searchsorted(first, place, "right") - 1
+    last = (place - first[row]) // stride
+    pairs = []
+    for k in (last - 1, last):  # a word stands in the two windows that begin at most one window before it
+        ok = (k >= 0) & (k < per_row[row])
+        window = from_row[row[ok]] + k[ok]
+        live = open_[window]
+        pairs.append(window[live] * n_words + at[place[ok][live]])
+    window, word = np.divmod(np.unique(np.concatenate(pairs)), n_words)
+    ends = [*np.searchsorted(window, window[50_000::50_000]), len(window)]
+    for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+        yield from _score(index, window[lo:hi], word[lo:hi], least, row_of, lows, n_items)
+
+
+def _score(index: Index, window: np.ndarray, word: np.ndarray, least: float, row_of: np.ndarray, lows: np.ndarray, n_items: int) -> Iterator[tuple[int, int, int, float]]:
+    """Blocks by their upper bounds, then the items of the blocks left, for (window, word) pairs in order of windows."""
+    if not len(window):
+        return
+    names, number = np.unique(window, return_inverse=True)
+    n_blocks = n_items // BLOCK + 1
+    of = _slices(index.block_starts, word)
+    cell = np.repeat(number, index.block_starts[word + 1] - index.block_starts[word]) * n_blocks + index.blocks[of]
+    alive = np.bincount(cell, index.block_most[of], minlength=len(names) * n_blocks) >= least
+    live = alive.reshape(-1, n_blocks).any(axis=1)[number]
+    word, number = word[live], number[live]
+    of = _slices(index.starts, word)
+    many = np.repeat(number, index.starts[word + 1] - index.starts[word])
+    ok = alive[many * n_blocks + index.items[of] // BLOCK]
+    key, inverse = np.unique(many[ok] * n_items + index.items[of][ok], return_inverse=True)
+    score = np.bincount(inverse, index.impacts[of][ok], minlength=len(key))
+    for i in np.flatnonzero(score >= least):
+        w, item = divmod(int(key[i]), n_items)
+        yield int(row_of[names[w]]), item, int(lows[names[w]]), float(score[i])
+
+
+def held(index: Index, h: np.ndarray, first: np.ndarray, threshold: float = THRESHOLD, question: float = Q_OVERLAP, answer: float = A_OVERLAP) -> list[tuple[int, int, float, float, float, int]]:
+    """(row, item id, score, question overlap, answer overlap, first word of the window) of each item that a row of words holds, from its best verified window."""
+    best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
+    for row, item, low, score in search(index, h, first, threshold):
+        if (row, item) in best and best[row, item][0] >= score:
             continue
-        around = h[max(0, lo - index.window) : hi + index.window]
-        oq, oa = (float(np.isin(part, runs(around, n)).mean()) if n else 1.0 for n, part in index.halves[i])
+        around = h[max(first[row], low - index.window) : min(first[row + 1], low + 2 * index.window)]
+        oq, oa = (float(np.isin(part, runs(around, n)).mean()) if n else 1.0 for n, part in index.halves[item])
         if oq >= question and oa >= answer:
-            best[i] = (score, oq, oa, lo)
-    return [(index.ids[i], *v) for i, v in sorted(best.items())]
+            best[row, item] = (score, oq, oa, low - int(first[row]))
+    return [(row, index.ids[item], *v) for (row, item), v in sorted(best.items())]
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +239,8 @@ def _finder(index, threshold: float, question: float, answer: float):
             rows = []
             ids = batch.column(0)
             for lo, first, h in word_rows(batch.column(1), words):
-                for i in range(len(first) - 1):
-                    for part in index.value:
-                        rows += [(ids[lo + i].as_py(), *x) for x in held(part, h[first[i] : first[i + 1]], threshold, question, answer)]
+                for part in index.value:
+                    rows += [(ids[lo + i].as_py(), *x) for i, *x in held(part, h, first, threshold, question, answer)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "word"])
