@@ -1,7 +1,8 @@
 """Licence labels from a positional index of rare words.
 
-Templates are word sequences with a mandatory phrase. Document frequencies of the templates' words are counted over the
-whole corpus; each template is indexed under the position of the word of its mandatory phrase with the highest IDF. A
+Templates are word sequences with a mandatory phrase. Document frequencies of the phrases' words are counted over the
+whole corpus (as substrings, so a file that has a word is never missed and no file has to be split for it); each template is
+indexed under the position of the word of its mandatory phrase with the highest IDF. A
 file looks its own index words up, which gives the places where a template would have to start; there the words at the
 same relative positions are compared. A place counts if the whole mandatory phrase stands there and at least KEEP of the
 template's words do. As the index word belongs to the mandatory phrase, no place is missed, whatever the frequencies.
@@ -48,16 +49,16 @@ TEMPLATES = (
 )
 
 
-def file_words(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased; null counts as empty. lower() is kept from turning the Kelvin sign into an ASCII letter."""
-    kelvin = F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("K"), F.lit("ǩ"))
-    return F.regexp_extract_all(F.lower(kelvin), F.lit(WORD), 0)
+def folded(text: Column) -> Column:
+    """The text with A-Z lower-cased; null counts as empty. lower() is kept from turning the Kelvin sign into an ASCII letter."""
+    return F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\u01e9")))
 
 
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """In how many documents each word of the vocabulary stands; as many rows as the vocabulary has words come to the driver."""
-    found = docs.select(F.explode(F.array_distinct(F.filter(file_words(F.col("text")), lambda w: w.isin(vocabulary)))).alias("w"))
-    return {r.w: r.n for r in found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """In how many documents each word of the vocabulary stands, as part of longer words too; one row comes to the driver."""
+    low = docs.select(folded(F.col("text")).alias("low"))
+    row = low.agg(*(F.count(F.when(F.contains(F.col("low"), F.lit(w)), 1)).alias(w) for w in vocabulary)).first()
+    return row.asDict()
 
 
 def _anchor(t: Template, df: dict[str, int]) -> tuple[int, str]:
@@ -75,11 +76,16 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, keep: flo
     words that stand in place. Repeated rows are scanned alike; other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    df = frequencies(docs, sorted({w for t in templates for w in t.text.split()}))
+    df = frequencies(docs, sorted({w for t in templates for w in t.phrase.split()}))
     anchors = {t: _anchor(t, df) for t in templates}
     index_words = sorted({w for _, w in anchors.values()})
-    rows = docs.select("doc_id", file_words(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(index_words), i))).alias("hits"))
+    any_word = F.lit(False)
+    for w in index_words:
+        any_word = any_word | F.contains(F.col("low"), F.lit(w))
+    rows = docs.select("doc_id", folded(F.col("text")).alias("low"))
+    rows = rows.select("doc_id", any_word.alias("some"), F.regexp_extract_all("low", F.lit(WORD), 0).alias("words"))
+    hits = F.when(F.col("some"), F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(index_words), i)))).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
 
     def places(t: Template) -> Column:
         pos, word = anchors[t]
