@@ -6,21 +6,24 @@ empty bins borrow from a bin that a fixed random probe sequence finds first (opt
 fill K bins use fewer bins and more permutations (two shingles a bin at least), so that densification stays rare; a set
 near such a border is entered under both layouts. BANDS keys of K / BANDS slots name the buckets.
 
-Within a bucket candidates are a star: every member with the member whose hash is least. Buckets that still hold several
-components get further rounds with 4, 16, 64 ... centres, chosen by hash, against the members outside the bucket's main
-component, until each pair that could join two components has been looked at. So pairs follow the number of members as
-long as groups hang together, and no link between components of a bucket is lost. A pair goes on if its sketches agree
-in more than SLACK below the threshold (over five standard deviations), and is linked if the full sets say so.
+Within a bucket candidates are a star: every member with the member whose hash is least. A pair goes on if its sketches
+agree in more than SLACK below the threshold (over five standard deviations), and is linked if the full sets say so. That
+leaves buckets whose members are still in several components; links among those are found exactly. A member outside its
+bucket's main component can miss only so many of its shingles in a partner; of one more than these, its rarest by count
+among all such members, a partner must have one. Shingles that nobody else has drop out, and most members with them. Who
+would have over HEAVY partners by this is one of a stated set that is compared, in blocks, with all sets by an inverted
+index, which gives links but no pairs. So pairs follow the number of members, and no link between components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm._bytes import mix, seeds, shingles, spaces_split, word_rows
@@ -28,6 +31,8 @@ from quillframe.llm._common import discard, small, written
 
 K, BANDS = 128, 32
 SLACK = 0.2
+#: Partners by rare shingles beyond which a member is compared by index, and shingles in one block of such members.
+HEAVY, INDEX_SHINGLES = 128, 2_000_000
 #: Bytes of a shingle's hash that are kept for the comparison of full sets: a chance of n * n / 2**48 of one too many.
 WIDTH = 6
 _PERMS = seeds(K, 21)
@@ -112,6 +117,14 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes = batch.column(0).to_numpy()
+        for i in range(len(batch)):
+            tokens = _unpack(batch.column(1)[i].as_py()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(nodes[i], len(tokens)))], names=["token", "node"])
+
+
 def _alike(similarity: float):
     """Pairs whose sizes and sketches allow the similarity."""
 
@@ -147,11 +160,6 @@ def _confirm(percent: int):
     return run
 
 
-def _fraction(node: str) -> Column:
-    """A hash of the node in [0, 1)."""
-    return F.xxhash64(F.lit(3), F.col(node)).cast("double") / 2.0**64 + 0.5
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node of links (a, b): comp is the least node that links reach. Labels take the least of their neighbours' and then jump along their own label, until none changes."""
     edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
@@ -180,7 +188,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = written(own.mapInArrow(_describe(k, similarity), "doc_id long, n_shingles long, k1 long, k2 long, bins int, sig binary, keys array<long>"))
     classes = written(base.filter("doc_id is not null and n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n_shingles", "bins", "sig", "keys"))))
-    entries = classes.select("node", F.explode("keys").alias("key"))
+    entries = classes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64(F.lit(3), "node")).alias("centre")).filter("m > 1")
     members = written(entries.join(shared, "key"))
     nodes = written(members.select("node").distinct())
@@ -189,6 +197,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         n = pairs.count()
+        if not n:
+            return pairs
         side = lambda x: classes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "bins", "sig")))
         both = small(pairs, n).join(side("a"), "a")
         both = both.join(side("b"), "b").select("a", "b", *(f"{c}_{x}" for c in ("n_shingles", "bins", "sig") for x in "ab"))
@@ -202,36 +212,96 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return out
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tested = [written(members.filter("node != centre").select(*pair("node", "centre")).distinct())]
-    links = [confirmed(tested[0])]
-    labels = components(links[0])
-    centres = 1
-    while True:
-        known = members.filter(F.col("m") > centres).join(labels, "node", "left").select("key", "node", "m", F.coalesce("comp", "node").alias("comp"))
-        mixed = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", "c").alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-        open_ = written(known.join(mixed, "key"))
-        if not open_.limit(1).count():
-            discard(open_)
-            break
-        centres *= 4
-        hubs = open_.filter(_fraction("node") * F.col("m") < centres).select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
-        rest = open_.filter("comp != main").select("key", F.col("node").alias("y"), F.col("comp").alias("cy"))
-        new = rest.join(hubs, "key").filter("cx != cy").select(*pair("x", "y")).distinct()
-        for t in tested:
-            new = new.join(t, ["a", "b"], "left_anti")
-        tested.append(written(new))
-        links.append(confirmed(tested[-1]))
-        discard(open_)
-        if links[-1].limit(1).count():
-            every = links[0]
-            for x in links[1:]:
-                every = every.union(x)
-            labels = components(every)
+    star = written(members.filter("node != centre").select(*pair("node", "centre")).distinct())
+    links = confirmed(star)
+    labels = components(links)
+    known = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    mixed = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).groupBy("key").agg(F.max_by("comp", "c").alias("main"), F.count(F.lit(1)).alias("comps"), F.min("n").alias("least")).filter("comps > 1")
+    open_ = written(known.join(mixed, "key").groupBy("node", "n", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("minor"), F.min(F.when(F.col("comp") != F.col("main"), F.col("least"))).alias("least")))
+    if open_.limit(1).count():
+        more = _rare_links(open_, sets, star, confirmed, similarity, percent)
+        if more.limit(1).count():
+            labels = components(links.union(more))
     discard(sets, nodes)
     found = classes.select("k1", "k2", "node").join(labels, "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("component"))
     return base.select("doc_id", "n_shingles", "k1", "k2").join(found, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
 
 
+def _rare_links(open_: DataFrame, sets: DataFrame, tested: DataFrame, confirmed: Callable[[DataFrame], DataFrame], similarity: float, percent: int) -> DataFrame:
+    """Links (a, b) of minor members of open_ (node, n, comp, minor, least) with any member of another component, by their rarest shingles."""
+    spark, n_open = open_.sparkSession, open_.count()
+    own_sets = written(sets.join(small(open_.select("node", "comp"), n_open), "node"))
+    tokens = written(own_sets.select("node", "packed").mapInArrow(_tokens, "token long, node long"))
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    needed = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.greatest("least", similarity * F.col("n"))) - 1e-6)
+    minor = open_.filter("minor").select("node", "comp", "n", (F.col("n") - needed + 1).alias("prefix"))
+    shared = tokens.join(small(minor, n_open), "node").join(common, "token")
+    by_node = Window.partitionBy("node")
+    ranked = shared.withColumn("rank", F.row_number().over(by_node.orderBy("df", "token"))).withColumn("unique", F.col("n") - F.count(F.lit(1)).over(by_node))
+    prefix = ranked.filter(F.col("rank") + F.col("unique") <= F.col("prefix")).withColumn("weight", F.sum(F.col("df") - 1).over(by_node))
+    prefix = written(prefix.select("token", "node", "comp", "weight"))
+    light = prefix.filter(F.col("weight") <= HEAVY).select("token", F.col("node").alias("x"), F.col("comp").alias("cx"))
+    other = small(light, light.count()).join(tokens.select("token", F.col("node").alias("y")), "token").filter("x != y").select("x", "y", "cx").distinct()
+    other = other.join(small(open_.select(F.col("node").alias("y"), F.col("comp").alias("cy")), n_open), "y").filter("cx != cy")
+    fresh = written(other.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+    links = confirmed(fresh)
+    heavy = written(prefix.filter(F.col("weight") > HEAVY).select("node").distinct())
+    queries = own_sets.join(small(heavy, n_open), "node", "left_semi")
+    blocks = -(-(queries.agg(F.sum("n")).first()[0] or 0) // INDEX_SHINGLES)
+    for i in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i).toArrow()
+        sent = spark.sparkContext.broadcast(_Inverted.build(block))
+        links = links.union(written(own_sets.select("node", "n", "packed", "comp").mapInArrow(_against(sent, percent), "a long, b long").distinct()))
+    discard(tokens, prefix)
+    return links
+
+
+@dataclass
+class _Inverted:
+    """An index of sets: the sets that have each token are of[starts[i]:starts[i + 1]]."""
+
+    nodes: np.ndarray
+    sizes: np.ndarray
+    comps: np.ndarray
+    tokens: np.ndarray
+    starts: np.ndarray
+    of: np.ndarray
+
+    @staticmethod
+    def build(block: pa.Table) -> _Inverted:
+        sets = [_unpack(b.as_py()) for b in block.column("packed")]
+        flat, of = np.concatenate(sets) if sets else np.empty(0, np.uint64), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        tokens, starts = np.unique(flat[order], return_index=True)
+        return _Inverted(block.column("node").to_numpy(), block.column("n").to_numpy(), block.column("comp").to_numpy(), tokens, np.append(starts, len(flat)), of[order])
+
+    def overlaps(self, s: np.ndarray) -> np.ndarray:
+        """How many tokens each set of the index shares with s."""
+        at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
+        at = at[self.tokens[at] == s]
+        lengths = self.starts[at + 1] - self.starts[at]
+        if not len(at):
+            return np.zeros(len(self.nodes), np.int64)
+        flat = np.arange(lengths.sum()) + np.repeat(self.starts[at] - np.append(0, np.cumsum(lengths)[:-1]), lengths)
+        return np.bincount(self.of[flat], minlength=len(self.nodes))
+
+
+def _against(sent, percent: int):
+    """Links between sets of the index and sets (node, n, packed, comp) of another component; of two components, one link from each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, joined = sent.value, {}
+        for batch in batches:
+            for node, n, packed, comp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                both = index.overlaps(_unpack(packed.as_py()))
+                for i in np.flatnonzero((100 * both >= percent * (n + index.sizes - both)) & (index.comps != comp)):
+                    joined.setdefault((comp, int(index.comps[i])), (node, int(index.nodes[i])))
+        ends = np.array(sorted(joined.values()), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], names=["a", "b"])
+
+    return run
+
+
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without near copies: of each component the row with the least doc_id stays, and one row of each repeated doc_id."""
     key = F.col("doc_id").cast("long")
