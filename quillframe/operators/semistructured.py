@@ -14,10 +14,10 @@ FENCE = r"(?s)```(?:json)?\s*(.*?)\s*```"
 def strict_object(s: Column) -> Column:
     """The text as VARIANT if all of it is one JSON object, else null: it is parsed as the only element of a list, as the parser stops after a value."""
     wrapped = F.concat(F.lit("["), s, F.lit("]"))
-    parsed = F.try_parse_json(wrapped)
-    one = F.try_variant_get(parsed, "$[0]", "variant")
-    sound = F.endswith(x.strip(s), F.lit("}")) & F.try_variant_get(parsed, "$[1]", "variant").isNull() & F.startswith(F.schema_of_variant(one), F.lit("OBJECT"))
-    return F.when(sound, one)
+    one = lambda p: F.try_variant_get(p, "$[0]", "variant")
+    alone = lambda p: F.when(F.try_variant_get(p, "$[1]", "variant").isNull() & F.startswith(F.schema_of_variant(one(p)), F.lit("OBJECT")), one(p))
+    # the lambda keeps the text from being parsed once for each use
+    return F.get(F.transform(F.when(F.endswith(x.strip(s), F.lit("}")), F.array(F.try_parse_json(wrapped))), alone), F.lit(0))
 
 
 def completion(s: Column) -> Column:
@@ -37,21 +37,22 @@ def as_text(v: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
 
 
-def elements(df: DataFrame, v: str, path: str, keep: list[str], name: str, pos: str) -> DataFrame:
-    """The elements of a list within a VARIANT column, with their positions; no rows if it is no list."""
-    df = df.withColumn("__list", F.try_variant_get(F.col(v), path, "variant"))
-    df = df.filter(F.startswith(F.schema_of_variant("__list"), F.lit("ARRAY")))
-    kept = ", ".join(f"`{c}`" for c in keep)
-    view = df.select(*keep, "__list")
-    return view.sparkSession.sql(f"SELECT {kept}, t.pos AS {pos}, t.value AS {name} FROM {{df}}, LATERAL variant_explode(__list) AS t", df=view)
+def items(v: Column, path: str) -> Column:
+    """A member of a VARIANT as an array of VARIANT, or null if it is no list."""
+    return F.try_variant_get(v, path, "array<variant>")
+
+
+def elements(df: DataFrame, found: Column, keep: list[str], name: str, pos: str) -> DataFrame:
+    """A row for each element of an array, with its position from 0."""
+    return df.select(*keep, F.posexplode(found).alias(pos, name))
 
 
 def completion_lines(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """J2, J3 of raw(doc_id, v): (lines, cells). Elements that are no objects and codes without 13 digits are left out; a month's quantities are summed."""
-    products = elements(raw, "v", "$.products", ["doc_id"], "product", "line_no").filter(is_object(F.col("product")))
+    products = elements(raw, items(F.col("v"), "$.products"), ["doc_id"], "product", "line_no").filter(is_object(F.col("product")))
     products = products.withColumn("code_produit", x.code_digits(as_text(F.col("product"), "$.code_produit"))).filter(x.is_code(F.col("code_produit")))
     lines = products.select("doc_id", "line_no", "code_produit", as_text(F.col("product"), "$.designation").alias("designation"))
-    sales = elements(products, "product", "$.sales", ["doc_id", "line_no", "code_produit"], "sale", "sale_no").filter(is_object(F.col("sale")))
+    sales = elements(products, items(F.col("product"), "$.sales"), ["doc_id", "line_no", "code_produit"], "sale", "sale_no").filter(is_object(F.col("sale")))
     sales = sales.select("doc_id", "line_no", "code_produit", x.month_prefix(as_text(F.col("sale"), "$.month")).alias("month"), x.truncated(as_text(F.col("sale"), "$.quantity")).alias("quantity"))
     cells = sales.filter("month is not null and quantity is not null").groupBy("doc_id", "line_no", "code_produit", "month").agg(F.sum("quantity").alias("quantity"))
     return lines, cells
@@ -80,51 +81,58 @@ def norm_text(v: Column) -> Column:
     return F.coalesce(F.when(F.schema_of_variant(t) == "STRING", F.try_variant_get(v, "$.normalizedValue.text", "string")), F.try_variant_get(v, "$.mentionText", "string"), F.lit(""))
 
 
-def _first(df: DataFrame, keys: list[str], types: dict[str, str], pos: str, v: str) -> DataFrame:
-    """Of child properties, the text of the first of each type."""
-    kind = F.try_variant_get(F.col(v), "$.type", "string")
-    return df.groupBy(*keys).agg(*(F.min_by(F.when(kind == t, norm_text(F.col(v))), F.when(kind == t, F.col(pos))).alias(name) for name, t in types.items()))
+def of_type(found: Column, kind: str) -> Column:
+    """The elements of one type, in order."""
+    return F.filter(found, lambda e: F.coalesce(F.try_variant_get(e, "$.type", "string") == kind, F.lit(False)))
+
+
+def first_text(found: Column, kind: str) -> Column:
+    """The text of the first element of a type, or null if there is none."""
+    first = F.get(of_type(found, kind), F.lit(0))
+    return F.when(first.isNotNull(), norm_text(first))
 
 
-def entities(raw: DataFrame) -> DataFrame:
-    """(doc_id, entity_no, entity, type) of raw(doc_id, v)."""
-    return elements(raw, "v", "$.entities", ["doc_id"], "entity", "entity_no").withColumn("type", F.try_variant_get(F.col("entity"), "$.type", "string"))
+def entities(raw: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, entity_no, entity) of the entities of one type of raw(doc_id, v)."""
+    found = elements(raw, items(F.col("v"), "$.entities"), ["doc_id"], "entity", "entity_no")
+    return found.filter(F.try_variant_get(F.col("entity"), "$.type", "string") == kind)
 
 
-def entity_cells(found: DataFrame) -> DataFrame:
-    """(doc_id, entity_no, month, quantity) of entities' sales_by_month properties with both a month and a whole number; a month's quantities are summed. Months are not checked here."""
-    props = elements(found, "entity", "$.properties", ["doc_id", "entity_no"], "prop", "prop_no").filter(F.try_variant_get(F.col("prop"), "$.type", "string") == "sales_by_month")
-    parts = elements(props, "prop", "$.properties", ["doc_id", "entity_no", "prop_no"], "part", "part_no")
-    first = _first(parts, ["doc_id", "entity_no", "prop_no"], {"m": "month_period_normalized", "q": "sales_quantity"}, "part_no", "part")
-    out = first.select("doc_id", "entity_no", F.substring("m", 1, 7).alias("month"), x.whole(F.col("q")).alias("quantity"))
-    return out.filter("month is not null and quantity is not null").groupBy("doc_id", "entity_no", "month").agg(F.sum("quantity").alias("quantity"))
+def entity_cells(found: DataFrame, keep: list[str]) -> DataFrame:
+    """(*keep, month, quantity) of the sales_by_month properties of found(*keep, entity) with both a month and a whole number; a month's quantities are summed. Months are not checked here."""
+    sales = elements(found, of_type(items(F.col("entity"), "$.properties"), "sales_by_month"), keep, "sale", "sale_no")
+    parts = items(F.col("sale"), "$.properties")
+    out = sales.select(*keep, F.substring(first_text(parts, "month_period_normalized"), 1, 7).alias("month"), x.whole(first_text(parts, "sales_quantity")).alias("quantity"))
+    return out.filter("month is not null and quantity is not null").groupBy(*keep, "month").agg(F.sum("quantity").alias("quantity"))
 
 
 def export_lines(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """J7 of raw(doc_id, v): (lines, cells, rejects). A product line whose first product_ean has not 13 digits is a reject with a reason."""
-    found = entities(raw).filter("type = 'product_line'")
-    props = elements(found, "entity", "$.properties", ["doc_id", "entity_no"], "prop", "prop_no")
-    first = _first(props, ["doc_id", "entity_no"], {"raw_code": "product_ean", "designation": "product_designation"}, "prop_no", "prop")
-    named = found.select("doc_id", "entity_no", F.coalesce(F.try_variant_get(F.col("entity"), "$.confidence", "double"), F.lit(1.0)).alias("confidence")).join(first, ["doc_id", "entity_no"], "left")
-    named = named.select("doc_id", "entity_no", "confidence", x.text(F.col("raw_code")).alias("raw_code"), x.text(F.col("designation")).alias("designation")).withColumn("code_produit", x.code_digits(F.col("raw_code")))
+    props = items(F.col("entity"), "$.properties")
+    found = entities(raw, "product_line").select(
+        "doc_id",
+        F.col("entity_no").alias("line_no"),
+        "entity",
+        x.text(first_text(props, "product_ean")).alias("raw_code"),
+        x.text(first_text(props, "product_designation")).alias("designation"),
+        F.coalesce(F.try_variant_get(F.col("entity"), "$.confidence", "double"), F.lit(1.0)).alias("confidence"),
+    ).withColumn("code_produit", x.code_digits(F.col("raw_code")))
     good = x.is_code(F.col("code_produit"))
-    lines = named.filter(good).select("doc_id", F.col("entity_no").alias("line_no"), "code_produit", "designation", "confidence")
-    rejects = named.filter(~good).select("doc_id", F.col("entity_no").alias("line_no"), F.lit("non-13-digit code").alias("reason"), "raw_code")
-    cells = entity_cells(found).withColumnRenamed("entity_no", "line_no").join(lines.select("doc_id", "line_no", "code_produit"), ["doc_id", "line_no"])
-    return lines, cells, rejects
+    lines = found.filter(good).select("doc_id", "line_no", "code_produit", "designation", "confidence")
+    rejects = found.filter(~good).select("doc_id", "line_no", F.lit("non-13-digit code").alias("reason"), "raw_code")
+    return lines, entity_cells(found.filter(good), ["doc_id", "line_no", "code_produit"]), rejects
 
 
 def export_totals(raw: DataFrame) -> DataFrame:
     """(doc_id, month, quantity) of the first total_line."""
-    totals = entities(raw).filter("type = 'total_line'")
-    first = totals.groupBy("doc_id").agg(F.min("entity_no").alias("entity_no"))
-    return entity_cells(totals.join(first, ["doc_id", "entity_no"], "left_semi")).select("doc_id", "month", "quantity")
+    first = F.get(of_type(items(F.col("v"), "$.entities"), "total_line"), F.lit(0))
+    return entity_cells(raw.select("doc_id", first.alias("entity")).filter("entity is not null"), ["doc_id"])
 
 
 def export_dates(raw: DataFrame) -> DataFrame:
-    """(doc_id, generated_at) of the first report_date, null if that is no date."""
-    dates = entities(raw).filter("type = 'report_date'")
-    return dates.groupBy("doc_id").agg(F.min_by(norm_text(F.col("entity")), "entity_no").alias("t")).select("doc_id", x.report_date(F.col("t")).alias("generated_at"))
+    """(doc_id, generated_at) of the first report_date of documents that have one, null if that is no date."""
+    text = first_text(items(F.col("v"), "$.entities"), "report_date")
+    return raw.select("doc_id", text.alias("t")).filter("t is not null").select("doc_id", x.report_date(F.col("t")).alias("generated_at"))
 
 
 def image_name(s: Column) -> Column:

@@ -83,7 +83,7 @@ def period_first_designation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _order_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders' documents: a line per part, numbered from 0, and its cells."""
     items = _items(spark, sf_dir).selectExpr("l_orderkey as doc_id", "l_partkey", "l_linenumber - 1 as line_no", "l_quantity as quantity", "l_extendedprice as pa_cat", f"{_CODE} as code_produit", f"{_MONTH} as month")
-    lines = items.select("doc_id", "line_no", "code_produit", F.concat(F.lit("item "), "l_partkey").alias("designation"), "pa_cat", F.lit(None).cast("double").alias("pa_cat_net"), F.round(F.col("pa_cat") / 2, 2).alias("pv_ttc"))
+    lines = items.select("doc_id", "line_no", "code_produit", F.concat(F.lit("item "), "l_partkey").alias("designation"), "pa_cat", F.lit(None).cast("double").alias("pa_cat_net"), (F.col("pa_cat") + 1).alias("pv_ttc"))
     return lines, items.select("doc_id", "line_no", "month", "quantity")
 
 
@@ -102,7 +102,7 @@ def monthly_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(cells, assemble.ROW).select("doc_id", "code_produit", "month", "quantity")
 
 
-@query(f"SELECT l_orderkey AS doc_id, {_SQL_CODE} AS code_produit, 'item ' || l_partkey AS designation, max(l_extendedprice) AS pa_cat, NULL::DOUBLE AS pa_cat_net, round(max(l_extendedprice) / 2, 2) AS pv_ttc FROM {_ITEMS} GROUP BY l_orderkey, l_partkey")
+@query(f"SELECT l_orderkey AS doc_id, {_SQL_CODE} AS code_produit, 'item ' || l_partkey AS designation, max(l_extendedprice) AS pa_cat, NULL::DOUBLE AS pa_cat_net, round(max(l_extendedprice) + 1, 2) AS pv_ttc FROM {_ITEMS} GROUP BY l_orderkey, l_partkey")
 def monthly_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, _, _ = assemble.monthly(render.monthly_grid(*_order_lines(spark, sf_dir)), _years(spark))
     return lines.select("doc_id", "code_produit", "designation", "pa_cat", "pa_cat_net", "pv_ttc")
@@ -338,9 +338,9 @@ def model_output_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semistructured.completion_lines(_parsed(spark, sf_dir))[0].groupBy("doc_id").agg(F.count(F.lit(1)).alias("row_count"))
 
 
-@query(f"SELECT DISTINCT l_orderkey AS doc_id, 'monthly' AS statement_type, 'Pharmacie ' || l_orderkey AS pharmacy_name, l_orderkey::VARCHAR AS pharmacy_id, '' AS supplier, DATE '2026-02-03' AS generated_at FROM {_ITEMS}")
+@query(f"SELECT DISTINCT l_orderkey AS doc_id, 'monthly' AS statement_type, 'Pharmacie ' || l_orderkey AS pharmacy_name, l_orderkey::VARCHAR AS pharmacy_id, '' AS supplier, '2026-02-03' AS generated_at FROM {_ITEMS}")
 def model_output_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return semistructured.completion_documents(_parsed(spark, sf_dir))
+    return semistructured.completion_documents(_parsed(spark, sf_dir)).withColumn("generated_at", F.col("generated_at").cast("string"))
 
 
 def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,9 +374,9 @@ def docai_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semistructured.export_lines(_exports(spark, sf_dir))[2]
 
 
-@query(f"SELECT DISTINCT l_orderkey AS doc_id, CASE WHEN l_orderkey % 2 = 0 THEN DATE '2026-02-03' END AS generated_at FROM {_ITEMS}")
+@query(f"SELECT DISTINCT l_orderkey AS doc_id, CASE WHEN l_orderkey % 2 = 0 THEN '2026-02-03' END AS generated_at FROM {_ITEMS}")
 def docai_report_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return semistructured.export_dates(_exports(spark, sf_dir))
+    return semistructured.export_dates(_exports(spark, sf_dir)).withColumn("generated_at", F.col("generated_at").cast("string"))
 
 
 @query(f"SELECT l_orderkey AS doc_id, l_orderkey % 5 <> 0 AND l_orderkey % 7 <> 0 AND count(*) FILTER (l_linenumber % 4 <> 0) > 0 AS totals_reconciled FROM {_ITEMS} GROUP BY l_orderkey")

@@ -71,7 +71,7 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 def json_texts(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """(name, value) of whole files; parse with semistructured.strict_object, whose nulls are the failures."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
     return files.select(F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1).alias("name"), "value")
 
 
