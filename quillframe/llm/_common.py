@@ -61,3 +61,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(key: Column | str, folds: int, fold: int) -> Column:
     """True where crc32 of the key as text, mod folds, is fold; a null key is never held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % folds == fold, F.lit(False))
+
+
+def free(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is among ids(doc_id). Rows with a null doc_id stay, as they cannot be named."""
+    name = free(docs, "__gone")
+    gone = written(ids.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias(name)).distinct())
+    return docs.join(small(gone, gone.count()), F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm._bytes import alnum_split, mix, seeds, word_rows
-from quillframe.llm._common import small, written
+from quillframe.llm._common import without, written
 
 K1, B, THRESHOLD, COMMON, Q_OVERLAP, A_OVERLAP = 1.2, 0.75, 0.5, 0.25, 0.6, 0.6
 SHORTEST, BLOCK, RUN = 64, 16, 5
@@ -250,5 +250,4 @@ def _finder(index, threshold: float, question: float, answer: float):
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows whose document holds a test item. Rows with a null doc_id stay, as they cannot be named."""
-    gone = written(contaminated(docs, items).filter("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(small(gone, gone.count()), F.col("doc_id") == F.col("__id"), "left_anti")
+    return without(docs, contaminated(docs, items))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm._bytes import mix, seeds, shingles, spaces_split, word_rows
-from quillframe.llm._common import discard, small, written
+from quillframe.llm._common import discard, free, small, without, written
 
 K, BANDS = 128, 32
 SLACK = 0.2
@@ -304,11 +304,10 @@ def _against(sent, percent: int):
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without near copies: of each component the row with the least doc_id stays, and one row of each repeated doc_id."""
-    key = F.col("doc_id").cast("long")
-    again = written(docs.groupBy(key.alias("__id")).count().filter("count > 1 and __id is not null").select("__id"))
+    key, name = F.col("doc_id").cast("long"), free(docs, "__again")
+    again = written(docs.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).filter(F.col(name).isNotNull()).select(name))
     n = again.count()
     if n:
-        once = docs.join(small(again, n), key == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-        docs = docs.join(small(again, n), key == F.col("__id"), "left_anti").unionByName(once)
-    gone = written(near_duplicates(docs, k, percent).filter("not kept").select(F.col("doc_id").alias("__id")))
-    return docs.join(small(gone, gone.count()), key == F.col("__id"), "left_anti")
+        once = docs.join(small(again, n), key == F.col(name), "left_semi").dropDuplicates(["doc_id"])
+        docs = docs.join(small(again, n), key == F.col(name), "left_anti").unionByName(once)
+    return without(docs, near_duplicates(docs, k, percent).filter("not kept"))

@@ -77,7 +77,7 @@ def test_near_duplicates(spark, seed, k, monkeypatch):
 
 def test_one_of_each(spark):
     rows = [(3, "a b c d e f g"), (1, "A b c d e f g"), (2, "other words stand here today ok"), (2, "other words stand here today ok"), (5, None), (None, "a b c d e f g")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__x", F.lit(1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__again", F.lit(1)).withColumn("__gone", F.lit(1))
     got = minhash_oph.one_of_each(docs)
     assert got.columns == docs.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "5", "None"]
     assert minhash_oph.one_of_each(docs.limit(0)).count() == 0
@@ -158,9 +158,10 @@ def test_wand_equals_full_scoring():
 def test_mixing(spark, weights):
     counts = {"a": 700, "b": 90, "c": 301, None: 5, "zero": 0}
     rows = [(i, s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))] + [(0, "a")]
-    docs = spark.createDataFrame(rows, "doc_id long, source string").selectExpr("*", "1 as __s", "2 as MIX_SLOT")
+    docs = spark.createDataFrame(rows, "doc_id long, source string").selectExpr("*", "1 as __source", "2 as MIX_SLOT")
     got = pfair_mix.mix(docs, weights, block_rows=10).collect()
     assert sorted(r.mix_position for r in got) == list(range(len(rows))) and sorted(map(str, ((r.doc_id, r.source) for r in got))) == sorted(map(str, rows))
+    assert all(r["__source"] == 1 for r in got)
     by_slot = {}
     for r in got:
         by_slot.setdefault(r.mix_slot, set()).add((r.source, r.mix_block))
