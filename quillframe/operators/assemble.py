@@ -7,7 +7,7 @@ are on (doc_id, table_no, ...), so a document is spread over tasks by its tables
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions import exprs as x
@@ -22,53 +22,66 @@ def document_text(page_texts: DataFrame) -> DataFrame:
     return page_texts.groupBy("doc_id").agg(F.array_join(pages, "\n").alias("text"), F.greatest(F.count(F.lit(1)), F.lit(1)).cast("int").alias("page_count"))
 
 
-def statement_types(raw_cells: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """(doc_id, statement_type) by whether the header of a document's first table has a date column."""
-    dated = F.coalesce(F.max(x.normalize_column(F.col("value"), rules) == "date"), F.lit(False))
-    heads = raw_cells.filter("row_no = 0").groupBy(*TABLE).agg(dated.alias("dated"))
-    return heads.groupBy("doc_id").agg(F.when(F.min_by("dated", "table_no"), "period").otherwise("monthly").alias("statement_type"))
+def layouts(raw_cells: DataFrame, years: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """(doc_id, table_no, fields, months) of each table with a header: fields maps known columns to their (last) column number, months lists (col_no, month) of other header cells that name a month, in order. years: (doc_id, reference_year); documents without one count from 2000."""
+    heads = raw_cells.filter("row_no = 0").join(years, "doc_id", "left")
+    field = x.normalize_column(F.col("value"), rules)
+    heads = heads.select(*TABLE, "col_no", field.alias("field"), x.normalize_month(F.col("value"), F.coalesce("reference_year", F.lit(2000)), rules).alias("month"))
+    month = F.when(F.col("month").isNotNull() & ~F.coalesce(F.col("field").isin(*FIXED_COLUMNS), F.lit(False)), F.struct("col_no", "month"))
+    columns = F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "col_no"))))
+    out = heads.groupBy(*TABLE).agg(columns.alias("columns"), F.array_sort(F.collect_list(month)).alias("months"))
+    last = F.filter("columns", lambda c, i: ~F.coalesce(F.get(F.col("columns"), i + 1).field == c.field, F.lit(False)))
+    return out.select(*TABLE, F.map_from_entries(last).alias("fields"), "months")
 
 
-def classified_headers(raw_cells: DataFrame, years: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """(doc_id, table_no, col_no, field, month) of each header cell that is a known column or, failing that, a month. years: (doc_id, reference_year); documents without one count from 2000."""
-    heads = raw_cells.filter("row_no = 0").join(years, "doc_id", "left")
-    heads = heads.withColumn("field", x.normalize_column(F.col("value"), rules)).withColumn("month", x.normalize_month(F.col("value"), F.coalesce("reference_year", F.lit(2000)), rules))
-    month = F.when(F.col("field").isNull() | ~F.col("field").isin(*FIXED_COLUMNS), F.col("month"))
-    return heads.select(*TABLE, "col_no", "field", month.alias("month")).filter("field is not null or month is not null")
+def statement_types(found: DataFrame) -> DataFrame:
+    """(doc_id, statement_type) by whether the header of a document's first table has a date column; found are layouts."""
+    dated = F.min_by(F.map_contains_key("fields", F.lit("date")), "table_no")
+    return found.groupBy("doc_id").agg(F.when(dated, "period").otherwise("monthly").alias("statement_type"))
+
+
+def table_rows(raw_cells: DataFrame, found: DataFrame) -> DataFrame:
+    """JN10: (doc_id, table_no, row_no, values, fields, months): a row per table row, its cells gathered, beside its table's layout."""
+    rows = raw_cells.filter("row_no > 0").groupBy(*ROW).agg(F.collect_list(F.struct("col_no", "value")).alias("values"))
+    return rows.join(found, TABLE)
 
 
-def fields(cells: DataFrame, headers: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
-    """JN10: one row per table row with the wanted fields as columns; a field that two columns bear is the last one's. Rows without any of them have all null."""
-    named = cells.filter("row_no > 0").join(headers.select(*TABLE, "col_no", "field"), [*TABLE, "col_no"], "left")
-    last = headers.filter(F.col("field").isNotNull()).groupBy(*TABLE, "field").agg(F.max("col_no").alias("col_no")).withColumn("is_last", F.lit(True))
-    named = named.join(last, [*TABLE, "field", "col_no"], "left")
-    pick = lambda f: F.max(F.when((F.col("field") == f) & F.col("is_last"), x.strip(F.col("value")))).alias(f)
-    return named.groupBy(*ROW).agg(*(pick(f) for f in wanted))
+def value_at(col_no: Column) -> Column:
+    """The stripped cell of a gathered row, empty where there is none."""
+    return x.strip(F.get(F.filter("values", lambda v: v.col_no == col_no), F.lit(0)).value)
+
+
+def field_of(name: str) -> Column:
+    return value_at(F.try_element_at("fields", F.lit(name)))
 
 
 def monthly(raw_cells: DataFrame, years: DataFrame, rules: Rules = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, cells, printed totals) of monthly grids.
+    """A2, A3, P4 of monthly grids; see grid()."""
+    return grid(table_rows(raw_cells, layouts(raw_cells, years, rules)))
+
+
+def grid(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, cells, printed totals) of table_rows().
 
     lines: (doc_id, table_no, row_no, code_produit, designation, pa_cat, pa_cat_net, pv_ttc); cells: (doc_id, table_no,
     row_no, month, quantity), of month columns that repeat the last number; totals: (doc_id, month, quantity) of the last
     row without a 13-digit code but with a number, of the last table that has one.
     """
-    headers = classified_headers(raw_cells, years, rules)
-    rows = fields(raw_cells, headers, FIXED_COLUMNS)
-    rows = rows.withColumn("code_produit", x.code_digits(F.col("code_produit")))
-    months = headers.filter("month is not null").select(*TABLE, "col_no", "month")
-    numbers = raw_cells.filter("row_no > 0").join(months, [*TABLE, "col_no"]).withColumn("quantity", x.cell_number(F.col("value"))).filter("quantity is not null")
-    numbers = numbers.groupBy(*ROW, "month").agg(F.max_by("quantity", "col_no").alias("quantity"))
-    lines = rows.filter(x.is_code(F.col("code_produit"))).select(*ROW, "code_produit", x.text(F.col("designation")).alias("designation"), *(x.french_decimal(F.col(c)).alias(c) for c in FIXED_COLUMNS[2:]))
-    cells = numbers.join(lines.select(*ROW), ROW, "left_semi")
-    other = numbers.join(lines.select(*ROW), ROW, "left_anti")
-    last = other.groupBy("doc_id").agg(F.max(F.struct("table_no", "row_no")).alias("at")).select("doc_id", "at.table_no", "at.row_no")
-    return lines, cells, other.join(last, ROW).select("doc_id", "month", "quantity")
-
-
-def period_rows(raw_cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """The transactions (doc_id, table_no, row_no, code_produit, designation, date, quantity) of period tables, as text."""
-    return fields(raw_cells, headers, ("code_produit", "designation", "date", "quantity"))
+    told = F.transform("months", lambda m: F.struct(m.month.alias("month"), x.cell_number(value_at(m.col_no)).alias("quantity")))
+    rows = rows.select(*ROW, "values", "fields", F.filter(told, lambda c: c.quantity.isNotNull()).alias("numbers"), x.code_digits(field_of("code_produit")).alias("code_produit"))
+    last = F.filter("numbers", lambda c, i: ~F.exists(F.slice(F.col("numbers"), i + 2, F.size("numbers")), lambda later: later.month == c.month))
+    rows = rows.select(*ROW, "values", "fields", "code_produit", last.alias("numbers"))
+    coded = rows.filter(x.is_code(F.col("code_produit")))
+    lines = coded.select(*ROW, "code_produit", field_of("designation").alias("designation"), *(x.french_decimal(field_of(c)).alias(c) for c in FIXED_COLUMNS[2:]))
+    cells = coded.select(*ROW, F.inline("numbers"))
+    other = rows.filter(~x.is_code(F.col("code_produit")) & (F.size("numbers") > 0))
+    printed = other.groupBy("doc_id").agg(F.max_by("numbers", F.struct("table_no", "row_no")).alias("numbers")).select("doc_id", F.inline("numbers"))
+    return lines, cells, printed
+
+
+def period_rows(rows: DataFrame) -> DataFrame:
+    """The transactions (doc_id, table_no, row_no, code_produit, designation, date, quantity) of table_rows(), as text."""
+    return rows.select(*ROW, *(field_of(f).alias(f) for f in ("code_produit", "designation", "date", "quantity")))
 
 
 def period(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -25,11 +25,11 @@ def native(page_texts: DataFrame, raw_cells: DataFrame, rules: Rules = DEFAULT)
     """Assembly of documents from tables and texts. Months are in descending order; only monthly documents with printed totals are reconciled; a document without tables is monthly and has no lines."""
     texts = assemble.document_text(page_texts)
     years = texts.select("doc_id", x.reference_year(F.col("text")).alias("reference_year"))
-    kinds = assemble.statement_types(raw_cells, rules)
-    of = lambda kind: raw_cells.join(kinds.filter(F.col("statement_type") == kind), "doc_id", "left_semi")
-    grids, flat = of("monthly"), of("period")
-    m_lines, m_cells, printed = assemble.monthly(grids, years, rules)
-    p_lines, p_cells = assemble.period(assemble.period_rows(flat, assemble.classified_headers(flat, years, rules)))
+    found = assemble.layouts(raw_cells, years, rules)
+    kinds = assemble.statement_types(found)
+    rows = assemble.table_rows(raw_cells, found.join(kinds, "doc_id"))
+    m_lines, m_cells, printed = assemble.grid(rows.filter("statement_type = 'monthly'"))
+    p_lines, p_cells = assemble.period(assemble.period_rows(rows.filter("statement_type = 'period'")))
     p_cells = p_cells.join(p_lines.select(*assemble.TABLE, "code_produit", "row_no"), [*assemble.TABLE, "code_produit"])
     lines = m_lines.unionByName(p_lines, allowMissingColumns=True)
     cells = m_cells.unionByName(p_cells.select(*m_cells.columns))
