@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm._bytes import CHUNK, buffers, row_chunks
-from quillframe.llm._common import held_out
+from quillframe.llm._common import held_out, written
 from quillframe.llm._fit import labelled, minimise, sigmoid
 
 #: The fit uses about FIT_ROWS labelled documents.
-FIT_ROWS, FEATURES, BITS, GRAMS, SMOOTH, RIDGE, CUT = 12_000, 2_048, 18, (4, 5), 1.0, 1e-4, 0.5
+FIT_ROWS, PARTS, FEATURES, BITS, GRAMS, SMOOTH, RIDGE, CUT = 12_000, 8, 2_048, 18, (4, 5), 1.0, 1e-4, 0.5
 FOLDS, FOLD = 5, 0
 
 _FOLD = np.arange(256, dtype=np.uint64)
@@ -80,6 +80,7 @@ def ratios(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) ->
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Without documents of both labels the model has no features, and its score is the smoothed share of toxic ones."""
     sample = labelled(docs, labels, "toxic", fit_rows, FOLDS, FOLD).select("doc_id", "y", F.col("text").cast("string").alias("text"))
+    sample = written(sample.repartition(PARTS))  # a bounded sample, read twice; few tasks, as each gives its own counts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
