@@ -40,13 +40,14 @@ def normalize_month(label: Column, reference_year: Column, rules: Rules = DEFAUL
     """yyyy-MM of the first token (by priority) that is a word of the label; the year is the first 20xx anywhere, else the reference year. Null without a token."""
     low = F.lower(strip(label))
     words = F.split(low, r"[^\p{L}\p{N}_]+")
-    token = F.get(F.filter(F.array(*(F.lit(t) for t in rules.month_map())), lambda t: F.array_contains(words, t)), F.lit(0))
+    token = F.get(F.array_intersect(F.array(*(F.lit(t) for t in rules.month_map())), words), F.lit(0))  # in the order of tokens
     year = F.coalesce(F.nullif(F.regexp_extract(low, "(20[0-9]{2})", 1), F.lit("")), reference_year.cast("string"))
     return F.concat(year, F.lit("-"), F.try_element_at(literal_map(rules.month_map()), token))
 
 
 def _number(s: Column) -> Column:
-    return F.when(F.regexp_like(s, F.lit(NUMBER)), s.try_cast("double"))
+    """The number that all of the text is, else null. The text is used once, so that it is not computed again."""
+    return F.regexp_extract(s, NUMBER, 0).try_cast("double")
 
 
 def french_decimal(v: Column) -> Column:
@@ -94,8 +95,7 @@ def report_date(v: Column) -> Column:
 
 def month_prefix(v: Column) -> Column:
     """the first seven characters if they are yyyy-MM, else null. Months beyond 12 are not refused."""
-    s = F.substring(text(v), 1, 7)
-    return F.when(F.regexp_like(s, F.lit(MONTH)), s)
+    return F.nullif(F.regexp_extract(F.substring(text(v), 1, 7), MONTH, 0), F.lit(""))
 
 
 def month_label(month: Column, rules: Rules = DEFAULT) -> Column:

@@ -73,10 +73,15 @@ def grid(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = rows.select(*ROW, "values", "fields", "code_produit", last.alias("numbers"))
     coded = rows.filter(x.is_code(F.col("code_produit")))
     lines = coded.select(*ROW, "code_produit", field_of("designation").alias("designation"), *(x.french_decimal(field_of(c)).alias(c) for c in FIXED_COLUMNS[2:]))
-    cells = coded.select(*ROW, F.inline("numbers"))
+    cells = _listed(coded, ROW)
     other = rows.filter(~x.is_code(F.col("code_produit")) & (F.size("numbers") > 0))
-    printed = other.groupBy("doc_id").agg(F.max_by("numbers", F.struct("table_no", "row_no")).alias("numbers")).select("doc_id", F.inline("numbers"))
-    return lines, cells, printed
+    printed = other.groupBy("doc_id").agg(F.max_by("numbers", F.struct("table_no", "row_no")).alias("numbers"))
+    return lines, cells, _listed(printed, ["doc_id"])
+
+
+def _listed(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """(*keep, month, quantity) of each of a row's numbers. The outer form is used, as the inner one makes Spark compute the list once more for a filter on its size."""
+    return rows.select(*keep, F.inline_outer("numbers")).filter("month is not null")
 
 
 def period_rows(rows: DataFrame) -> DataFrame:

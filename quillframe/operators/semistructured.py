@@ -43,8 +43,8 @@ def items(v: Column, path: str) -> Column:
 
 
 def elements(df: DataFrame, found: Column, keep: list[str], name: str, pos: str) -> DataFrame:
-    """A row for each element of an array, with its position from 0."""
-    return df.select(*keep, F.posexplode(found).alias(pos, name))
+    """A row for each element of an array, with its position from 0. The outer form is used, as the inner one makes Spark compute the array once more for a filter on its size."""
+    return df.select(*keep, F.posexplode_outer(found).alias(pos, name)).filter(F.col(pos).isNotNull())
 
 
 def completion_lines(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,8 +88,7 @@ def of_type(found: Column, kind: str) -> Column:
 
 def first_text(found: Column, kind: str) -> Column:
     """The text of the first element of a type, or null if there is none."""
-    first = F.get(of_type(found, kind), F.lit(0))
-    return F.when(first.isNotNull(), norm_text(first))
+    return F.get(F.transform(F.slice(of_type(found, kind), 1, 1), norm_text), F.lit(0))
 
 
 def entities(raw: DataFrame, kind: str) -> DataFrame:
