@@ -7,6 +7,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillframe.operators import score, semistructured
 
@@ -57,3 +58,9 @@ def evaluate(images: DataFrame, factory: Callable[[], Engine], gold_lines: DataF
     parsed = raw.select("doc_id", semistructured.completion(raw["completion"]).alias("v"))
     lines, cells = semistructured.completion_lines(parsed)
     return score.by_document(images.select("doc_id"), score.matched_cells(gold_lines, gold_cells, lines, cells))
+
+
+def messages(demos: DataFrame, template: str = TEMPLATE) -> DataFrame:
+    """One row with the few-shot demonstrations of demos(no, image, output), in order, as chat messages: a user turn with image and template, then the answer."""
+    turn = F.struct("no", F.array(F.struct(F.lit("user").alias("role"), F.col("image").alias("image"), F.lit(template).alias("text")), F.struct(F.lit("assistant").alias("role"), F.lit(None).cast("string").alias("image"), F.col("output").alias("text"))).alias("turns"))
+    return demos.agg(F.flatten(F.transform(F.array_sort(F.collect_list(turn)), lambda t: t.turns)).alias("messages"))
