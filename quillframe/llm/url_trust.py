@@ -45,8 +45,8 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(source, target, weight) between different hosts: the number of pages of source that link to target."""
-    own = pages.select(host_of(F.col("url")).alias("source"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 1))).alias("t"))
-    own = own.select("source", F.translate("t", UPPER, LOWER).alias("target")).filter("source <> '' and target <> '' and source <> target")
+    own = pages.select(host_of(F.col("url")).alias("source"), F.explode_outer(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 1))).alias("t"))
+    own = own.select("source", F.translate("t", UPPER, LOWER).alias("target")).filter("target is not null").filter("source <> '' and target <> '' and source <> target")
     return own.groupBy("source", "target").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
