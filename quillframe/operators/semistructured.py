@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions import exprs as x
-from quillframe.plans.rules import DEFAULT, Rules
 
 FENCE = r"(?s)```(?:json)?\s*(.*?)\s*```"
 
