@@ -139,6 +139,18 @@ def test_randomness(spark):
     assert got == want and sum(got[i] for i in range(30)) >= 25 and not any(got[i] for i in range(30, len(tokens)))
 
 
+def test_short_random_tokens_among_ordinary_ones(spark):
+    rng = np.random.default_rng(4)
+    some = lambda letters, n: "".join(rng.choice(list(letters), n))
+    stems = ["invoice", "section", "release", "archive", "customer", "report"]
+    keys = ["a1Z" + some(secret_scan.ALPHABETS[a][2], n - 3) for n in (20, 24, 32, 40) for a in (3, 5) for _ in range(15)]
+    ids = ["-".join(f"{s}{rng.integers(1, 2100)}" for s in rng.choice(stems, 4)) for _ in range(120)] + ["z1" * 12, "abcdefghijklmnopqrstuvwxyz0123456789", "2024-01-31T10-00-00Z/2024-02-01"]
+    rows = [(i, f"see {t}; ok") for i, t in enumerate(keys + ids)] + [(1000, "the report of the customer is in the archive of this section, release and invoice"), (1001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in secret_scan.without_secrets(docs).collect()}
+    assert sum(i not in left for i in range(len(keys))) >= 0.95 * len(keys) and all(i in left for i in range(len(keys), len(keys) + len(ids)))
+
+
 def test_discoveries_is_benjamini_hochberg():
     for seed in range(20):
         rng = np.random.default_rng(seed)
