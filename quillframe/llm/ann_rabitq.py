@@ -5,7 +5,8 @@ code is the sign of each coordinate, packed. With f the inner product of the tur
 <code, q'> / f estimates the inner product with a turned unit query q', with a deviation near sqrt((1 - f * f) / (f * f *
 (D - 1))); so v . q lies within ERRORS such deviations of the estimate. The index keeps code, |v - c| and f of every row.
 Queries are taken in blocks of bounded size; each task scans its rows of the index, and ranks again, on the original
-vectors, those whose upper bound reaches the k-th best exact score so far (at first: the k-th best lower bound).
+vectors, those whose upper bound reaches the k-th best exact score so far (at first: the k-th best lower bound
+of distinct vec_ids other than the query's).
 """
 
 from __future__ import annotations
@@ -73,8 +74,12 @@ def scan_block(best: Best, ids: np.ndarray, rows: np.ndarray, bits: np.ndarray,
     margin = np.linalg.norm(queries, axis=1).astype(np.float32)[:, None] * spread.astype(np.float32) + np.float32(1e-6)
     upper, least, again = estimate + margin, best.least(), 0
     fresh = np.flatnonzero(np.isneginf(least))
-    if len(fresh) and len(ids) > k:  # the query's own row may be among them, so one more
-        least[fresh] = np.partition(estimate[fresh] - margin[fresh], len(ids) - k - 1, axis=1)[:, len(ids) - k - 1]
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0][: len(ids)])
+    if len(fresh) and len(first) > k:  # a vec_id counts once however often it repeats, and the query's own not at all
+        lower = estimate[fresh] - margin[fresh]
+        lower[q_ids[fresh][:, None] == ids] = -np.inf
+        least[fresh] = np.partition(np.maximum.reduceat(lower[:, order], first, axis=1), len(first) - k, axis=1)[:, len(first) - k]
     for i in range(len(queries)):
         at = np.flatnonzero(upper[i] >= least[i])
         at = at[ids[at] != q_ids[i]]

@@ -236,3 +236,14 @@ def test_alnum_words():
     b = "A1 b-Cé9".encode()
     h, starts, first = alnum_split().hashes(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
     assert starts.tolist() == [0, 3, 5] and first.tolist() == [0, 3]
+
+
+@pytest.mark.parametrize("hot", [700, 701])
+def test_neighbours_beside_a_vec_id_that_repeats(spark, hot):
+    v = np.random.default_rng(31).standard_normal((1500, 64))
+    v[701] = 1.5 * v[700]
+    ids = np.concatenate([np.full(800, hot), np.arange(1500)])
+    df = spark.createDataFrame([(int(i), v[i].tolist()) for i in ids], "vec_id long, embedding array<double>").coalesce(1)
+    got = [r.vec_id for r in ann_rabitq.nearest(df, 700, 20).filter("query_id = 700").orderBy("rank").collect()]
+    scores = v @ v[700]
+    assert got == [i for i in np.argsort(-scores, kind="stable").tolist() if i != 700][:20]
