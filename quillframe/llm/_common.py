@@ -71,6 +71,22 @@ def free(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def by_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of docs with a hash of the text as doc_id, for operators that judge each row by its text alone; a null text counts as empty."""
+    return docs.select(_text_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def without_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without the rows whose text is among found, which has doc_id as in by_text(docs). The rows' own doc_id does not matter: it may be null or shared."""
+    name = free(docs, "__gone")
+    gone = written(found.select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(small(gone, gone.count()), _text_key() == F.col(name), "left_anti")
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is among ids(doc_id). Rows with a null doc_id stay, as they cannot be named."""
     name = free(docs, "__gone")

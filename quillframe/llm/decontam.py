@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm._bytes import alnum_split, mix, seeds, word_rows
-from quillframe.llm._common import without, written
+from quillframe.llm._common import by_text, without_texts, written
 
 K1, B, THRESHOLD, COMMON, Q_OVERLAP, A_OVERLAP = 1.2, 0.75, 0.5, 0.25, 0.6, 0.6
 SHORTEST, BLOCK, RUN = 64, 16, 5
@@ -249,5 +249,5 @@ def _finder(index, threshold: float, question: float, answer: float):
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the rows whose document holds a test item. Rows with a null doc_id stay, as they cannot be named."""
-    return without(docs, contaminated(docs, items))
+    """docs without the rows whose text holds a test item, whatever their doc_id."""
+    return without_texts(docs, contaminated(by_text(docs), items))

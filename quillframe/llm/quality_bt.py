@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm._bytes import buffers, mix, pieces, row_chunks, spaces_split, CHUNK
-from quillframe.llm._common import held_out, without
+from quillframe.llm._common import by_text, held_out, without_texts
 from quillframe.llm._fit import labelled, minimise, sigmoid
 
 #: The fit uses about FIT_ROWS labelled documents and PAIRS pairs of them.
@@ -126,14 +126,14 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ranki
     return fit(x, sample.column("y").to_numpy())
 
 
-def rate(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def rate(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, ranking: Ranking | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of docs (doc_id, text); labels (doc_id, quality).
 
     Scores depend on the text alone. Null and empty texts are scored as texts without characters; labels that are null
     or neither 0 nor 1 are ignored; repeated rows are scored alike and all returned; a null doc_id is not held out and
-    never learned from. Other columns are ignored.
+    never learned from. Other columns are ignored. ranking: a model to use instead of one learned here.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, fit_rows))
+    model = docs.sparkSession.sparkContext.broadcast(ranking or learn(docs, labels, fit_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,5 +145,5 @@ def rate(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFr
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows whose document is rejected. Rows with a null doc_id stay, as they cannot be named."""
-    return without(docs, rate(docs, labels).filter("predicted = 0"))
+    """docs without the rows whose text is rejected, whatever their doc_id."""
+    return without_texts(docs, rate(by_text(docs), labels, ranking=learn(docs, labels)).filter("predicted = 0"))

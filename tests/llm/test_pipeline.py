@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import __spark_entry__
-from quillframe.llm import minhash_oph, pfair_mix, queries
+from quillframe.llm import decontam, minhash_oph, pfair_mix, quality_bt, queries, secret_scan
 
 
 def test_pipeline(spark):
@@ -41,3 +41,15 @@ def test_registered():
 def test_mix_has_each_row_once(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert pfair_mix.mix(docs).count() == docs.count()
+
+
+def test_stages_judge_rows_with_null_or_shared_ids(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    rated = quality_bt.rate(docs, labels).join(docs.select("doc_id", "text"), "doc_id")
+    good, bad = (rated.filter(f"predicted = {i}").orderBy("doc_id").first().text for i in (1, 0))
+    secret, item = "password = abcdef0123456789", items.orderBy("item_id").first().text
+    for stage, name, text in ((lambda d: quality_bt.accepted(d, labels), "quality", bad), (lambda d: decontam.without_contaminated(d, items), "items", item), (secret_scan.without_secrets, "secrets", secret)):
+        more = spark.createDataFrame([(None, text, 1), (None, good, 2), (10**6, text, 3), (10**6, good, 4)], "doc_id long, text string, n int")
+        got = stage(docs.selectExpr("doc_id", "text", "0 as n").union(more))
+        assert {r.n for r in got.filter("n > 0").collect()} == {2, 4}, name
