@@ -151,6 +151,16 @@ def test_short_random_tokens_among_ordinary_ones(spark):
     assert sum(i not in left for i in range(len(keys))) >= 0.95 * len(keys) and all(i in left for i in range(len(keys), len(keys) + len(ids)))
 
 
+def test_tokens_of_one_class_are_tested(spark):
+    rng = np.random.default_rng(6)
+    some = lambda letters, n: "".join(rng.choice(list(letters), n))
+    keys = [some(letters, 32) for letters in (secret_scan.UPPER + secret_scan.LOWER, secret_scan.LOWER, secret_scan.UPPER) for _ in range(10)]
+    plain = ["internationalizationandlocalization", "Rechtsschutzversicherungsgesellschaften", "-" * 40, "=" * 30, "_-" * 20, "SomeVeryLongClassNameForTheFactory", "THE-END-OF-THE-FIRST-PART", "docs/guides/getting/started/index"]
+    docs = spark.createDataFrame([(i, f"see {t} ok") for i, t in enumerate(keys + plain)], "doc_id long, text string")
+    left = {r.doc_id for r in secret_scan.without_secrets(docs).collect()}
+    assert sum(i not in left for i in range(len(keys))) >= 0.9 * len(keys) and all(i in left for i in range(len(keys), len(keys) + len(plain)))
+
+
 def test_discoveries_is_benjamini_hochberg():
     for seed in range(20):
         rng = np.random.default_rng(seed)
