@@ -6,14 +6,18 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of a slim (a few dozen bytes) side up to which a join may broadcast it; beyond, the join shuffles.
 BROADCAST_ROWS = 400_000
 
 _LOCAL: list[str] = []
+_SCRATCH: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,24 +33,49 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a path in the JVM."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, computed once: lineage ends there and a lost executor loses nothing."""
-    spark = df.sparkSession
+    """df as a table in the shared folder, computed once: lineage ends there and a lost executor loses nothing. It is deleted by discard() or, at the latest, when the driver's JVM ends."""
+    return df if hasattr(df, "_qf_path") else _written(df.sparkSession, df.schema, [df])
+
+
+def _written(spark: SparkSession, schema: StructType, parts: Iterable[DataFrame]) -> DataFrame:
     path = f"{shared_dir(spark)}/quillframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    fs, p = _hadoop(spark, path)
+    for df in parts:
+        df.write.mode("append").parquet(path)
+        fs.deleteOnExit(p)
+    out = spark.read.schema(schema).parquet(path)
     out._qf_path = path
+    for made in _SCRATCH:
+        made.append(out)
     return out
 
 
+@contextmanager
+def scratch(kept: Callable[[DataFrame], bool] = lambda t: False) -> Iterator[None]:
+    """Discards, at its end, the tables written within, but for those kept: for steps whose result has been written itself."""
+    made: list[DataFrame] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(made)
+        discard(*(t for t in made if not kept(t)))
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes tables of written() that no later plan reads."""
     for t in tables:
         path = getattr(t, "_qf_path", None)
         if path:
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            fs, p = _hadoop(t.sparkSession, path)
+            fs.delete(p, True)
 
 
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -54,6 +83,40 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table with a number for each row, unique but with gaps; rows of one task have consecutive numbers."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def picked(rows: DataFrame, ids: DataFrame, name: str, how: str, then: Callable[[DataFrame], DataFrame] = lambda x: x, most: int | None = None) -> DataFrame:
+    """then() of the rows of a numbered() table whose number is among the distinct ids(name) (how: left_semi), or is not (left_anti).
+
+    No row of the table is shuffled, however many ids there are: ids are broadcast in slices of at most so many, each for
+    a range of numbers, of which the scan reads only the row groups that may have any. Several slices give a written table.
+    """
+    most = most or BROADCAST_ROWS
+    step = most.bit_length() - 1  # a chunk of numbers holds 2 ** step ids at most
+    ranges: list[list[int]] = []
+    for chunk, n in sorted((r.chunk, r.n) for r in ids.groupBy(F.shiftright(F.col(name), step).alias("chunk")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        if ranges and ranges[-1][1] + n <= most:
+            ranges[-1][1] += n
+        else:
+            ranges.append([chunk << step, n])
+    lows = [r[0] for r in ranges]
+    if len(lows) < 2:
+        return then(rows.join(F.broadcast(ids), name, how))
+    key = F.col(name)
+    parts = []
+    for lo, hi in zip([None, *lows[1:]], [*lows[1:], None], strict=True):
+        within = F.lit(True)
+        if lo is not None:
+            within = within & (key >= lo)
+        if hi is not None:
+            within = within & (key < hi)
+        parts.append(then(rows.filter(within).join(F.broadcast(ids.filter(within)), name, how)))
+    return _written(rows.sparkSession, parts[0].schema, parts)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,12 +7,15 @@ fill K bins use fewer bins and more permutations (two shingles a bin at least),
 near such a border is entered under both layouts. BANDS keys of K / BANDS slots name the buckets.
 
 Within a bucket candidates are a star: every member with the member whose hash is least. A pair goes on if its sketches
-agree in more than SLACK below the threshold (over five standard deviations), and is linked if the full sets say so. That
+agree in more than the threshold less SLACK (over five standard deviations), and is linked if the full sets say so. That
 leaves buckets whose members are still in several components; links among those are found exactly. A member outside its
 bucket's main component can miss only so many of its shingles in a partner; of one more than these, its rarest by count
 among all such members, a partner must have one. Shingles that nobody else has drop out, and most members with them. Who
 would have over HEAVY partners by this is one of a stated set that is compared, in blocks, with all sets by an inverted
-index, which gives links but no pairs. So pairs follow the number of members, and no link between components is lost.
+index, which gives links but no pairs. So pairs follow the number of members, and no link between components is lost:
+pairs found by rare shingles go to the full sets without a look at their sketches.
+
+Rows have numbers, by which everything is joined; a doc_id may repeat or be null.
 """
 
 from __future__ import annotations
@@ -27,14 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm._bytes import mix, seeds, shingles, spaces_split, word_rows
-from quillframe.llm._common import discard, free, small, without, written
+from quillframe.llm._common import discard, free, numbered, picked, small, written
 
 K, BANDS = 128, 32
 SLACK = 0.2
 #: Partners by rare shingles beyond which a member is compared by index, and shingles in one block of such members.
 HEAVY, INDEX_SHINGLES = 128, 2_000_000
-#: Bytes of a shingle's hash that are kept for the comparison of full sets: a chance of n * n / 2**48 of one too many.
-WIDTH = 6
 _PERMS = seeds(K, 21)
 _PROBES = np.random.default_rng(22).integers(0, K, (64, K))
 
@@ -73,13 +74,13 @@ def bucket_keys(slots: np.ndarray, bins: int) -> np.ndarray:
 
 
 def _describe(k: int, similarity: float):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bins", pa.int32()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("at", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bins", pa.int32()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = spaces_split()
         for batch in batches:
             rows: list[tuple] = []
-            for _, first, h in word_rows(batch.column(1), words):
+            for _, first, h in word_rows(batch.column(2), words):
                 for i in range(len(first) - 1):
                     s = shingles(h[first[i] : first[i + 1]], k)
                     if not len(s):
@@ -93,7 +94,7 @@ def _describe(k: int, similarity: float):
                         keys = np.concatenate([keys, bucket_keys(sketch(s, other), other)])
                     rows.append((len(s), int(k1), int(k2), own, (slots & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), np.unique(keys)))
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)
 
     return run
 
@@ -102,19 +103,16 @@ def _full_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = spaces_split()
         for batch in batches:
-            ids = batch.column(0)
+            nodes = batch.column(0)
             for lo, first, h in word_rows(batch.column(1), words):
                 sets = [shingles(h[first[i] : first[i + 1]], k) for i in range(len(first) - 1)]
-                packed = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(packed, pa.binary())], names=["node", "n", "packed"])
+                yield pa.RecordBatch.from_arrays([nodes.slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "packed"])
 
     return run
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // WIDTH, 8), np.uint8)
-    out[:, :WIDTH] = np.frombuffer(b, np.uint8).reshape(-1, WIDTH)
-    return out.view(np.uint64).ravel()
+    return np.frombuffer(b, np.uint64)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +147,9 @@ def _confirm(percent: int):
             a, b, na, nb, pa_, pb = (batch.column(i) for i in range(6))
             ok = np.zeros(len(batch), bool)
             for i in range(len(batch)):
+                small_, large = sorted((na[i].as_py(), nb[i].as_py()))
+                if 100 * small_ < percent * large:
+                    continue
                 x = pa_[i].as_py()
                 if x != seen[0]:
                     seen = (x, _unpack(x))
@@ -177,57 +178,95 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text): component_id is the least doc_id that links of at least percent / 100 Jaccard similarity reach.
+@dataclass
+class _Classes:
+    """base: (at, doc_id, n_shingles, k1, k2) of each numbered row; k1, k2 name its shingle set and are null if that is empty. of: (k1, k2, node) of each set, node being the row with the least doc_id (nulls last) and then number that has it. links: (a, b) between nodes of sets that are alike."""
 
-    Null and empty texts have no shingles and link with nothing. Rows that repeat a doc_id are one node: they share its
-    component and are all kept if it is. A null doc_id cannot be named: such rows take no part, have no component, and
-    are kept. Other columns are ignored.
-    """
+    base: DataFrame
+    of: DataFrame
+    links: DataFrame
+
+
+def _classes(rows: DataFrame, k: int, percent: int) -> _Classes:
+    """Of numbered rows (at, doc_id, text)."""
     similarity = percent / 100
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = written(own.mapInArrow(_describe(k, similarity), "doc_id long, n_shingles long, k1 long, k2 long, bins int, sig binary, keys array<long>"))
-    classes = written(base.filter("doc_id is not null and n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n_shingles", "bins", "sig", "keys"))))
+    base = written(rows.select("at", "doc_id", "text").mapInArrow(_describe(k, similarity), "at long, doc_id long, n_shingles long, k1 long, k2 long, bins int, sig binary, keys array<long>"))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "at")
+    classes = written(base.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min(order).alias("best"), *(F.first(c).alias(c) for c in ("n_shingles", "bins", "sig", "keys"))).withColumn("node", F.col("best.at")))
     entries = classes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64(F.lit(3), "node")).alias("centre")).filter("m > 1")
     members = written(entries.join(shared, "key"))
     nodes = written(members.select("node").distinct())
-    wanted = small(nodes, nodes.count())
-    sets = written(own.join(wanted, own.doc_id == wanted.node, "left_semi").mapInArrow(_full_sets(k), "node long, n long, packed binary"))
+    sets = written(picked(rows.select(F.col("at").alias("node"), "text"), nodes, "node", "left_semi", lambda found: found.mapInArrow(_full_sets(k), "node long, n long, packed binary")))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        n = pairs.count()
+    def confirmed(pairs: DataFrame, sketched: bool) -> DataFrame:
+        """The pairs (a written table) that full sets confirm; sketched: after a look at their sketches."""
+        n, likely = pairs.count(), pairs
         if not n:
-            return pairs
-        side = lambda x: classes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "bins", "sig")))
-        both = small(pairs, n).join(side("a"), "a")
-        both = both.join(side("b"), "b").select("a", "b", *(f"{c}_{x}" for c in ("n_shingles", "bins", "sig") for x in "ab"))
-        likely = written(both.mapInArrow(_alike(similarity), "a long, b long"))
-        n = likely.count()
+            return pairs.sparkSession.createDataFrame([], "a long, b long")
+        if sketched:
+            side = lambda x: classes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "bins", "sig")))
+            both = small(pairs, n).join(side("a"), "a")
+            both = both.join(side("b"), "b").select("a", "b", *(f"{c}_{x}" for c in ("n_shingles", "bins", "sig") for x in "ab"))
+            likely = written(both.mapInArrow(_alike(similarity), "a long, b long"))
+            n = likely.count()
         left = small(likely, n).join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("packed").alias("p_a")), "a")
         ends = likely.select(F.col("b").alias("node")).distinct()
         right = sets.join(small(ends, n), "node", "left_semi").select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("packed").alias("p_b"))
         out = written(left.join(right, "b").select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(_confirm(percent), "a long, b long").distinct())
-        discard(likely)
+        if sketched:
+            discard(likely)
         return out
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     star = written(members.filter("node != centre").select(*pair("node", "centre")).distinct())
-    links = confirmed(star)
+    links = confirmed(star, True)
     labels = components(links)
     known = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
     mixed = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).groupBy("key").agg(F.max_by("comp", "c").alias("main"), F.count(F.lit(1)).alias("comps"), F.min("n").alias("least")).filter("comps > 1")
     open_ = written(known.join(mixed, "key").groupBy("node", "n", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("minor"), F.min(F.when(F.col("comp") != F.col("main"), F.col("least"))).alias("least")))
     if open_.limit(1).count():
-        more = _rare_links(open_, sets, star, confirmed, similarity, percent)
-        if more.limit(1).count():
-            labels = components(links.union(more))
-    discard(sets, nodes)
-    found = classes.select("k1", "k2", "node").join(labels, "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("component"))
-    return base.select("doc_id", "n_shingles", "k1", "k2").join(found, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
+        links = written(links.union(_rare_links(open_, sets, star, confirmed, similarity, percent)))
+    discard(sets, nodes, members, star, open_, labels)
+    return _Classes(base.select("at", "doc_id", "n_shingles", "k1", "k2"), classes.select("k1", "k2", "node", F.col("best.doc_id").alias("doc_id")), links)
+
 
+def _best(found: _Classes, links: DataFrame) -> DataFrame:
+    """(k1, k2, at, least) of each set that is in a component of several sets: the component's first row by doc_id (nulls last) and number, and its doc_id."""
+    inside = found.of.join(components(links), "node")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.col("node").alias("at"))).alias("first")
+    return written(inside.select("k1", "k2", "comp").join(inside.groupBy("comp").agg(first), "comp").select("k1", "k2", F.col("first.at").alias("at"), F.col("first.doc_id").alias("least")))
 
-def _rare_links(open_: DataFrame, sets: DataFrame, tested: DataFrame, confirmed: Callable[[DataFrame], DataFrame], similarity: float, percent: int) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text): component_id is the least doc_id that links of at least percent / 100 Jaccard similarity reach.
+
+    Null and empty texts have no shingles and link with nothing. Rows that repeat a doc_id are one document, whatever their
+    texts: what any of them links with is in the component of all, and all are kept if it is. Rows with a null doc_id link
+    like others, and may so join two documents; their component_id is the least doc_id reached, and null if there is none,
+    in which case they are kept. Texts of any length are read whole. A table without rows gives none. Other columns are
+    ignored.
+    """
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "at")
+    found = _classes(rows, k, percent)
+    discard(rows)
+    again = written(found.base.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("doc_id"))
+    n = again.count()
+    links = found.links
+    if n:
+        named = written(found.base.join(small(again, n), "doc_id").join(found.of.select("k1", "k2", "node"), ["k1", "k2"]).select("doc_id", "node").distinct())
+        hubs = named.groupBy("doc_id").agg(F.min("node").alias("a"))
+        links = written(links.union(small(hubs, n).join(named, "doc_id").filter("a != node").select("a", F.col("node").alias("b"))))
+        discard(named)
+    classes = found.of.select("k1", "k2", "doc_id").join(_best(found, links), ["k1", "k2"], "left").select("k1", "k2", F.when(F.col("at").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component"))
+    out = found.base.join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    if n:  # an empty text is in the component of its document's other rows
+        whole = written(out.join(small(again, n), "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("all")))
+        out = out.join(small(whole, n), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("all", "component_id").alias("component_id"))
+    return out.withColumn("kept", F.when(F.col("doc_id").isNull(), F.col("component_id").isNull()).otherwise(F.col("doc_id") == F.col("component_id")))
+
+
+def _rare_links(open_: DataFrame, sets: DataFrame, tested: DataFrame, confirmed: Callable[[DataFrame, bool], DataFrame], similarity: float, percent: int) -> DataFrame:
     """Links (a, b) of minor members of open_ (node, n, comp, minor, least) with any member of another component, by their rarest shingles."""
     spark, n_open = open_.sparkSession, open_.count()
     own_sets = written(sets.join(small(open_.select("node", "comp"), n_open), "node"))
@@ -244,7 +283,7 @@ def _rare_links(open_: DataFrame, sets: DataFrame, tested: DataFrame, confirmed:
     other = small(light, light.count()).join(tokens.select("token", F.col("node").alias("y")), "token").filter("x != y").select("x", "y", "cx").distinct()
     other = other.join(small(open_.select(F.col("node").alias("y"), F.col("comp").alias("cy")), n_open), "y").filter("cx != cy")
     fresh = written(other.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-    links = confirmed(fresh)
+    links = confirmed(fresh, False)
     heavy = written(prefix.filter(F.col("weight") > HEAVY).select("node").distinct())
     queries = own_sets.join(small(heavy, n_open), "node", "left_semi")
     blocks = -(-(queries.agg(F.sum("n")).first()[0] or 0) // INDEX_SHINGLES)
@@ -303,11 +342,15 @@ def _against(sent, percent: int):
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without near copies: of each component the row with the least doc_id stays, and one row of each repeated doc_id."""
-    key, name = F.col("doc_id").cast("long"), free(docs, "__again")
-    again = written(docs.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).filter(F.col(name).isNotNull()).select(name))
-    n = again.count()
-    if n:
-        once = docs.join(small(again, n), key == F.col(name), "left_semi").dropDuplicates(["doc_id"])
-        docs = docs.join(small(again, n), key == F.col(name), "left_anti").unionByName(once)
-    return without(docs, near_duplicates(docs, k, percent).filter("not kept"))
+    """docs without near copies: of each group of rows whose texts links join, the one with the least doc_id stays (null ones come last; of rows with one doc_id, the first).
+
+    Rows are judged by their texts: rows that share a doc_id but have other texts all stay, and a row with a null doc_id is
+    dropped if its text is near that of a row that stays. Null and empty texts link with nothing and stay. A table without
+    rows gives none. Columns stay as they are.
+    """
+    name = free(docs, "__at")
+    rows = numbered(docs, name)
+    found = _classes(rows.select(F.col(name).alias("at"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), k, percent)
+    best = found.of.select("k1", "k2", F.col("node").alias("own")).join(_best(found, found.links).select("k1", "k2", "at"), ["k1", "k2"], "left").select("k1", "k2", F.coalesce("at", "own").alias("stays"))
+    gone = written(found.base.join(best, ["k1", "k2"]).filter("at != stays").select(F.col("at").alias(name)))
+    return picked(rows, gone, name, "left_anti", lambda left: left.select(*(F.col(f"`{c}`") for c in docs.columns)))

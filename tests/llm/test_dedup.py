@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.llm import ann_rabitq, decontam, minhash_oph, pfair_mix, queries
+from quillframe.llm import _common, ann_rabitq, decontam, minhash_oph, pfair_mix, queries
 from quillframe.llm._bytes import CHUNK, alnum_split, pieces, shingles, spaces_split
 
 
@@ -19,15 +19,14 @@ def word_set(text, k):
 
 
 def brute(rows, k, percent):
+    """Rows are nodes; rows of one doc_id and rows whose texts link are joined."""
     sets = [(d, word_set(t, k)) for d, t in rows]
-    comp = {d: d for d, _ in rows if d is not None}
-    links = [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if a is not None and b is not None and x and y and 100 * len(x & y) >= percent * len(x | y)]
-    while True:
-        before = dict(comp)
-        for a, b in links:
-            comp[a] = comp[b] = min(comp[a], comp[b])
-        if comp == before:
-            return sorted(((d, len(s), comp.get(d), d is None or comp[d] == d) for d, s in sets), key=str)
+    group = list(range(len(rows)))
+    for (i, (a, x)), (j, (b, y)) in itertools.combinations(enumerate(sets), 2):
+        if (a is not None and a == b) or (x and y and 100 * len(x & y) >= percent * len(x | y)):
+            group = [group[i] if g == group[j] else g for g in group]
+    least = {g: min((d for (d, _), h in zip(sets, group, strict=True) if h == g and d is not None), default=None) for g in group}
+    return sorted(((d, len(s), least[g], d == least[g]) for (d, s), g in zip(sets, group, strict=True)), key=str)
 
 
 def corpus(seed):
@@ -62,27 +61,49 @@ def corpus(seed):
     return [(int(d), rows[i][1]) for d, i in zip(sorted(r[0] for r in rows), order, strict=True)]
 
 
-EDGES = [(1, None), (2, ""), (3, "  \n "), (4, "one"), (5, "ONE"), (6, "one two three"), (7, "One\ttwo\nthree"), (8, "é É"), (9, "é é"), (None, "one"), (4, "one")]
+EDGES = [(1, None), (2, ""), (3, "  \n "), (4, "one"), (5, "ONE"), (6, "one two three"), (7, "One\ttwo\nthree"), (8, "é É"), (9, "é é"), (None, "one"), (4, "one"), (None, "none has this"), (None, None)]
+#: Different texts under one doc_id: the one with two texts joins what each of them links with, an empty one follows the others.
+SHARED = [(9002, "a b c d e f"), (9004, "a b c d e f"), (9004, "u v w x y z"), (9009, "u v w x y z"), (9009, ""), (9011, "u v w x y z"), (None, "m n o p q r"), (9012, "m n o p q r"), (9013, "m n o p q r"), (9013, "m n o p q r"), (9014, "u v w x y z")]
 
 
 @pytest.mark.parametrize(("seed", "k"), [(1, 4), (2, 5)])
 def test_near_duplicates(spark, seed, k, monkeypatch):
     monkeypatch.setattr(minhash_oph, "HEAVY", 8)  # so that the index takes part
     monkeypatch.setattr(minhash_oph, "INDEX_SHINGLES", 1000)
-    rows = corpus(seed) + EDGES
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", 64)  # so that numbers are broadcast in slices
+    rows = corpus(seed) + EDGES + SHARED
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as a", "3 as kept", "4 as component_id")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_oph.near_duplicates(docs, k, 80).collect()), key=str)
     assert got == brute(rows, k, 80)
 
 
-def test_one_of_each(spark):
-    rows = [(3, "a b c d e f g"), (1, "A b c d e f g"), (2, "other words stand here today ok"), (2, "other words stand here today ok"), (5, None), (None, "a b c d e f g")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__again", F.lit(1)).withColumn("__gone", F.lit(1))
+@pytest.mark.parametrize("most", [2, 400_000])
+def test_one_of_each(spark, most, monkeypatch):
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", most)
+    rows = [(3, "a b c d e f g", 0), (1, "A b c d e f g", 1), (2, "other words stand here today ok", 2), (2, "other words stand here today ok", 3), (2, "a second text of this document", 4), (5, None, 5), (5, "", 6), (None, "a b c d e f g", 7)]
+    rows += [(None, "one that nobody else has at all", 8), (None, "one that nobody else has at all", 9), (None, None, 10), (7, "one", 11), (8, "one", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumn("__at", F.lit(1)).withColumn("at", F.lit(1)).coalesce(1)
     got = minhash_oph.one_of_each(docs)
-    assert got.columns == docs.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "5", "None"]
+    assert got.columns == docs.columns and sorted(r.n for r in got.collect()) == [1, 2, 4, 5, 6, 8, 10, 11]
     assert minhash_oph.one_of_each(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_picked_in_slices(spark, how):
+    rows = _common.numbered(spark.range(0, 5000, numPartitions=7).toDF("v"), "at")
+    ids = rows.filter("v % 3 = 0").select("at")
+    for most in (16, 100, 10_000):
+        got = _common.picked(rows, ids, "at", how, lambda x: x.select("v"), most=most)
+        assert sorted(r.v for r in got.collect()) == [v for v in range(5000) if (v % 3 == 0) == (how == "left_semi")]
+    assert _common.picked(rows, ids.limit(0), "at", how, most=16).count() == (0 if how == "left_semi" else 5000)
+
+
+def test_near_duplicates_of_a_very_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(120_000))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, text[: len(text) // 2]), (4, text)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash_oph.near_duplicates(docs, 5, 80).collect()) == [(1, 119_996, 1), (2, 119_997, 1), (3, len(text[: len(text) // 2].split()) - 4, 3), (4, 119_996, 1)]
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(5)
     for n in (6, 30, 130, 2000):
