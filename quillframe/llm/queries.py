@@ -55,7 +55,7 @@ def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pfair_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return pfair_mix.mix(table(spark, sf_dir, "documents"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

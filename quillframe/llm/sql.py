@@ -58,17 +58,17 @@ FROM d LEFT JOIN a USING (doc_id)
 
 OP8 = r"""
 WITH RECURSIVE
-d AS MATERIALIZED (SELECT row_number() OVER () AS at, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT at, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT rid, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
       ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS g FROM d),
-n AS (SELECT at, doc_id, len(g)::BIGINT AS n FROM s),
-e AS (SELECT at, hash(unnest(g)) AS h FROM s),
-common AS (SELECT x.at AS a, y.at AS b, count(*) AS c FROM e x JOIN e y ON x.h = y.h AND x.at < y.at GROUP BY ALL),
-links AS (SELECT a, b FROM common JOIN n na ON na.at = a JOIN n nb ON nb.at = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
-edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT x.at, y.at FROM n x JOIN n y ON x.doc_id = y.doc_id AND x.at <> y.at),
-reach(at, r) AS (SELECT at, at FROM n UNION SELECT reach.at, edges.b FROM reach JOIN edges ON reach.r = edges.a),
-comp AS (SELECT reach.at, min(doc_id)::BIGINT AS component_id FROM reach JOIN n ON n.at = r GROUP BY reach.at)
-SELECT n.doc_id, n.n AS n_shingles, component_id, CASE WHEN n.doc_id IS NULL THEN component_id IS NULL ELSE n.doc_id = component_id END AS kept FROM n JOIN comp USING (at)
+n AS (SELECT rid, doc_id, len(g)::BIGINT AS n FROM s),
+e AS (SELECT rid, hash(unnest(g)) AS h FROM s),
+common AS (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM e x JOIN e y ON x.h = y.h AND x.rid < y.rid GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT x.rid, y.rid FROM n x JOIN n y ON x.doc_id = y.doc_id AND x.rid <> y.rid),
+reach(rid, r) AS (SELECT rid, rid FROM n UNION SELECT reach.rid, edges.b FROM reach JOIN edges ON reach.r = edges.a),
+comp AS (SELECT reach.rid, min(doc_id)::BIGINT AS component_id FROM reach JOIN n ON n.rid = r GROUP BY reach.rid)
+SELECT n.doc_id, n.n AS n_shingles, component_id, CASE WHEN n.doc_id IS NULL THEN component_id IS NULL ELSE n.doc_id = component_id END AS kept FROM n JOIN comp USING (rid)
 """
 
 OP9 = """

@@ -175,39 +175,73 @@ def test_wand_equals_full_scoring():
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.3, "c": 0.2}])
-def test_mixing(spark, weights):
+def plain_schedule(blocks, weights):
+    """Slot by slot, without periods: (source, block, deadline, release) in order, windows anew when a source has run out."""
+    left, done, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), []
+    while left:
+        q, run, began = pfair_mix.quotas({s: weights[s] for s in sorted(left)}), dict.fromkeys(left, 0), len(out)
+        while True:
+            t = len(out) - began
+            free = [(-(-(run[s] + 1) * pfair_mix.SCALE // q[s]), s) for s in left if run[s] * pfair_mix.SCALE // q[s] <= t]
+            deadline, s = min(free)
+            assert t < deadline
+            out.append((s, done[s]))
+            run[s], done[s], left[s] = run[s] + 1, done[s] + 1, left[s] - 1
+            assert all(abs(run[x] - (t + 1) * q[x] / pfair_mix.SCALE) < 1 for x in left)
+            if not left[s]:
+                del left[s]
+                break
+    return out
+
+
+@pytest.mark.parametrize("scale", [20, 1000, 100_000])
+def test_periods_give_the_schedule(scale, monkeypatch):
+    monkeypatch.setattr(pfair_mix, "SCALE", scale)
+    for seed in range(25):
+        rng = np.random.default_rng(seed)
+        names = [f"s{i}" for i in range(int(rng.integers(1, 9)))]
+        weights = dict(zip(names, (rng.random(len(names)) + 0.05).tolist(), strict=True))
+        rows = {s: int(rng.integers(0, 400)) for s in names}
+        want = plain_schedule({s: -(-n // 3) for s, n in rows.items()}, weights)
+        got, lost = {}, 0
+        for p in pfair_mix.phases(rows, weights, 3):
+            assert p.first == 0 or p.short == lost + 3 * -(-rows[want[p.first - 1][0]] // 3) - rows[want[p.first - 1][0]]
+            lost = p.short
+            for s, done in p.done.items():
+                for b in range(done, -(-rows[s] // 3)):
+                    turns, i = divmod(b - done, p.quotas[s])
+                    if i < len(p.places[s]):
+                        got[s, b] = p.first + turns * scale + p.places[s][i]  # a later phase has the last word
+        assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == want and sorted(got.values()) == list(range(len(want)))
+
+
+@pytest.mark.parametrize(("weights", "scale", "most"), [(None, 100_000, 400_000), ({"a": 0.5, "b": 0.3, "c": 0.2}, 100_000, 4), ({"a": 0.5, "b": 0.3, "c": 0.2}, 20, 400_000)])
+def test_mixing(spark, weights, scale, most, monkeypatch):
+    monkeypatch.setattr(pfair_mix, "SCALE", scale)
     counts = {"a": 700, "b": 90, "c": 301, None: 5, "zero": 0}
-    rows = [(i, s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))] + [(0, "a")]
-    docs = spark.createDataFrame(rows, "doc_id long, source string").selectExpr("*", "1 as __source", "2 as MIX_SLOT")
-    got = pfair_mix.mix(docs, weights, block_rows=10).collect()
-    assert sorted(r.mix_position for r in got) == list(range(len(rows))) and sorted(map(str, ((r.doc_id, r.source) for r in got))) == sorted(map(str, rows))
-    assert all(r["__source"] == 1 for r in got)
+    rows = [(i, s, f"t{i}") for i, s in enumerate(s for s, n in counts.items() for _ in range(n))] + [(0, "a", "t0")] * 50 + [(None, "a", None)] * 200 + [(None, "c", "x" * 300_000), (3, "c", ""), (3, "c", "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 as __mix_of", "2 as MIX_SLOT", "3 as part", "4 as n").repartition(7)
+    got = pfair_mix.mix(docs, weights, block_rows=10, most=most).collect()
+    assert sorted(r.mix_position for r in got) == list(range(len(rows))) and sorted(map(str, ((r.doc_id, r.source, r.text) for r in got))) == sorted(map(str, rows))
+    assert all((r["__mix_of"], r.part, r.n) == (1, 3, 4) for r in got)
+    size = {s: sum(x == s for _, x, _ in rows) for s in counts}
+    names = {s: "" if s is None else f"={s}" for s in counts}
+    shares = {f"={s}": w for s, w in weights.items()} if weights else pfair_mix.tempered({names[s]: n for s, n in size.items() if n})
+    want = plain_schedule({names[s]: -(-n // 10) for s, n in size.items()}, {n: shares.get(n, 1 / 3) for n in names.values()})
     by_slot = {}
-    for r in got:
-        by_slot.setdefault(r.mix_slot, set()).add((r.source, r.mix_block))
-    assert all(len(v) == 1 for v in by_slot.values()) and sorted(by_slot) == list(range(len(by_slot)))
+    for r in sorted(got, key=lambda r: r.mix_position):
+        by_slot.setdefault(r.mix_slot, []).append((names[r.source], r.mix_block))
+    assert list(by_slot) == list(range(len(want)))  # positions follow slots
+    for slot, (s, block) in enumerate(want):
+        n = next(n for x, n in size.items() if names[x] == s)
+        assert by_slot[slot] == [(s, block)] * min(10, n - 10 * block)
     assert pfair_mix.mix(docs.limit(0), weights).count() == 0
 
 
-def test_schedule_is_fair():
-    for seed in range(30):
-        rng = np.random.default_rng(seed)
-        names = [f"s{i}" for i in range(int(rng.integers(1, 9)))]
-        weights = dict(zip(names, (rng.random(len(names)) + 0.02).tolist(), strict=True))
-        blocks = {s: int(rng.integers(1, 200)) for s in names}
-        out = pfair_mix.schedule(blocks, weights)
-        assert sorted(out) == sorted((s, b) for s in names for b in range(blocks[s]))
-        left, at = dict(blocks), 0
-        while any(left.values()):
-            active = [s for s in names if left[s]]
-            total, run, slots = sum(weights[s] for s in active), dict.fromkeys(active, 0), 0
-            while all(left[s] for s in active):
-                s, _ = out[at]
-                at, slots = at + 1, slots + 1
-                run[s] += 1
-                left[s] -= 1
-                assert all(abs(run[x] - slots * weights[x] / total) < 1 + 1e-3 for x in active)
+def test_mixing_moves_no_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = pfair_mix.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
 
 
 def test_neighbours(spark):
