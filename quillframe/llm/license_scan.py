@@ -1,12 +1,13 @@
 """Licence labels from a positional index of rare words.
 
-Templates are word sequences with a mandatory phrase. Document frequencies of the phrases' words are counted over the
-whole corpus (as substrings, so a file that has a word is never missed and no file has to be split for it); each template is
-indexed under the position of the word of its mandatory phrase with the highest IDF. A
-file looks its own index words up, which gives the places where a template would have to start; there the words at the
-same relative positions are compared. A place counts if the whole mandatory phrase stands there and at least KEEP of the
-template's words do. As the index word belongs to the mandatory phrase, no place is missed, whatever the frequencies.
-Everything happens within a row of the file, in built-in expressions: no shuffle but the count of a few hundred words.
+Templates are word sequences with a mandatory phrase. One pass splits every text and keeps where the words of all templates
+stand in it, as postings (position, word). From these the words' document frequencies over the whole corpus are counted, and
+so their IDF. The templates' postings are indexed by word; of the words that a file has, those that are the rarest (highest
+IDF) of some template's mandatory phrase are looked up, which gives the places where the template would have to start. At
+each place the file's postings near it, counted from there, are intersected with the template's: a place counts if the whole
+mandatory phrase stands there and at least KEEP of the template's words do. A file that has the phrase has its rarest word,
+so no place is missed, whatever the frequencies. Everything happens within a row, in built-in expressions: no shuffle but
+the count of some hundred words, which is all that the driver gets.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.llm._common import written
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KEEP = 0.6
 
@@ -54,17 +57,32 @@ def folded(text: Column) -> Column:
     return F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\u01e9")))
 
 
-def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """In how many documents each word of the vocabulary stands, as part of longer words too; one row comes to the driver."""
-    low = docs.select(folded(F.col("text")).alias("low"))
-    row = low.agg(*(F.count(F.when(F.contains(F.col("low"), F.lit(w)), 1)).alias(w) for w in vocabulary)).first()
-    return row.asDict()
+def vocabulary(templates: tuple[Template, ...]) -> list[str]:
+    return sorted({w for t in templates for w in t.text.split()})
+
+
+def postings(docs: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, n_words, hits array<long>) of each row of docs: in order of positions, position * len(words) + number of the word."""
+    split = docs.select("doc_id", F.regexp_extract_all(folded(F.col("text")), F.lit(WORD), F.lit(0)).alias("words"))
+    listed = F.array(*map(F.lit, words))
+    hit = lambda w, i: F.when(w.isin(words), i.cast("long") * len(words) + F.array_position(listed, w) - 1)
+    return written(split.select("doc_id", F.size("words").cast("long").alias("n_words"), F.array_compact(F.transform("words", hit)).alias("hits")))
+
 
+def frequencies(rows: DataFrame, words: list[str]) -> dict[str, int]:
+    """In how many rows of postings() each word stands."""
+    one = rows.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h % len(words)))).alias("w"))
+    return {words[r.w]: r["count"] for r in one.groupBy("w").count().collect()}
 
-def _anchor(t: Template, df: dict[str, int]) -> tuple[int, str]:
-    """The position in the template, and the word, of the mandatory phrase's rarest word."""
+
+def _phrase_at(t: Template) -> int:
     words, phrase = t.text.split(), t.phrase.split()
-    at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+    return next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+
+
+def _rarest(t: Template, df: dict[str, int]) -> tuple[int, str]:
+    """The position in the template, and the word, of the mandatory phrase's rarest word; ties go to the first."""
+    at, phrase = _phrase_at(t), t.phrase.split()
     k = min(range(len(phrase)), key=lambda j: (df.get(phrase[j], 0), j))
     return at + k, phrase[k]
 
@@ -72,44 +90,37 @@ def _anchor(t: Template, df: dict[str, int]) -> tuple[int, str]:
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, keep: float = KEEP) -> DataFrame:
     """(doc_id, n_words, found array<struct<label, base, start, share>>) of each row of docs (doc_id, text).
 
-    Null and empty texts have no words and no places. start counts words from 0; share is the part of the template's
-    words that stand in place. Repeated rows are scanned alike; other columns are ignored.
+    Null and empty texts have no words and no places; texts of any length are read whole. start counts words from 0; share
+    is the part of the template's words that stand in place, and a template that starts before the text has places too.
+    Repeated rows and rows with a null doc_id are scanned like others; a table without rows gives none; other columns are
+    ignored.
     """
-    docs = docs.select("doc_id", "text")
-    df = frequencies(docs, sorted({w for t in templates for w in t.phrase.split()}))
-    anchors = {t: _anchor(t, df) for t in templates}
-    index_words = sorted({w for _, w in anchors.values()})
-    any_word = F.lit(False)
-    for w in index_words:
-        any_word = any_word | F.contains(F.col("low"), F.lit(w))
-    rows = docs.select("doc_id", folded(F.col("text")).alias("low"))
-    rows = rows.select("doc_id", any_word.alias("some"), F.regexp_extract_all("low", F.lit(WORD), 0).alias("words"))
-    hits = F.when(F.col("some"), F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(index_words), i)))).otherwise(F.array().cast("array<int>"))
-    rows = rows.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
-
-    def places(t: Template) -> Column:
-        pos, word = anchors[t]
-        words, phrase = t.text.split(), t.phrase.split()
-        at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
-
-        def stands(p: Column, j: int) -> Column:
-            return F.coalesce(F.get("words", p + (j - pos)) == words[j], F.lit(False))
-
-        def fits(p: Column) -> Column:
-            ok = F.get("words", p) == word
-            for j in range(at, at + len(phrase)):
-                if j != pos:
-                    ok = ok & stands(p, j)
-            return ok
-
-        def share(p: Column) -> Column:
-            n = F.lit(len(phrase))
-            for j in (*range(at), *range(at + len(phrase), len(words))):
-                n = n + stands(p, j).cast("int")
-            return n / F.lit(float(len(words)))
-
-        told = F.transform(F.filter("hits", fits), lambda p: F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), (p - pos).cast("int").alias("start"), share(p).alias("share")))
-        return F.filter(told, lambda x: x.share >= keep) if len(phrase) < len(words) else told
+    words = vocabulary(templates)
+    n, number = len(words), {w: i for i, w in enumerate(words)}
+    rows = postings(docs.select("doc_id", "text"), words)
+    df = frequencies(rows, words)
+    index: dict[str, list[tuple[Template, int]]] = {}
+    for t in templates:
+        offset, word = _rarest(t, df)
+        index.setdefault(word, []).append((t, offset))
+    rare = [number[w] for w in index]
+    told = F.transform("hits", lambda h, k: F.when((h % n).isin(rare), F.struct(k.alias("k"), F.floor(h / n).cast("long").alias("at"), (h % n).alias("word"))))
+    rows = rows.select("doc_id", "n_words", "hits", F.array_compact(told).alias("rare"))
+
+    def places(t: Template, offset: int, word: int) -> Column:
+        text, at = t.text.split(), _phrase_at(t)
+        own = [j * n + number[w] for j, w in enumerate(text)]
+        whole, must = (F.array(*(F.lit(c).cast("long") for c in codes)) for codes in (own, own[at : at + len(t.phrase.split())]))
+
+        def place(x: Column) -> Column:
+            start = x["at"] - offset
+            near = F.transform(F.slice("hits", F.greatest(x.k + 1 - offset, F.lit(1)), F.lit(len(text))), lambda h: h - start * n)
+            share = F.size(F.array_intersect(near, whole)) / F.lit(float(len(text)))
+            return F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), start.cast("int").alias("start"), share.alias("share"), (F.size(F.array_intersect(near, must)) == len(t.phrase.split())).alias("whole"))
+
+        found = F.filter(F.transform(F.filter("rare", lambda x: x.word == word), place), lambda x: x.whole & (x.share >= keep))
+        return F.transform(found, lambda x: F.struct(x.label.alias("label"), x.base.alias("base"), x.start.alias("start"), x.share.alias("share")))
 
     none = F.array().cast("array<struct<label:string,base:boolean,start:int,share:double>>")
-    return rows.select("doc_id", "n_words", F.when(F.size("hits") > 0, F.concat(*(places(t) for t in templates))).otherwise(none).alias("found"))
+    found = [places(t, offset, number[w]) for w, entries in index.items() for t, offset in entries]
+    return rows.select("doc_id", "n_words", F.when(F.size("rare") > 0, F.concat(*found)).otherwise(none).alias("found"))
