@@ -56,6 +56,21 @@ FROM d LEFT JOIN a USING (doc_id)
 """
 
 
+#: doc_id and the base columns of op3, by patterns alone.
+OP3_BASE = r"""
+WITH p(k, kind, pattern, grp, least) AS (VALUES (0, 'assign', '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12),
+  (1, 'access', 'AKIA[A-Z0-9]+', 0, 18), (2, 'hex', '[0-9a-f]+', 0, 16)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT rid, 0 AS k, regexp_extract_all(t, (SELECT pattern FROM p WHERE k = 0)) AS hit, regexp_extract_all(t, (SELECT pattern FROM p WHERE k = 0), 2) AS g, regexp_split_to_array(t, (SELECT pattern FROM p WHERE k = 0)) AS gap FROM d
+  UNION ALL SELECT rid, 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_split_to_array(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT rid, 2, regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), regexp_split_to_array(t, '[0-9a-f]+') FROM d),
+e AS (SELECT rid, k, unnest(hit) AS hit, unnest(g) AS g, unnest(gap[:len(hit)]) AS gap, unnest(range(len(hit))) AS i FROM m),
+s AS (SELECT rid, k, g, length(hit) AS n, sum(length(hit) + length(gap)) OVER (PARTITION BY rid, k ORDER BY i) AS stop FROM e),
+f AS (SELECT s.rid, k, kind, stop - n AS start, stop FROM s JOIN p USING (k) WHERE length(g) >= least),
+a AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, k) AS told FROM f GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(told, '')) AS base_sha256 FROM d LEFT JOIN a USING (rid)
+"""
+
 OP8 = r"""
 WITH RECURSIVE
 d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

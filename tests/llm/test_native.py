@@ -161,6 +161,21 @@ def test_tokens_of_one_class_are_tested(spark):
     assert sum(i not in left for i in range(len(keys))) >= 0.9 * len(keys) and all(i in left for i in range(len(keys), len(keys) + len(plain)))
 
 
+def test_many_matches_in_one_text(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("0123456789abcdef" if i % 2 else "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 32)) for i in range(20_000)]
+    texts = [" ".join(words), "token = " + "=".join(words[:3000]) + " ".join(f"AKIA{w[:16].upper()}" for w in words[:3000]), "secret=" + ".".join(words[:50])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.scan(docs, likely=secret_scan.ordinary(docs)).collect():
+        base = [tuple(x) for x in r.base]
+        assert base == base_spans(texts[r.doc_id])
+        free = [(m.start(), m.end()) for m in re.finditer(secret_scan.TOKEN, texts[r.doc_id])]
+        taken = np.zeros(len(texts[r.doc_id]), bool)
+        for start, _, end in base:
+            taken[start:end] = True
+        assert {(x.start, x.end) for x in r.random} == {(s, e) for s, e in free if not taken[s:e].any()}
+
+
 def test_discoveries_is_benjamini_hochberg():
     for seed in range(20):
         rng = np.random.default_rng(seed)
