@@ -5,8 +5,9 @@ from its own text, so one threshold fits all items: a window retrieves an item i
 WAND's upper bounds work at three levels, each exact. Common words are chosen so that no item gets more than COMMON of its
 score from them; so a window retrieves nothing if the largest impacts of its other words add up to less than the rest of
 the threshold (one running sum over the document). Nor does, for the windows left, a block of items in which the words'
-largest block impacts add up to less than the threshold; within the blocks left, items are scored in full. What is retrieved is
-verified on the document's words around the window: at least Q_OVERLAP of the question's and A_OVERLAP of the answer's
+largest block impacts add up to less than the threshold; within the blocks left, items are scored in full. The windows of
+many documents go through each level together, so terms are added up in bulk where WAND would move a pivot: the same blocks
+are skipped. What is retrieved is verified on the document's words around the window: at least Q_OVERLAP of the question's and A_OVERLAP of the answer's
 five-word runs (the whole, if it has fewer words) must stand there. The answer is what follows the last "answer:" of an
 item; without that, its last sentence.
 
@@ -19,7 +20,7 @@ of all items in any case.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm._bytes import alnum_split, mix, seeds, word_rows
-from quillframe.llm._common import by_text, without_texts, written
+from quillframe.llm._common import discard, kept_by, written
 
 K1, B, THRESHOLD, COMMON, Q_OVERLAP, A_OVERLAP = 1.2, 0.75, 0.5, 0.25, 0.6, 0.6
 SHORTEST, BLOCK, RUN = 64, 16, 5
+#: Postings of blocks that are added up at a time.
+CELLS = 200_000
 ITEMS_A_PASS, ITEM_BYTES_A_PASS = 20_000, 32_000_000
 
 
@@ -156,25 +159,32 @@ def search(index: Index, h: np.ndarray, first: np.ndarray, threshold: float = TH
         live = open_[window]
         pairs.append(window[live] * n_words + at[place[ok][live]])
     window, word = np.divmod(np.unique(np.concatenate(pairs)), n_words)
-    ends = [*np.searchsorted(window, window[50_000::50_000]), len(window)]
-    for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+    # pieces of whole windows, of CELLS block postings at most unless one window has more
+    work = np.cumsum(index.block_starts[word + 1] - index.block_starts[word])
+    lo = 0
+    while lo < len(window):
+        hi = max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + CELLS, "right")))
+        hi = int(np.searchsorted(window, window[hi], "left")) if hi < len(window) else hi
+        if hi <= lo:
+            hi = int(np.searchsorted(window, window[lo], "right"))
         yield from _score(index, window[lo:hi], word[lo:hi], least, row_of, lows, n_items)
+        lo = hi
 
 
 def _score(index: Index, window: np.ndarray, word: np.ndarray, least: float, row_of: np.ndarray, lows: np.ndarray, n_items: int) -> Iterator[tuple[int, int, int, float]]:
-    """Blocks by their upper bounds, then the items of the blocks left, for (window, word) pairs in order of windows."""
-    if not len(window):
-        return
+    """Blocks by their upper bounds, then the items of the blocks left, for (window, word) pairs in order of windows. Only blocks and items that share a word with a window take memory."""
     names, number = np.unique(window, return_inverse=True)
     n_blocks = n_items // BLOCK + 1
-    of = _slices(index.block_starts, word)
-    cell = np.repeat(number, index.block_starts[word + 1] - index.block_starts[word]) * n_blocks + index.blocks[of]
-    alive = np.bincount(cell, index.block_most[of], minlength=len(names) * n_blocks) >= least
-    live = alive.reshape(-1, n_blocks).any(axis=1)[number]
+    cell = np.repeat(number, index.block_starts[word + 1] - index.block_starts[word]) * n_blocks + index.blocks[at := _slices(index.block_starts, word)]
+    cells, inverse = np.unique(cell, return_inverse=True)
+    alive = cells[np.bincount(inverse, index.block_most[at], minlength=len(cells)) >= least]
+    if not len(alive):
+        return
+    live = np.isin(number, alive // n_blocks)
     word, number = word[live], number[live]
     of = _slices(index.starts, word)
     many = np.repeat(number, index.starts[word + 1] - index.starts[word])
-    ok = alive[many * n_blocks + index.items[of] // BLOCK]
+    ok = np.isin(many * n_blocks + index.items[of] // BLOCK, alive)
     key, inverse = np.unique(many[ok] * n_items + index.items[of][ok], return_inverse=True)
     score = np.bincount(inverse, index.impacts[of][ok], minlength=len(key))
     for i in np.flatnonzero(score >= least):
@@ -205,30 +215,37 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([parts[lo + i]] * len(u), pa.int32()), pa.array(u.view(np.int64)), pa.array([int(first[i + 1] - first[i]), *[0] * (len(u) - 1)][: len(u)], pa.int64())], names=["part", "word", "words"])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = Q_OVERLAP, answer: float = A_OVERLAP) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap, word) of each row of docs (doc_id, text) and each test item (item_id, text) that it holds; word is where the best window begins.
-
-    Null and empty texts hold nothing and are held by nothing, as are items without an id; items that repeat an id give
-    a row each. A document that repeats gives rows for each of its rows; a null doc_id is returned as it is. Without
-    items or documents there are no rows. Other columns are ignored.
-    """
-    spark = docs.sparkSession
+def _indexes(items: DataFrame) -> Iterator:
+    """Broadcast indexes of items (item_id, text), one block of items at a time."""
+    spark = items.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     passes = max(1, -(-size.n // ITEMS_A_PASS), -(-size.b // ITEM_BYTES_A_PASS))
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(passes)).cast("int"))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)).cast("int"))
     words = dealt.select("part", "text").mapInArrow(_item_words, "part int, word long, words long")
     stats = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.collect_set("part").alias("parts"), F.sum("words").alias("words")))
     mean = (stats.agg(F.sum("words")).first()[0] or 0) / max(1, size.n)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, word long"
-    out = spark.createDataFrame([], schema)
     for part in range(passes):
         df = {r.word % 2**64: r.df for r in stats.filter(F.array_contains("parts", part)).select("word", "df").toLocalIterator()}
         block = [(r.item_id, r.text) for r in dealt.filter(F.col("part") == part).select("item_id", "text").collect()]
-        index = spark.sparkContext.broadcast(build(sorted(block), df, size.n, mean))
+        yield spark.sparkContext.broadcast(build(sorted(block), df, size.n, mean))
+    discard(stats)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = Q_OVERLAP, answer: float = A_OVERLAP) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap, word) of each row of docs (doc_id, text) and each test item (item_id, text) that it holds; word is where the best window begins.
+
+    Null and empty texts hold nothing and are held by nothing, as are items without an id; items that repeat, or share an
+    id, give a row each. A document that repeats gives rows for each of its rows; a null doc_id is returned as it is. Of
+    windows that score alike the first counts. Texts of any length are searched whole. Without items or documents there are
+    no rows. Other columns are ignored.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, word long"
+    out = None
+    for index in _indexes(items):
         found = texts.mapInArrow(_finder(index, threshold, question, answer), schema)
-        out = found if part == 0 else out.union(found)
+        out = found if out is None else out.union(found)
     return out
 
 
@@ -249,5 +266,23 @@ def _finder(index, threshold: float, question: float, answer: float):
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the rows whose text holds a test item, whatever their doc_id."""
-    return without_texts(docs, contaminated(by_text(docs), items))
+    """docs without the rows whose text holds a test item.
+
+    Each row is judged by its own text, whatever its doc_id, which may be null or shared; null and empty texts hold nothing
+    and stay, and so does everything if there are no items. A table without rows gives none. Columns stay as they are.
+    """
+    out = docs
+    for i, index in enumerate(_indexes(items)):
+        out = kept_by(written(out) if i else out, _clean(index))
+    return out
+
+
+def _clean(index) -> Callable[[pa.Array], np.ndarray]:
+    def passes(texts: pa.Array) -> np.ndarray:
+        ok = np.ones(len(texts), bool)
+        for lo, first, h in word_rows(texts, alnum_split()):
+            for part in index.value:
+                ok[[lo + row for row, *_ in held(part, h, first)]] = False
+        return ok
+
+    return passes
