@@ -9,6 +9,8 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -134,24 +136,13 @@ def free(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def _text_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+def kept_by(docs: DataFrame, passes: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of docs whose text passes: from a batch of texts, a truth value each. Rows go through whole, in one pass, whatever their other columns hold."""
+    name, schema = free(docs, "__text"), docs.schema
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array(passes(batch.column(batch.num_columns - 1)), pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(keep)
 
-def by_text(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of docs with a hash of the text as doc_id, for operators that judge each row by its text alone; a null text counts as empty."""
-    return docs.select(_text_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def without_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without the rows whose text is among found, which has doc_id as in by_text(docs). The rows' own doc_id does not matter: it may be null or shared."""
-    name = free(docs, "__gone")
-    gone = written(found.select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(small(gone, gone.count()), _text_key() == F.col(name), "left_anti")
-
-
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is among ids(doc_id). Rows with a null doc_id stay, as they cannot be named."""
-    name = free(docs, "__gone")
-    gone = written(ids.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias(name)).distinct())
-    return docs.join(small(gone, gone.count()), F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    return docs.withColumn(name, F.col("text").cast("string")).mapInArrow(run, schema)

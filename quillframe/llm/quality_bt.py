@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm._bytes import buffers, mix, pieces, row_chunks, spaces_split, CHUNK
-from quillframe.llm._common import by_text, held_out, without_texts
+from quillframe.llm._common import held_out, kept_by
 from quillframe.llm._fit import labelled, minimise, sigmoid
 
 #: The fit uses about FIT_ROWS labelled documents and PAIRS pairs of them.
@@ -80,11 +80,14 @@ class Ranking:
     threshold: float
 
     def strength(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights
+        return (np.clip((x - self.mean) / self.scale, -8, 8) * self.weights).sum(axis=1)  # unlike a product of matrices, alike for equal rows wherever they stand
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(self.strength(x) - self.threshold + np.log(CUT / (1 - CUT)))
 
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        return self.score(np.array(list(features(texts))).reshape(-1, N_FEATURES))
+
 
 def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 61) -> Ranking:
     """Without documents of both labels all texts get one strength, above the threshold."""
@@ -129,21 +132,27 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ranki
 def rate(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, ranking: Ranking | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of docs (doc_id, text); labels (doc_id, quality).
 
-    Scores depend on the text alone. Null and empty texts are scored as texts without characters; labels that are null
-    or neither 0 nor 1 are ignored; repeated rows are scored alike and all returned; a null doc_id is not held out and
-    never learned from. Other columns are ignored. ranking: a model to use instead of one learned here.
+    Scores depend on the text alone, read whole at any length. Null and empty texts are scored as texts without characters;
+    labels that are null or neither 0 nor 1 are ignored; repeated rows are scored alike and all returned; a null doc_id is
+    not held out and never learned from. Without labels of both kinds every score is above CUT; docs without rows give
+    none. Other columns are ignored. ranking: a model to use instead of one learned here.
     """
     model = docs.sparkSession.sparkContext.broadcast(ranking or learn(docs, labels, fit_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [float(model.value.score(f[None, :])[0]) for f in features(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.scores(batch.column(1)))], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id", FOLDS, FOLD).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows whose text is rejected, whatever their doc_id."""
-    return without_texts(docs, rate(by_text(docs), labels, ranking=learn(docs, labels)).filter("predicted = 0"))
+    """docs without the rows whose text is rejected.
+
+    Each row is judged by its own text, whatever its doc_id, which may be null or shared; null and empty texts are scored as
+    texts without characters; repeats of a row share its fate. Labels are learned by doc_id. A table without rows gives
+    none. Columns stay as they are.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    return kept_by(docs, lambda texts: model.value.scores(texts) >= CUT)

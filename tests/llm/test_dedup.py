@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -215,6 +216,39 @@ def test_periods_give_the_schedule(scale, monkeypatch):
         assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == want and sorted(got.values()) == list(range(len(want)))
 
 
+def test_many_items_take_little_memory():
+    rng = np.random.default_rng(21)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    weights = 1 / np.arange(1, 3001)
+    say = lambda n: " ".join(rng.choice(vocabulary, n, p=weights / weights.sum()))
+    items = [(i, say(40)) for i in range(20_000)]
+    df: dict[int, int] = {}
+    for _, t in items:
+        for h in np.unique(decontam.word_hashes(t)).tolist():
+            df[h] = df.get(h, 0) + 1
+    (index,) = decontam.build(items, df, len(items), 40.0)
+    rows = [decontam.word_hashes(f"{say(300)} {items[i * 37][1]} {say(200)}") for i in range(150)]
+    h, first = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    tracemalloc.start()
+    got = decontam.held(index, h, first)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300_000_000 and {(i, i * 37) for i in range(150)} <= {(r, item) for r, item, *_ in got}
+
+
+def test_items_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "ITEMS_A_PASS", 5)
+    items = [(i, f"item number {i} asks what the word after {'x' * (i + 1)} is in this list. it is y{i}.") for i in range(12)] + [(3, "another text with the same number as one before has. end of it."), (4, "item number 4 asks what the word after xxxxx is in this list. it is y4.")]
+    docs = [(i, f"before {t} after", i) for i, (_, t) in enumerate(items)] + [(None, f"x {items[2][1]}", 50), (None, "clean words", 51), (60, None, 52), (60, items[1][1], 53), (60, "clean too", 54), (60, "clean too", 55)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, n int").selectExpr("*", "1 as __text")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((str(r.doc_id), r.item_id) for r in decontam.contaminated(frame, bench).collect())
+    want = sorted((str(d), i) for d, t, _ in docs for i, x in items if t and x in t)
+    assert got == want
+    kept = decontam.without_contaminated(frame, bench)
+    assert kept.columns == frame.columns and sorted(r.n for r in kept.collect()) == [51, 52, 54, 55]
+
+
 @pytest.mark.parametrize(("weights", "scale", "most"), [(None, 100_000, 400_000), ({"a": 0.5, "b": 0.3, "c": 0.2}, 100_000, 4), ({"a": 0.5, "b": 0.3, "c": 0.2}, 20, 400_000)])
 def test_mixing(spark, weights, scale, most, monkeypatch):
     monkeypatch.setattr(pfair_mix, "SCALE", scale)
