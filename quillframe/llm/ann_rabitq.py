@@ -1,32 +1,44 @@
 """Approximate nearest neighbours by inner product with randomly rotated one-bit codes.
 
-A vector v, less the centre c of a bounded sample, is scaled to unit length and turned by a random orthogonal matrix; its
-code is the sign of each coordinate, packed. With f the inner product of the turned vector and its code's direction,
-<code, q'> / f estimates the inner product with a turned unit query q', with a deviation near sqrt((1 - f * f) / (f * f *
-(D - 1))); so v . q lies within ERRORS such deviations of the estimate. The index keeps code, |v - c| and f of every row.
-Queries are taken in blocks of bounded size; each task scans its rows of the index, and ranks again, on the original
-vectors, those whose upper bound reaches the k-th best exact score so far (at first: the k-th best lower bound
-of distinct vec_ids other than the query's).
+A vector v, less the centre c of a bounded sample, is scaled to unit length, padded with zeros to LONGER times its length and
+turned by a random orthogonal matrix; its code is the sign of each of the D coordinates, packed into 64-bit words. With f the
+inner product of the turned vector and its code's direction, <code, q'> / f estimates the inner product with a turned unit
+query q', with a deviation near sqrt((1 - f * f) / (f * f * (D - 1))). A query is rounded, at random, to PLANES bits a
+coordinate, so that <code, q'> is a sum over bit planes of counts of the bits that code and plane share; what the rounding
+adds to the deviation is added to it. So v . q lies within ERRORS such deviations of the estimate. The index keeps code,
+|v - c| and f of every row beside the vector.
+
+Queries are taken in blocks of bounded size; each task scans its rows of the index, estimates all from the codes, and ranks
+again, on the original vectors, those whose upper bound reaches the k-th best exact score so far (at first: the k-th best
+lower bound).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm._common import written
+from quillframe.llm._common import discard, written
 
-ERRORS, QUERY_BLOCK, ROWS, FIT_ROWS = 4.0, 4096, 1024, 4096
-SCHEMA = "vec_id long, raw binary, code binary, radius double, factor double"
+ERRORS, LONGER, PLANES, QUERY_BLOCK, FIT_ROWS = 4.0, 2, 4, 4096, 4096
+#: Rows and queries that are worked on at a time.
+ROWS, QUERIES = 4096, 128
+SCHEMA = "at long, vec_id long, raw binary, code binary, radius double, factor double"
+
+
+def code_bits(dim: int) -> int:
+    return -(-LONGER * dim // 64) * 64
 
 
 def rotation(dim: int, seed: int = 41) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """The rows of an orthogonal matrix that turn a vector of dim components, padded to code_bits(dim)."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((code_bits(dim), code_bits(dim))))
+    return (q * np.sign(np.diag(r)))[:dim]
 
 
 def codes(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,65 +46,113 @@ def codes(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np
     apart = vectors - centre
     radius = np.linalg.norm(apart, axis=1)
     turned = (apart / np.where(radius > 0, radius, 1)[:, None]) @ turn
-    return np.packbits(turned > 0, axis=1), radius, np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
+    return np.packbits(turned > 0, axis=1), radius, np.abs(turned).sum(axis=1) / np.sqrt(turn.shape[1])
+
+
+@dataclass
+class Rounded:
+    """Turned queries as low + step * (whole number of PLANES bits); planes[p] holds bit p of every coordinate, packed as codes are."""
+
+    low: np.ndarray
+    step: np.ndarray
+    planes: np.ndarray
+    total: np.ndarray  # sums of the rounded coordinates
+
+    @staticmethod
+    def of(turned: np.ndarray, seed: int = 43) -> Rounded:
+        low = turned.min(axis=1) if turned.size else np.zeros(len(turned))
+        step = np.maximum((turned.max(axis=1) - low if turned.size else low) / (2**PLANES - 1), 1e-300)
+        whole = np.floor((turned - low[:, None]) / step[:, None] + np.random.default_rng(seed).random(turned.shape)).clip(0, 2**PLANES - 1).astype(np.int64)
+        planes = np.stack([np.packbits((whole >> p) & 1 == 1, axis=1).view(np.uint64) for p in range(PLANES)])
+        return Rounded(low, step, planes, low * turned.shape[1] + step * whole.sum(axis=1))
+
+    def products(self, words: np.ndarray, ones: np.ndarray, some: slice) -> np.ndarray:
+        """<code, q'> of some queries with rows whose codes have these words, and so many bits."""
+        shared = np.zeros((len(self.low[some]), len(words)), np.int32)
+        for p in range(PLANES):
+            for w in range(words.shape[1]):
+                shared += np.bitwise_count(self.planes[p, some, w, None] & words[None, :, w]).astype(np.int32) << p
+        out = shared * (2 * self.step[some])[:, None].astype(np.float32)
+        out += (2 * self.low[some]).astype(np.float32)[:, None] * ones.astype(np.float32)
+        out -= self.total[some, None].astype(np.float32)
+        return out / np.float32(np.sqrt(64 * words.shape[1]))
 
 
 def in_order(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, added up from the first component to the last."""
+    """Inner products of pairs of rows in double precision, added up from the first component to the last."""
     out = np.zeros(len(rows))
-    for d in range(len(q)):
-        out += rows[:, d] * q[d]
+    for d in range(rows.shape[1]):
+        out += rows[:, d] * q[:, d]
     return out
 
 
 class Best:
-    """The k best (score, id) of each query so far, ties to the smaller id."""
+    """The k best (score, vec_id, row) of each query so far, ties to the smaller vec_id and then row; unused places hold a score of -inf."""
 
     def __init__(self, queries: int, k: int):
-        self.k, self.scores, self.ids = k, [np.empty(0)] * queries, [np.empty(0, np.int64)] * queries
-
-    def least(self) -> np.ndarray:
-        return np.array([s[self.k - 1] if len(s) >= self.k else -np.inf for s in self.scores])
-
-    def add(self, i: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        s, v = np.concatenate([self.scores[i], scores]), np.concatenate([self.ids[i], ids])
-        order = np.lexsort((v, -s))
-        s, v = s[order], v[order]
-        if len(np.unique(v)) < len(v):
-            first = np.sort(np.unique(v, return_index=True)[1])
-            s, v = s[first], v[first]
-        self.scores[i], self.ids[i] = s[: self.k], v[: self.k]
-
-
-def scan_block(best: Best, ids: np.ndarray, rows: np.ndarray, bits: np.ndarray, radius: np.ndarray, factor: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, turned: np.ndarray, centre: np.ndarray, errors: float) -> int:
-    """Adds what a block of rows has to best; returns how many rows were ranked again. turned: queries @ rotation."""
-    dim, k = queries.shape[1], best.k
-    sign = (np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
+        self.scores, self.ids, self.rows = np.full((queries, k), -np.inf), np.zeros((queries, k), np.int64), np.zeros((queries, k), np.int64)
+
+    def least(self, some: slice) -> np.ndarray:
+        return self.scores[some, -1]
+
+    def add(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Of queries q, repeated as often as they have new rows."""
+        touched = np.unique(q)
+        k = self.scores.shape[1]
+        of = np.concatenate([np.repeat(touched, k), q])
+        s, v, r = (np.concatenate([a[touched].ravel(), b]) for a, b in ((self.scores, scores), (self.ids, ids), (self.rows, rows)))
+        order = np.lexsort((r, v, -s, of))
+        first = np.searchsorted(of[order], touched)
+        keep = order[(first[:, None] + np.arange(k)).ravel()]
+        for a, b in ((self.scores, s), (self.ids, v), (self.rows, r)):
+            a[touched] = b[keep].reshape(-1, k)
+
+
+@dataclass
+class Queries:
+    at: np.ndarray
+    vectors: np.ndarray
+    centred: np.ndarray  # products with the centre
+    norms: np.ndarray
+    rounded: Rounded
+
+    @staticmethod
+    def of(at: np.ndarray, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> Queries:
+        return Queries(at, vectors, vectors @ centre, np.linalg.norm(vectors, axis=1), Rounded.of(vectors @ turn))
+
+
+def scan_block(best: Best, queries: Queries, at: np.ndarray, ids: np.ndarray, rows: np.ndarray, bits: np.ndarray, radius: np.ndarray, factor: np.ndarray, errors: float) -> int:
+    """Adds what a block of rows has to best; returns how many pairs were ranked again."""
+    words, k, again = np.ascontiguousarray(bits).view(np.uint64), best.scores.shape[1], 0
+    ones, d = np.bitwise_count(words).sum(axis=1), 64 * words.shape[1]
     factor = np.maximum(factor, 1e-6)
-    estimate = (turned.astype(np.float32) @ sign.T) * (radius / factor).astype(np.float32) + (queries @ centre).astype(np.float32)[:, None]
-    spread = np.where(radius > 0, radius * np.sqrt(np.maximum(0, 1 - factor**2) / (factor**2 * max(1, dim - 1))), 0) * errors + 1e-5 * (1 + radius)
-    margin = np.linalg.norm(queries, axis=1).astype(np.float32)[:, None] * spread.astype(np.float32) + np.float32(1e-6)
-    upper, least, again = estimate + margin, best.least(), 0
-    fresh = np.flatnonzero(np.isneginf(least))
-    order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0][: len(ids)])
-    if len(fresh) and len(first) > k:  # a vec_id counts once however often it repeats, and the query's own not at all
-        lower = estimate[fresh] - margin[fresh]
-        lower[q_ids[fresh][:, None] == ids] = -np.inf
-        least[fresh] = np.partition(np.maximum.reduceat(lower[:, order], first, axis=1), len(first) - k, axis=1)[:, len(first) - k]
-    for i in range(len(queries)):
-        at = np.flatnonzero(upper[i] >= least[i])
-        at = at[ids[at] != q_ids[i]]
-        if len(at):
-            again += len(at)
-            near = rows[at] @ queries[i]
-            close = at[near >= min(least[i], np.inf) - 1e-9 * (1 + abs(least[i]))] if np.isfinite(least[i]) else at
-            best.add(i, in_order(rows[close], queries[i]), ids[close])
+    scale = (radius / factor).astype(np.float32)
+    apart = (1 - np.minimum(factor, 1) ** 2) / max(1, d - 1)  # times |q| and so on: variance of the code's error
+    for lo in range(0, len(queries.at), QUERIES):
+        some = slice(lo, lo + QUERIES)
+        estimate = queries.rounded.products(words, ones, some) * scale + queries.centred[some, None].astype(np.float32)
+        norm, step = queries.norms[some, None].astype(np.float32), queries.rounded.step[some, None].astype(np.float32)
+        margin = np.sqrt(norm**2 * apart.astype(np.float32) + step**2 / 4) * scale * np.float32(errors) + np.float32(1e-4) * norm * (1 + radius).astype(np.float32) + np.float32(1e-30)
+        own = queries.at[some, None] == at
+        least = best.least(some).copy()
+        fresh = np.flatnonzero(np.isneginf(least))
+        if len(fresh) and len(at) > k:
+            lower = np.where(own[fresh], -np.inf, estimate[fresh] - margin[fresh])
+            least[fresh] = np.partition(lower, len(at) - k, axis=1)[:, len(at) - k]
+        q, r = np.nonzero((estimate + margin >= least[:, None]) & ~own)
+        again += len(q)
+        for i in range(0, len(q), 1 << 16):
+            a, b = q[i : i + (1 << 16)], r[i : i + (1 << 16)]
+            near = np.einsum("ij,ij->i", queries.vectors[some][a], rows[b])
+            ok = near >= least[a] - 1e-9 * (1 + np.abs(np.where(np.isfinite(least[a]), least[a], 0)))
+            if ok.any():
+                a, b = a[ok], b[ok]
+                best.add(a + lo, in_order(rows[b], queries.vectors[some][a]), ids[b], at[b])
     return again
 
 
 def index(vectors: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(index table, centre, rotation) over vectors (vec_id, embedding). The centre is the mean of about fit_rows rows, chosen by hash; every row is indexed. Vectors that are null, zero, of another than the usual length, or hold null or non-finite components are left out."""
+    """(index table, centre, rotation) over vectors (vec_id, embedding). The centre is the mean of about fit_rows rows, chosen by hash; every row is indexed. Vectors that are null, zero, of another than the usual length, or hold null or non-finite components are left out, and so are rows with a null vec_id."""
     raw = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and v is not null")
     sound = raw.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
     lengths = sound.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
@@ -108,46 +168,48 @@ def index(vectors: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, np.n
         for batch in batches:
             if not len(batch):
                 continue
-            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), dim)
+            rows = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), dim)
             bits, radius, factor = codes(rows, centre, turn)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(radius), pa.array(factor)], names=["vec_id", "raw", "code", "radius", "factor"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(radius), pa.array(factor)], names=["at", "vec_id", "raw", "code", "radius", "factor"])
+
+    return written(sound.select(F.monotonically_increasing_id().alias("at"), "vec_id", "v").mapInArrow(encode, SCHEMA)), centre, turn
 
-    return written(sound.mapInArrow(encode, SCHEMA)), centre, turn
+
+def _packed(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1) if len(column) else np.empty((0, 1), kind)
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, errors: float = ERRORS, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each vec_id divisible by every, the k other vec_ids of largest inner product.
+    """(query_id, rank, vec_id, score): for each row with a vec_id divisible by every, the k other rows of largest inner product.
 
-    Ranks count from 1, ties go to the smaller vec_id; with fewer than k candidates all are returned. A vec_id that
-    repeats is one candidate, with its best score; as a query it stands for one of its rows, the least by bytes. Rows left out of the index
-    take no part; a table without rows gives none. Other columns are ignored.
+    Ranks count from 1, ties go to the smaller vec_id; with fewer than k candidates all are returned. Rows are candidates one
+    by one: of rows that repeat a vec_id each has a rank of its own, and as queries each has its own answer, in which the
+    others take part. Rows left out of the index take no part; a table without rows gives none. Other columns are ignored.
     """
     spark = vectors.sparkSession
     table, centre, turn = index(vectors)
-    queries = table.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("raw").alias("raw"))
-    blocks = max(1, -(-queries.count() // query_block))
+    asked = table.filter(F.col("vec_id") % every == 0).select("at", "vec_id", "raw")
+    blocks = max(1, -(-asked.count() // query_block))
     parts = []
     for block in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").toArrow()
-        q_ids = own.column("vec_id").to_numpy()
-        vectors_q = np.frombuffer(b"".join(own.column("raw").to_pylist()), np.float64).reshape(len(q_ids), -1 if len(q_ids) else len(centre))
-        sent = spark.sparkContext.broadcast((q_ids, vectors_q))
+        own = asked.filter(F.pmod(F.xxhash64("at"), F.lit(blocks)) == block).orderBy("at").toArrow().combine_chunks()
+        raw = own.column("raw").combine_chunks()
+        sent = spark.sparkContext.broadcast((own.column("at").to_numpy(), own.column("vec_id").to_numpy(), _packed(raw, np.float64).reshape(len(own), -1 if len(own) else len(centre))))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids_q, rows_q = sent.value
-            best, turned = Best(len(ids_q), k), rows_q @ turn
+            at_q, ids_q, rows_q = sent.value
+            queries, best = Queries.of(at_q, rows_q, centre, turn), Best(len(at_q), k)
             for batch in batches:
                 for lo in range(0, len(batch), ROWS):
                     b = batch.slice(lo, ROWS)
-                    rows = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float64).reshape(len(b), -1)
-                    bits = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(b), -1)
-                    scan_block(best, b.column(0).to_numpy(), rows, bits, b.column(3).to_numpy(), b.column(4).to_numpy(), ids_q, rows_q, turned, centre, errors)
-            if len(ids_q):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids_q, [len(x) for x in best.ids])), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], names=["query_id", "vec_id", "score"])
-
-        found = table.mapInArrow(scan, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                    scan_block(best, queries, b.column(0).to_numpy(), b.column(1).to_numpy(), _packed(b.column(2), np.float64), _packed(b.column(3), np.uint8), b.column(4).to_numpy(), b.column(5).to_numpy(), errors)
+            q, place = np.nonzero(np.isfinite(best.scores))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at_q[q], ids_q[q], best.ids[q, place], best.rows[q, place], best.scores[q, place])], names=["of", "query_id", "vec_id", "at", "score"])
+
+        found = table.mapInArrow(scan, "of long, query_id long, vec_id long, at long, score double")
+        rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("score"), "vec_id", "at"))
         parts.append(written(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")))
+    discard(table)
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -278,23 +278,44 @@ def test_mixing_moves_no_text(spark):
     assert "Window" not in plan and "hashpartitioning" not in plan
 
 
+def plain_neighbours(rows, every, k):
+    """Of rows (vec_id, vector), for each query row its (vec_id, score), sorted by query id and answers."""
+    out = []
+    for i, (q, v) in enumerate(rows):
+        if q % every == 0:
+            found = sorted((-float(np.add.accumulate(np.multiply(v, w))[-1]), c) for j, (c, w) in enumerate(rows) if j != i)[:k]
+            out.append((q, [(c, -s) for s, c in found]))
+    return sorted(out)
+
+
+def answers(df):
+    """The same of nearest()'s rows; repeated queries' ranks are dealt out in order."""
+    ranks = {}
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r.rank, r.vec_id)):
+        ranks.setdefault((r.query_id, r["rank"]), []).append((r.vec_id, r.score))
+    return ranks
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(9)
-    rows = [(i, rng.standard_normal(16).tolist()) for i in range(300)]
-    rows += [(300 + i, rows[7][1]) for i in range(60)] + [(360, None), (380, [0.0] * 16), (400, [1.0, None] + [0.0] * 14), (420, [float("nan")] * 16), (440, [float("inf")] + [0.0] * 15), (20, rows[20][1]), (460, [1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as rank", "2 as query_id")
-    got = {}
-    for r in ann_rabitq.nearest(df, 20, 20, query_block=4).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    sound = {i: np.array(v) for i, v in rows if i < 360}
-    assert sorted(got) == [i for i in sound if i % 20 == 0]
-    hit = 0
-    for q, found in got.items():
-        want = sorted(((-sum(a * b for a, b in zip(v.tolist(), sound[q].tolist(), strict=True)), i) for i, v in sound.items() if i != q))[:20]
-        hit += len({i for _, i in want} & {i for i, _ in found})
-        assert [-s for s, _ in want] == pytest.approx([s for _, s in found])
-    assert hit / (20 * len(got)) >= 0.9
-    assert ann_rabitq.nearest(df.limit(0)).count() == 0 and ann_rabitq.nearest(df.filter("vec_id = 20")).count() == 0
+    sound = [(i, rng.standard_normal(16).tolist()) for i in range(300)]
+    sound += [(300 + i, sound[7][1]) for i in range(60)] + [(20, sound[20][1]), (20, sound[3][1]), (1, sound[1][1]), (1, sound[5][1])]
+    odd = [(360, None), (380, [0.0] * 16), (400, [1.0, None] + [0.0] * 14), (420, [float("nan")] * 16), (440, [float("inf")] + [0.0] * 15), (460, [1.0]), (None, sound[1][1])]
+    df = spark.createDataFrame(sound + odd, "vec_id long, embedding array<double>").selectExpr("*", "1 as rank", "2 as query_id", "3 as at")
+    got, want = answers(ann_rabitq.nearest(df, 20, 20, query_block=4)), {}
+    for q, found in plain_neighbours(sound, 20, 20):
+        for rank, x in enumerate(found, 1):
+            want.setdefault((q, rank), []).append(x)
+    assert got.keys() == want.keys()
+    for key, x in want.items():
+        assert [i for i, _ in got[key]] == [i for i, _ in sorted(x)] and [s for _, s in got[key]] == pytest.approx([s for _, s in sorted(x)])
+    assert ann_rabitq.nearest(df.limit(0)).count() == 0 and ann_rabitq.nearest(df.filter("vec_id = 40")).count() == 0
+
+
+def test_neighbours_of_few_repeated_rows(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0])]
+    got = answers(ann_rabitq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert [got[20, i] for i in (1, 2)] == [[(1, 1.0)] * 2] * 2 and got[20, 3] == [(2, 0.0), (20, 0.0)] and got[20, 4] == [(2, -1.0), (20, 0.0)]
 
 
 def test_recall_on_the_table(spark):
@@ -311,14 +332,19 @@ def test_recall_on_the_table(spark):
 
 def test_estimates_keep_their_bounds():
     rng = np.random.default_rng(10)
-    v, q = rng.standard_normal((2000, 64)), rng.standard_normal((20, 64))
-    turn = ann_rabitq.rotation(64)
-    assert np.allclose(turn @ turn.T, np.eye(64))
-    bits, radius, factor = ann_rabitq.codes(v, np.zeros(64), turn)
-    sign = np.unpackbits(bits, axis=1, count=64) * 2.0 - 1
-    estimate = (q @ turn) @ sign.T / 8 * radius / factor
-    spread = np.linalg.norm(q, axis=1)[:, None] * radius * np.sqrt((1 - factor**2) / factor**2 / 63)
-    assert np.mean(np.abs(estimate - q @ v.T) <= 3 * spread) > 0.99
+    for dim in (24, 64):
+        v, q = rng.standard_normal((2000, dim)), rng.standard_normal((20, dim))
+        turn = ann_rabitq.rotation(dim)
+        assert np.allclose(turn @ turn.T, np.eye(dim))
+        bits, radius, factor = ann_rabitq.codes(v, np.zeros(dim), turn)
+        words, d = bits.view(np.uint64), turn.shape[1]
+        assert words.shape == (2000, d // 64) and bits.nbytes * 8 == 2000 * d
+        rounded = ann_rabitq.Rounded.of(q @ turn)
+        got = rounded.products(words, np.bitwise_count(words).sum(axis=1), slice(0, 20))
+        sign = np.unpackbits(bits, axis=1, count=d) * 2.0 - 1
+        assert np.abs(got - (q @ turn) @ sign.T / np.sqrt(d)).max() < 5 * (rounded.step / 2).max()
+        spread = radius / factor * np.sqrt(np.linalg.norm(q, axis=1)[:, None] ** 2 * (1 - factor**2) / (d - 1) + rounded.step[:, None] ** 2 / 4)
+        assert np.mean(np.abs(got * radius / factor - q @ v.T) <= 3 * spread) > 0.99
 
 
 def test_alnum_words():
@@ -331,8 +357,13 @@ def test_alnum_words():
 def test_neighbours_beside_a_vec_id_that_repeats(spark, hot):
     v = np.random.default_rng(31).standard_normal((1500, 64))
     v[701] = 1.5 * v[700]
-    ids = np.concatenate([np.full(800, hot), np.arange(1500)])
-    df = spark.createDataFrame([(int(i), v[i].tolist()) for i in ids], "vec_id long, embedding array<double>").coalesce(1)
-    got = [r.vec_id for r in ann_rabitq.nearest(df, 700, 20).filter("query_id = 700").orderBy("rank").collect()]
-    scores = v @ v[700]
-    assert got == [i for i in np.argsort(-scores, kind="stable").tolist() if i != 700][:20]
+    rows = [(int(i), v[i].tolist()) for i in np.concatenate([np.full(800, hot), np.arange(1500)])]
+    got = answers(ann_rabitq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), 700, 900).filter("query_id = 700"))
+    want = {}
+    for q, found in plain_neighbours([r for r in rows if r[0] != 700] + [r for r in rows if r[0] == 700][: 1 if hot == 701 else None], 700, 900):
+        for rank, x in enumerate(found, 1):
+            if q == 700:
+                want.setdefault(rank, []).append(x[0])
+        if q == 700:
+            break  # queries that repeat have the same answer
+    assert all({i for i, _ in got[700, rank]} == set(want[rank]) for rank in range(1, 901))
