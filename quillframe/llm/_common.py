@@ -60,15 +60,21 @@ def _written(spark: SparkSession, schema: StructType, parts: Iterable[DataFrame]
 
 
 @contextmanager
-def scratch(kept: Callable[[DataFrame], bool] = lambda t: False) -> Iterator[None]:
-    """Discards, at its end, the tables written within, but for those kept: for steps whose result has been written itself."""
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Discards, at its end, the tables written within, but for those that the function it gives has kept: for steps whose result has been written itself."""
     made: list[DataFrame] = []
+    kept: list[str] = []
+
+    def keep(t: DataFrame) -> DataFrame:
+        kept.append(t._qf_path)
+        return t
+
     _SCRATCH.append(made)
     try:
-        yield
+        yield keep
     finally:
         _SCRATCH.remove(made)
-        discard(*(t for t in made if not kept(t)))
+        discard(*(t for t in made if t._qf_path not in kept))
 
 
 def discard(*tables: DataFrame | None) -> None:

@@ -7,18 +7,12 @@ RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 
 
 def op1(rules: list[tuple[str, str]] = RULES) -> str:
-    """Rules and the propagation unrolled step by step."""
+    """Rules, and the propagation as a sum of walks of each length."""
     fit = [(v, r, *r.partition("/")[::2]) for v, r in sorted(rules, key=lambda x: -len(x[1]))]
     case = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN {i}" for i, (_, _, h, p) in enumerate(fit)) + " END"
     link = url_trust.LINK.replace("'", "''")
-    steps = "".join(
-        f""", s{i} AS (SELECT kind, host, sum(mass) AS mass FROM (SELECT f.kind, f.dest AS host, s.mass * f.share AS mass FROM s{i - 1} s JOIN flow f ON s.kind = f.kind AND s.host = f.host
-        UNION ALL SELECT * FROM s0) GROUP BY ALL)"""
-        for i in range(1, url_trust.STEPS + 1)
-    )
-    last = f"s{url_trust.STEPS}"
     return rf"""
-WITH u AS (SELECT page_id, html, coalesce(url, '') AS url FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, html, coalesce(url, '') AS url FROM pages),
 h AS (SELECT page_id, html, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {FOLD}) AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
 p AS (SELECT *, {case} AS r FROM h),
 q AS (SELECT *, ([{", ".join(f"'{r}'" for _, r, _, _ in fit)}])[r + 1] AS rule, ([{", ".join(f"'{v}'" for v, _, _, _ in fit)}])[r + 1] AS verdict FROM p),
@@ -26,11 +20,13 @@ seeds AS (SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0 ELSE 0.0 END) AS
 l AS (SELECT host AS source, translate(unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '{link}', 1))), {FOLD}) AS target FROM h),
 e AS (SELECT source, target, count(*) AS w FROM l WHERE source <> '' AND target <> '' AND source <> target GROUP BY ALL),
 k AS (SELECT 't' AS kind, source AS host, target AS dest, w FROM e UNION ALL SELECT 'b', target, source, w FROM e),
-flow AS (SELECT kind, host, dest, {url_trust.DAMPING} * w / sum(w) OVER (PARTITION BY kind, host) AS share FROM k),
-s0 AS (SELECT kind, host, start * {1 - url_trust.DAMPING} AS mass FROM (SELECT 't' AS kind, host, t AS start FROM seeds UNION ALL SELECT 'b', host, b FROM seeds) WHERE start > 0){steps},
-tot AS (SELECT kind, sum(mass) AS total FROM {last} GROUP BY kind),
-sc AS (SELECT host, sum(CASE WHEN kind = 't' THEN mass / total ELSE 0 END) AS trust, sum(CASE WHEN kind = 'b' THEN mass / total ELSE 0 END) AS distrust FROM {last} JOIN tot USING (kind) GROUP BY host)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) > {url_trust.THRESHOLD} * (coalesce(trust, 0) + coalesce(distrust, 0)) THEN 'block' ELSE 'allow' END) AS verdict
+flow AS MATERIALIZED (SELECT kind, host, dest, {url_trust.DAMPING} * w / sum(w) OVER (PARTITION BY kind, host) AS share FROM k),
+walk(step, kind, host, mass) AS (SELECT 0, kind, host, start::DOUBLE FROM (SELECT 't' AS kind, host, t AS start FROM seeds UNION ALL SELECT 'b', host, b FROM seeds) WHERE start > 0
+  UNION ALL SELECT step + 1, walk.kind, dest, sum(mass * share) FROM walk JOIN flow ON walk.kind = flow.kind AND walk.host = flow.host WHERE step < {url_trust.steps_to()} GROUP BY step, walk.kind, dest),
+last AS (SELECT kind, host, sum(mass) AS mass FROM walk GROUP BY kind, host),
+tot AS (SELECT kind, sum(mass) AS total FROM last GROUP BY kind),
+sc AS (SELECT host, sum(CASE WHEN kind = 't' THEN mass / total ELSE 0 END) AS trust, sum(CASE WHEN kind = 'b' THEN mass / total ELSE 0 END) AS distrust FROM last JOIN tot USING (kind) GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN round(distrust / (trust + distrust), {url_trust.DECIMALS}) > {url_trust.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
 FROM q LEFT JOIN sc USING (host)
 """
 
