@@ -54,10 +54,10 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     rated = quality_bt.rate(docs, labels).join(docs.select("doc_id", "text"), "doc_id")
     final = {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()}
     alone = {r.m for r in minhash_oph.near_duplicates(docs).groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("m")).filter("n = 1").collect()}
-    good = sorted((r.doc_id, r.text) for r in rated.filter("predicted = 1").collect() if r.doc_id in final & alone and len(r.text.split()) > 50)[:5]
+    good = sorted((r.doc_id, r.text) for r in rated.filter("predicted = 1").collect() if r.doc_id in final & alone and len(r.text.split()) > 50)[:7]
     bad = rated.filter("predicted = 0").orderBy("doc_id").first().text
-    a, b, c, d, e = (t for _, t in good)
-    rows = [(None, bad), (None, f"{a} password = abcdef0123456789"), (None, f"{a} {items.orderBy('item_id').first().text}"), (None, a), (None, a), (10**6 + 7, b), (10**6 + 7, c), (10**6 + 7, c), (10**6 + 3, d), (None, d), (10**6 + 9, e), (10**6 + 8, f"{e} more"), (None, None), (None, None), (10**6 + 5, ""), (10**6 + 5, "")]
+    a, b, c, d, e, f, g = (t for _, t in good)
+    rows = [(None, bad), (None, f"{f} password = abcdef0123456789"), (None, f"{g} {items.orderBy('item_id').first().text}"), (None, a), (None, a), (10**6 + 7, b), (10**6 + 7, c), (10**6 + 7, c), (10**6 + 3, d), (None, d), (10**6 + 9, e), (10**6 + 8, f"{e} more"), (None, None), (None, None), (10**6 + 5, ""), (10**6 + 5, "")]
     odd = spark.createDataFrame([(i, t, "odd", "s" if i else None, 0) for i, t in rows], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
     docs.select(*odd.columns).filter(~docs.doc_id.isin([i for i, _ in good])).union(odd).selectExpr("*", "1 as mix_slot", "2 as at").coalesce(1).write.parquet(f"{tmp_path}/d")
     next(tmp_path.glob("d/*.parquet")).rename(tmp_path / "documents.parquet")
