@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 
 #: Rows of a slim (a few dozen bytes) side up to which a join may broadcast it; beyond, the join shuffles.
 BROADCAST_ROWS = 400_000
+#: Slim tables of a known number of rows have so many of them in a file at least, unless that would leave too few files.
+ROWS_A_FILE, LEAST_FILES = 50_000, 8
 
 _LOCAL: list[str] = []
 _SCRATCH: list[list[DataFrame]] = []
@@ -41,9 +43,11 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, computed once: lineage ends there and a lost executor loses nothing. It is deleted by discard() or, at the latest, when the driver's JVM ends."""
-    return df if hasattr(df, "_qf_path") else _written(df.sparkSession, df.schema, [df])
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder, computed once: lineage ends there and a lost executor loses nothing. It is deleted by discard() or, at the latest, when the driver's JVM ends. rows: a bound for its number of slim rows, from which follows how many files are enough."""
+    if hasattr(df, "_qf_path"):
+        return df
+    return _written(df.sparkSession, df.schema, [df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // ROWS_A_FILE)))])
 
 
 def _written(spark: SparkSession, schema: StructType, parts: Iterable[DataFrame]) -> DataFrame:

@@ -163,13 +163,14 @@ def _confirm(percent: int):
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node of links (a, b): comp is the least node that links reach. Labels take the least of their neighbours' and then jump along their own label, until none changes."""
-    edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), 2 * links.count())
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), edges.count())
+    n = labels.count()
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = written(labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low")))
+        step = written(labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low")), n)
         jump = step.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        new = written(step.join(jump, "low").select("node", F.least("low", "lower").alias("comp"), (F.least("low", "lower") != F.col("comp")).alias("moved")))
+        new = written(step.join(jump, "low").select("node", F.least("low", "lower").alias("comp"), (F.least("low", "lower") != F.col("comp")).alias("moved")), n)
         more = new.filter("moved").limit(1).count()
         discard(labels, step)
         labels = new
@@ -196,7 +197,8 @@ def _classes(rows: DataFrame, k: int, percent: int) -> _Classes:
     entries = classes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64(F.lit(3), "node")).alias("centre")).filter("m > 1")
     members = written(entries.join(shared, "key"))
-    nodes = written(members.select("node").distinct())
+    n_members = members.count()
+    nodes = written(members.select("node").distinct(), n_members)
     sets = written(picked(rows.select(F.col("at").alias("node"), "text"), nodes, "node", "left_semi", lambda found: found.mapInArrow(_full_sets(k), "node long, n long, packed binary")))
 
     def confirmed(pairs: DataFrame, sketched: bool) -> DataFrame:
@@ -208,23 +210,23 @@ def _classes(rows: DataFrame, k: int, percent: int) -> _Classes:
             side = lambda x: classes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "bins", "sig")))
             both = small(pairs, n).join(side("a"), "a")
             both = both.join(side("b"), "b").select("a", "b", *(f"{c}_{x}" for c in ("n_shingles", "bins", "sig") for x in "ab"))
-            likely = written(both.mapInArrow(_alike(similarity), "a long, b long"))
+            likely = written(both.mapInArrow(_alike(similarity), "a long, b long"), n)
             n = likely.count()
         left = small(likely, n).join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("packed").alias("p_a")), "a")
         ends = likely.select(F.col("b").alias("node")).distinct()
         right = sets.join(small(ends, n), "node", "left_semi").select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("packed").alias("p_b"))
-        out = written(left.join(right, "b").select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(_confirm(percent), "a long, b long").distinct())
+        out = written(left.join(right, "b").select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(_confirm(percent), "a long, b long").distinct(), n)
         if sketched:
             discard(likely)
         return out
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    star = written(members.filter("node != centre").select(*pair("node", "centre")).distinct())
+    star = written(members.filter("node != centre").select(*pair("node", "centre")).distinct(), n_members)
     links = confirmed(star, True)
     labels = components(links)
     known = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
     mixed = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).groupBy("key").agg(F.max_by("comp", "c").alias("main"), F.count(F.lit(1)).alias("comps"), F.min("n").alias("least")).filter("comps > 1")
-    open_ = written(known.join(mixed, "key").groupBy("node", "n", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("minor"), F.min(F.when(F.col("comp") != F.col("main"), F.col("least"))).alias("least")))
+    open_ = written(known.join(mixed, "key").groupBy("node", "n", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("minor"), F.min(F.when(F.col("comp") != F.col("main"), F.col("least"))).alias("least")), n_members)
     if open_.limit(1).count():
         links = written(links.union(_rare_links(open_, sets, star, confirmed, similarity, percent)))
     discard(sets, nodes, members, star, open_, labels)
@@ -278,19 +280,19 @@ def _rare_links(open_: DataFrame, sets: DataFrame, tested: DataFrame, confirmed:
     by_node = Window.partitionBy("node")
     ranked = shared.withColumn("rank", F.row_number().over(by_node.orderBy("df", "token"))).withColumn("unique", F.col("n") - F.count(F.lit(1)).over(by_node))
     prefix = ranked.filter(F.col("rank") + F.col("unique") <= F.col("prefix")).withColumn("weight", F.sum(F.col("df") - 1).over(by_node))
-    prefix = written(prefix.select("token", "node", "comp", "weight"))
+    prefix = written(prefix.select("token", "node", "comp", "weight"), tokens.count())
     light = prefix.filter(F.col("weight") <= HEAVY).select("token", F.col("node").alias("x"), F.col("comp").alias("cx"))
     other = small(light, light.count()).join(tokens.select("token", F.col("node").alias("y")), "token").filter("x != y").select("x", "y", "cx").distinct()
     other = other.join(small(open_.select(F.col("node").alias("y"), F.col("comp").alias("cy")), n_open), "y").filter("cx != cy")
     fresh = written(other.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
     links = confirmed(fresh, False)
-    heavy = written(prefix.filter(F.col("weight") > HEAVY).select("node").distinct())
+    heavy = written(prefix.filter(F.col("weight") > HEAVY).select("node").distinct(), n_open)
     queries = own_sets.join(small(heavy, n_open), "node", "left_semi")
     blocks = -(-(queries.agg(F.sum("n")).first()[0] or 0) // INDEX_SHINGLES)
     for i in range(blocks):
         block = queries.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i).toArrow()
         sent = spark.sparkContext.broadcast(_Inverted.build(block))
-        links = links.union(written(own_sets.select("node", "n", "packed", "comp").mapInArrow(_against(sent, percent), "a long, b long").distinct()))
+        links = links.union(written(own_sets.select("node", "n", "packed", "comp").mapInArrow(_against(sent, percent), "a long, b long").distinct(), n_open))
     discard(tokens, prefix)
     return links
 
