@@ -147,12 +147,10 @@ def free(df: DataFrame, stem: str) -> str:
 
 
 def kept_by(docs: DataFrame, passes: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    """The rows of docs whose text passes: from a batch of texts, a truth value each. Rows go through whole, in one pass, whatever their other columns hold."""
-    name, schema = free(docs, "__text"), docs.schema
+    """The rows of docs whose text passes: from a batch of texts, a truth value each. Only texts go to Python, and only truth values come back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = pa.array(passes(batch.column(batch.num_columns - 1)), pa.bool_())
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(keep)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(passes(texts), pa.bool_())
 
-    return docs.withColumn(name, F.col("text").cast("string")).mapInArrow(run, schema)
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return docs.filter(F.arrow_udf(run, "boolean")(F.col("text").cast("string")))
