@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import exprs as x
 from quillframe.plans.rules import DEFAULT, FIXED_COLUMNS, Rules
+from quillframe.sources import tables
 
 TABLE, ROW = ["doc_id", "table_no"], ["doc_id", "table_no", "row_no"]
 
@@ -56,8 +57,8 @@ def field_of(name: str) -> Column:
 
 
 def monthly(raw_cells: DataFrame, years: DataFrame, rules: Rules = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A2, A3, P4 of monthly grids; see grid()."""
-    return grid(table_rows(raw_cells, layouts(raw_cells, years, rules)))
+    """A2, A3, P4 of monthly grids; see grid(). The gathered rows are written once, as all three tables come from them."""
+    return grid(tables.once(table_rows(raw_cells, layouts(raw_cells, years, rules))))
 
 
 def grid(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 
 def split(items: DataFrame, key: str, val: int, test: int, seed: int) -> DataFrame:
-    """Items with a column split: the first test keys in the order of a seeded hash, then val keys, and the rest train. Only val + test keys are sorted out, by a distributed top-k; the sizes are parameters, so that side is small."""
+    """Items with a column split: of their distinct keys, the first test ones in the order of a seeded hash, then val ones, and the rest train. All rows of a key are in one part, and none is added. A distributed top-k finds the last key of test and of val; the parts follow from comparing with these two, without a join. A null key is in train."""
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
-    first = items.select(F.col(key), order.alias("__h")).orderBy("__h", key).limit(test + val)
-    if test + val == 0:
-        return items.withColumn("split", F.lit("train"))
-    ranked = first.agg(F.array_sort(F.collect_list(F.struct("__h", F.col(key).alias("k")))).alias("l")).select(F.posexplode("l").alias("pos", "e")).select(F.col("e.k").alias(key), F.when(F.col("pos") < test, "test").otherwise("val").alias("split"))
-    return items.join(F.broadcast(ranked), key, "left").na.fill("train", ["split"])
+    keys = items.select(order.alias("h")).filter("h is not null").distinct()
+    out = F.lit("train")
+    for name, n in (("val", test + val), ("test", test)):
+        last = keys.orderBy("h").limit(n).agg(F.max("h").alias("h")).first().h if n else None
+        if last is not None:
+            out = F.when(order <= last, name).otherwise(out)
+    return items.withColumn("split", out)
 
 
 def examples(documents: DataFrame, template: str) -> DataFrame:
@@ -28,5 +30,5 @@ def short_enough(items: DataFrame, column: str, most: int) -> DataFrame:
 
 def head(lines: DataFrame, n: int) -> DataFrame:
     """S7, T-4: of lines(row_no, value), the first n before the first blank one."""
-    stop = lines.filter(F.trim(F.regexp_replace("value", r"\s", "")) == "").agg(F.min("row_no").alias("stop"))
-    return lines.crossJoin(F.broadcast(stop)).filter("stop is null or row_no < stop").orderBy("row_no").limit(n).select("row_no", "value")
+    stop = lines.filter(F.trim(F.regexp_replace("value", r"\s", "")) == "").agg(F.min("row_no").alias("stop")).first().stop
+    return (lines if stop is None else lines.filter(F.col("row_no") < stop)).orderBy("row_no").limit(n).select("row_no", "value")

@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.operators import score, semistructured
+from quillframe.sources import tables
 
 # The template that completions follow.
 TEMPLATE = '{"pharmacy": {"name": "verbatim-string", "id": "verbatim-string"}, "supplier": "verbatim-string", "report_date": "date-time", "products": [{"code_produit": "verbatim-string", "designation": "verbatim-string", "sales": [{"month": "date-time", "quantity": "integer"}]}]}'
@@ -32,8 +34,13 @@ def require(module: str, hint: str) -> None:
         raise MissingDependency(f"{module} is not installed; {hint}")
 
 
-def completions(images: DataFrame, factory: Callable[[], Engine], template: str = TEMPLATE) -> DataFrame:
-    """(doc_id, completion) of images(doc_id, content). The factory runs once per task, on its first batch; an engine's failure on one image becomes a null completion of that image."""
+def device(wanted: str | None, accelerated: bool) -> str:
+    """the device for an engine: the one asked for, else cuda if there is one, else cpu."""
+    return wanted or ("cuda" if accelerated else "cpu")
+
+
+def completions(images: DataFrame, factory: Callable[[], Engine], template: str = TEMPLATE, progress: Accumulator | None = None) -> DataFrame:
+    """(doc_id, completion) of images(doc_id, content). The factory runs once per task, on its first batch; an engine's failure on one image becomes a null completion of that image. The result is not kept: write it once if several plans read it. progress (X4): an accumulator that counts images as they are begun; images of tasks that run again count again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = None
@@ -41,6 +48,8 @@ def completions(images: DataFrame, factory: Callable[[], Engine], template: str
             engine = engine or factory()
 
             def one(content: bytes) -> str | None:
+                if progress is not None:
+                    progress.add(1)
                 try:
                     return engine.extract(bytes(content), template)  # noqa: B023
                 except Exception:  # noqa: BLE001
@@ -54,7 +63,7 @@ def completions(images: DataFrame, factory: Callable[[], Engine], template: str
 
 def evaluate(images: DataFrame, factory: Callable[[], Engine], gold_lines: DataFrame, gold_cells: DataFrame) -> DataFrame:
     """Scores by document of an engine against gold: completions, their lines and cells, and the cell-level comparison."""
-    raw = completions(images, factory)
+    raw = tables.once(completions(images, factory))
     parsed = raw.select("doc_id", semistructured.completion(raw["completion"]).alias("v"))
     lines, cells = semistructured.completion_lines(parsed)
     return score.by_document(images.select("doc_id"), score.matched_cells(gold_lines, gold_cells, lines, cells))

@@ -44,6 +44,16 @@ def held_out(pairs: DataFrame, names: DataFrame, key: str) -> DataFrame:
     return pairs.join(names.select(key), key, "left_semi")
 
 
+def first(pairs: DataFrame, n: int) -> DataFrame:
+    """T-3: the first n matched pairs by stem."""
+    return pairs.filter("path is not null").orderBy("stem").limit(n)
+
+
+def mapping(pairs: DataFrame) -> DataFrame:
+    """K9: (stem, path, image, gold) of the matched pairs: what to copy, and the names that image and gold get beside each other. Written, this is the dry run; the bytes are for whoever reads it."""
+    return pairs.filter("path is not null").select("stem", "path", F.concat("stem", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).alias("image"), F.concat("stem", F.lit(".expected.json")).alias("gold"))
+
+
 def counters(pairs: DataFrame) -> DataFrame:
     """K9: one row (matched, ambiguous, unmatched)."""
     return pairs.agg(F.count("path").alias("matched"), F.count(F.when(F.col("ambiguous"), 1)).alias("ambiguous"), F.count(F.when(F.col("path").isNull(), 1)).alias("unmatched"))

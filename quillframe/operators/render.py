@@ -8,29 +8,28 @@ from pyspark.sql import functions as F
 from quillframe.functions import exprs as x
 from quillframe.plans.rules import DEFAULT, Rules
 
+# Headers of a printed grid.
 HEADERS = ("Code EAN", "Désignation", "PA cat", "PA cat net", "PV TTC")
 
 
 def monthly_grid(lines: DataFrame, cells: DataFrame, rules: Rules = DEFAULT, totals: bool = True) -> DataFrame:
-    """K6, A10: raw_cells of a grid per document. lines(doc_id, line_no, code_produit, designation, pa_cat, pa_cat_net, pv_ttc), cells(doc_id, line_no, month, quantity): five fixed columns and one per month, in order; a missing cell prints 0; a last row TOTAL has the sum of each month."""
-    months = cells.groupBy("doc_id").agg(F.array_sort(F.collect_set("month")).alias("months"))
-    places = months.select("doc_id", F.posexplode("months").alias("i", "month")).select("doc_id", "month", (F.col("i") + len(HEADERS)).alias("col_no"))
-    cell = lambda df, row, col, value: df.select("doc_id", F.lit(1).alias("page_no"), F.lit(0).alias("table_no"), row.cast("long").alias("row_no"), col.cast("int").alias("col_no"), value.alias("value"))
-    documents = months.select("doc_id")
-    fixed = documents.select("doc_id", F.posexplode(F.array(*map(F.lit, HEADERS))).alias("c", "v"))
-    out = cell(fixed, F.lit(0), F.col("c"), F.col("v"))
-    out = out.unionByName(cell(places, F.lit(0), F.col("col_no"), x.month_label(F.col("month"), rules)))
-    numbered = lines.withColumn("__row", F.col("line_no") + 1)
-    values = F.array("code_produit", "designation", *(x.french_number(F.col(c)) for c in ("pa_cat", "pa_cat_net", "pv_ttc")))
-    out = out.unionByName(cell(numbered.select("doc_id", "__row", F.posexplode(values).alias("c", "v")), F.col("__row"), F.col("c"), F.col("v")))
-    every = numbered.select("doc_id", "line_no", "__row").join(places, "doc_id").join(cells.select("doc_id", "line_no", "month", "quantity"), ["doc_id", "line_no", "month"], "left")
-    out = out.unionByName(cell(every, F.col("__row"), F.col("col_no"), x.plain_number(F.coalesce(F.col("quantity").cast("double"), F.lit(0.0)))))
-    if not totals:
-        return out
-    last = lines.groupBy("doc_id").agg((F.max("line_no") + 2).alias("__row"))
-    sums = cells.groupBy("doc_id", "month").agg(F.sum("quantity").cast("double").alias("s")).join(places, ["doc_id", "month"]).join(last, "doc_id")
-    words = last.select("doc_id", "__row", F.posexplode(F.array(F.lit(""), F.lit("TOTAL"), F.lit(""), F.lit(""), F.lit(""))).alias("c", "v"))
-    return out.unionByName(cell(words, F.col("__row"), F.col("c"), F.col("v"))).unionByName(cell(sums, F.col("__row"), F.col("col_no"), x.plain_number(F.col("s"))))
+    """K6, A10: raw_cells of a grid per document. lines(doc_id, line_no, code_produit, designation, pa_cat, pa_cat_net, pv_ttc), cells(doc_id, line_no, month, quantity): five fixed columns and one per month, in order; a missing cell prints 0, cells of one month are summed; a last row TOTAL has the sum of each month."""
+    keep = ["doc_id", F.lit(1).alias("page_no"), F.lit(0).alias("table_no"), F.col("row").cast("long").alias("row_no")]
+    sums = cells.groupBy("doc_id", "month").agg(F.sum("quantity").cast("double").alias("s"))
+    sums = sums.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("month", "s"))).alias("sums"))
+    own = cells.groupBy("doc_id", "line_no", "month").agg(F.sum("quantity").alias("quantity")).groupBy("doc_id", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("month", F.col("quantity").cast("double")))).alias("own"))
+    fixed = F.array("code_produit", "designation", *(x.french_number(F.col(c)) for c in ("pa_cat", "pa_cat_net", "pv_ttc")))
+    found = F.transform("sums", lambda m: x.plain_number(F.coalesce(F.try_element_at("own", m.month), F.lit(0.0))))
+    body = lines.join(own, ["doc_id", "line_no"], "left").join(sums, "doc_id")
+    body = body.select("doc_id", (F.col("line_no") + 1).alias("row"), F.concat(fixed, found).alias("values"))
+    heads = F.concat(F.array(*map(F.lit, HEADERS)), F.transform("sums", lambda m: x.month_label(m.month, rules)))
+    edge = [F.struct(F.lit(0).alias("row"), heads.alias("values"))]
+    if totals:
+        words = F.array(F.lit(""), F.lit("TOTAL"), *[F.lit("")] * (len(HEADERS) - 2))
+        edge.append(F.struct((F.col("last") + 2).alias("row"), F.concat(words, F.transform("sums", lambda m: x.plain_number(m.s))).alias("values")))
+    last = lines.groupBy("doc_id").agg(F.max("line_no").alias("last"))
+    around = sums.join(last, "doc_id", "left").select("doc_id", F.explode(F.array(*edge)).alias("e")).select("doc_id", "e.row", "e.values").filter("row is not null")
+    return body.unionByName(around).select(*keep, F.posexplode("values").alias("col_no", "value"))
 
 
 def transactions(lines: DataFrame, cells: DataFrame) -> DataFrame:

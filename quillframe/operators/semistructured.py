@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import exprs as x
 
-FENCE = r"(?s)```(?:json)?\s*(.*?)\s*```"
+FENCE = "```"
 
 
 def strict_object(s: Column) -> Column:
@@ -22,7 +22,8 @@ def strict_object(s: Column) -> Column:
 def completion(s: Column) -> Column:
     """The first of the fenced block, the whole text, and what lies from the first { to the last } that is a JSON object; else null."""
     s = x.text(s)
-    fenced = F.regexp_extract(s, FENCE, 1)
+    parts = F.split(s, FENCE, 3)  # before, in and after the first block
+    fenced = F.when(F.size(parts) == 3, F.regexp_replace(F.get(parts, F.lit(1)), "^json", ""))
     braced = F.regexp_extract(s, r"(?s)(\{.*\})", 1)
     return F.coalesce(*(strict_object(F.nullif(c, F.lit(""))) for c in (fenced, s, braced)))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillframe.functions import exprs as x
 from quillframe.operators import assemble, dataset, engine, pairing, reconcile, score, semistructured
 from quillframe.plans import rules, statements
-from quillframe.sources import files
+from quillframe.sources import files, tables
 
 validate_config = rules.validate
 _NONE = "array<string>"
@@ -32,17 +32,17 @@ def from_completions(raw: DataFrame) -> statements.Statements:
 
 
 def extract(spark: SparkSession, path: str, decoder: files.Decoder | None = None, factory: Callable[[], engine.Engine] | None = None) -> tuple[statements.Statements, DataFrame]:
-    """(statements, rejects(doc_id, reason)) of all files below a folder, by suffix: PDF through the decoder, images through the engine; files of other kinds, or of a kind that nothing was given for, are rejects, as are files that the decoder cannot read."""
+    """(statements, rejects(doc_id, reason)) of all files below a folder, by suffix: PDF through the decoder, images through the engine; files of other kinds, or of a kind that nothing was given for, are rejects, as are files that the decoder cannot read. Each file is decoded, and each image goes through the engine, once: pages and completions are written before anything is made of them."""
     names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("doc_id"), x.route(F.col("path")).alias("kind"))
     wanted = [k for k, given in (("pdf", decoder), ("image", factory)) if given]
     rejects = names.filter(F.col("kind").isNull() | ~F.col("kind").isin(wanted)).select("doc_id", F.when(F.col("kind").isNull(), "unsupported suffix").otherwise(F.concat(F.lit("nothing given for "), "kind")).alias("reason"))
     parts = []
     if decoder:
-        pages = files.documents(spark, path, decoder)
+        pages = tables.once(files.documents(spark, path, decoder))
         parts.append(statements.native(files.page_texts(pages), files.raw_cells(pages)))
         rejects = rejects.unionByName(files.unreadable(pages))
     if factory:
-        parts.append(from_completions(engine.completions(files.images(spark, path).withColumnRenamed("path", "doc_id"), factory)))
+        parts.append(from_completions(tables.once(engine.completions(files.images(spark, path).withColumnRenamed("path", "doc_id"), factory))))
     if not parts:
         raise ValueError("neither a decoder nor an engine was given")
     if len(parts) == 1:
@@ -69,8 +69,12 @@ def convert_exports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 def conversion_counters(documents: DataFrame, line_rejects: DataFrame, file_rejects: DataFrame) -> DataFrame:
     """One row (converted, skipped, failures)."""
-    one = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
-    return one(documents, "converted").crossJoin(one(line_rejects, "skipped")).crossJoin(one(file_rejects, "failures"))
+    names = {"converted": documents, "skipped": line_rejects, "failures": file_rejects}
+    found = None
+    for name, df in names.items():
+        own = df.select(F.lit(name).alias("what"))
+        found = own if found is None else found.union(own)
+    return found.agg(*(F.count(F.when(F.col("what") == name, 1)).alias(name) for name in names))
 
 
 def compare(expected: statements.Statements, actual: statements.Statements) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -97,3 +101,11 @@ def training_split(spark: SparkSession, gold: DataFrame, images_path: str, outpu
     matched = pairs.filter("path is not null").select("stem", F.col("path").alias("image")).join(outputs, "stem")
     told = matched.select("stem", "image", F.lit(engine.TEMPLATE).alias("template"), "output")
     return dataset.split(told, "stem", val, test, seed), pairing.unmatched(pairs)
+
+
+def gold_images(spark: SparkSession, gold_path: str, images_path: str, glob: str = "*.json", limit: int | None = None) -> DataFrame:
+    """S9, JN5, T-3: pairs of the gold files of a folder, by stem without .expected, with the images below another, the first limit by stem; a gold file may name its image itself."""
+    texts = files.json_texts(spark, gold_path, glob).select(F.regexp_replace("name", r"(\.expected)?\.json$", "").alias("stem"), "value")
+    named = texts.select("stem", semistructured.image_name(F.col("value")).alias("image")).filter("image is not null")
+    pairs = pairing.pair(texts.select("stem"), files.images(spark, images_path).select("path"), named)
+    return pairs if limit is None else pairing.first(pairs, limit)

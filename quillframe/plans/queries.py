@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillframe.functions import exprs as x
 from quillframe.operators import assemble, dataset, engine, pairing, reconcile, render, score, semistructured
 from quillframe.plans import statements
-from quillframe.sources import files
+from quillframe.sources import files, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,12 +43,12 @@ _SQL_DAY = "(l_shipdate + INTERVAL 25 YEAR)"
 _SQL_MONTH = f"strftime({_SQL_DAY}, '%Y-%m')"
 
 
-#: Orders' rows, one per part, numbered from 1: row numbers of the table itself repeat.
-_ITEMS = "(SELECT l_orderkey, l_partkey, max(l_quantity) AS l_quantity, max(l_shipdate) AS l_shipdate, max(l_extendedprice) AS l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey)::INTEGER AS l_linenumber FROM lineitem GROUP BY l_orderkey, l_partkey) i"
+#: Orders' rows, one per part with all its quantities, numbered from 1: row numbers of the table itself repeat.
+_ITEMS = "(SELECT l_orderkey, l_partkey, sum(l_quantity) AS l_quantity, max(l_shipdate) AS l_shipdate, max(l_extendedprice) AS l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey)::INTEGER AS l_linenumber FROM lineitem GROUP BY l_orderkey, l_partkey) i"
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(*(F.max(c).alias(c) for c in ("l_quantity", "l_shipdate", "l_extendedprice")))
+    rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("l_quantity"), *(F.max(c).alias(c) for c in ("l_shipdate", "l_extendedprice")))
     return rows.withColumn("l_linenumber", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey")))
 
 
@@ -87,6 +87,11 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return lines, items.select("doc_id", "line_no", "month", "quantity")
 
 
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' printed grids, written once as decoded files would be."""
+    return tables.once(render.monthly_grid(*_order_lines(spark, sf_dir)))
+
+
 def _years(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "doc_id long, reference_year int")
 
@@ -98,19 +103,19 @@ SELECT doc_id, code_produit, month, coalesce(q, 0)::DOUBLE AS quantity FROM l JO
 
 @query(_GRID_SQL)
 def monthly_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, cells, _ = assemble.monthly(render.monthly_grid(*_order_lines(spark, sf_dir)), _years(spark))
+    lines, cells, _ = assemble.monthly(_grid(spark, sf_dir), _years(spark))
     return lines.join(cells, assemble.ROW).select("doc_id", "code_produit", "month", "quantity")
 
 
 @query(f"SELECT l_orderkey AS doc_id, {_SQL_CODE} AS code_produit, 'item ' || l_partkey AS designation, max(l_extendedprice) AS pa_cat, NULL::DOUBLE AS pa_cat_net, round(max(l_extendedprice) + 1, 2) AS pv_ttc FROM {_ITEMS} GROUP BY l_orderkey, l_partkey")
 def monthly_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, _, _ = assemble.monthly(render.monthly_grid(*_order_lines(spark, sf_dir)), _years(spark))
+    lines, _, _ = assemble.monthly(_grid(spark, sf_dir), _years(spark))
     return lines.select("doc_id", "code_produit", "designation", "pa_cat", "pa_cat_net", "pv_ttc")
 
 
 @query(f"SELECT l_orderkey AS doc_id, {_SQL_MONTH} AS month, sum(l_quantity) AS quantity FROM {_ITEMS} GROUP BY ALL")
 def grid_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble.monthly(render.monthly_grid(*_order_lines(spark, sf_dir)), _years(spark))[2]
+    return assemble.monthly(_grid(spark, sf_dir), _years(spark))[2]
 
 
 def _cells(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
@@ -325,7 +330,7 @@ def _completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _completions(spark, sf_dir).select("doc_id", semistructured.completion(F.col("completion")).alias("v"))
+    return tables.once(_completions(spark, sf_dir)).select("doc_id", semistructured.completion(F.col("completion")).alias("v"))
 
 
 @query(f"SELECT l_orderkey AS doc_id, l_linenumber + 2 AS line_no, {_SQL_CODE} AS code_produit, {_SQL_MONTH} AS month, (l_quantity + 2)::BIGINT AS quantity FROM {_ITEMS} WHERE l_linenumber % 4 <> 0")
@@ -356,7 +361,7 @@ def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.when((F.col("l_orderkey") % 5 != 0) & F.col("totals").isNotNull(), F.concat(F.lit(', {"type": "total_line", "properties": ['), "totals", F.lit(']}, {"type": "total_line", "properties": []}'))).otherwise("")
     day = F.when(F.col("l_orderkey") % 2 == 0, "2026-02-03").otherwise("3 Feb 2026")
     whole = F.concat(F.lit('{"text": "ETAT DES VENTES", "entities": [{"type": "report_date", "mentionText": "'), day, F.lit('"}, '), F.col("products"), total, F.lit(', {"type": "report_date", "mentionText": "2025-01-01"}]}'))
-    return both.select(F.col("l_orderkey").alias("doc_id"), semistructured.strict_object(whole).alias("v"))
+    return tables.once(both.select(F.col("l_orderkey").alias("doc_id"), whole.alias("whole"))).select("doc_id", semistructured.strict_object(F.col("whole")).alias("v"))
 
 
 @query(f"SELECT l_orderkey AS doc_id, l_linenumber AS line_no, {_SQL_CODE} AS code_produit, {_SQL_MONTH} AS month, l_quantity::BIGINT + 1 AS quantity FROM {_ITEMS} WHERE l_linenumber % 4 <> 0")
@@ -435,6 +440,18 @@ def pair_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.counters(pairing.pair(*_gold_and_images(spark, sf_dir)))
 
 
+@query(f"{_PAIR_SQL} SELECT stem, path FROM p WHERE path IS NOT NULL ORDER BY stem LIMIT 25")
+def limited_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-3."""
+    return pairing.first(pairing.pair(*_gold_and_images(spark, sf_dir)), 25).select("stem", "path")
+
+
+@query(f"{_PAIR_SQL} SELECT stem, path, stem || lower(regexp_extract(path, '[.][^./]+$')) AS image, stem || '.expected.json' AS gold FROM p WHERE path IS NOT NULL")
+def pair_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9: what to copy where."""
+    return pairing.mapping(pairing.pair(*_gold_and_images(spark, sf_dir)))
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def held_out_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.held_out(_t(spark, sf_dir, "documents").select("doc_id", "source"), _t(spark, sf_dir, "labels"), "doc_id")
@@ -446,6 +463,50 @@ def dataset_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.split(_t(spark, sf_dir, "documents").select("doc_id"), "doc_id", val=20, test=18, seed=42)
 
 
+@query("""WITH k AS (SELECT DISTINCT source AS k FROM documents WHERE source IS NOT NULL), r AS (SELECT k, row_number() OVER (ORDER BY md5('7|' || k)) AS n FROM k)
+SELECT doc_id, CASE WHEN n <= 2 THEN 'test' WHEN n <= 3 THEN 'val' ELSE 'train' END AS split FROM documents LEFT JOIN r ON k = source""")
+def dataset_split_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z1 on keys that repeat: all rows of a key are in one part."""
+    return dataset.split(_t(spark, sf_dir, "documents").select("doc_id", "source"), "source", val=1, test=2, seed=7).select("doc_id", "split")
+
+
+@query("""WITH l AS (SELECT event_id AS row_no, CASE WHEN event_id % 997 = 700 THEN '  ' ELSE props END AS value FROM events)
+SELECT row_no, value FROM l WHERE row_no < (SELECT min(row_no) FROM l WHERE trim(value) = '') ORDER BY row_no LIMIT 500""")
+def jsonl_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7, T-4: lines before the first blank one, 500 at most."""
+    lines = _t(spark, sf_dir, "events").select(F.col("event_id").alias("row_no"), F.expr("if(event_id % 997 = 700, '  ', props)").alias("value"))
+    return dataset.head(lines, 500)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 2000 ELSE greatest(2000 + c_nationkey, 2000 + c_custkey % 60) END::INTEGER AS reference_year FROM customer")
+def reference_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the latest year in a text, inside longer numbers too."""
+    text = F.expr("if(c_custkey % 4 = 0, concat('ref 19', lpad(c_nationkey, 2, '0')), concat('Du 01/01/', 2000 + c_nationkey, ' n° 9', 2000 + c_custkey % 60, '7'))")
+    return _t(spark, sf_dir, "customer").select("c_custkey", x.reference_year(text).cast("int").alias("reference_year"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 1 THEN 'month is not yyyy-MM' WHEN c_custkey % 4 = 0 THEN 'page_count below 1' WHEN c_nationkey < 3 THEN 'row_count below 0' END AS document, CASE WHEN c_custkey % 7 = 0 THEN 'confidence out of range' END AS line FROM customer""")
+def structure_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2, V3: months, counts and confidences."""
+    months = F.expr("array('2026-13', concat('20', lpad(c_custkey % 90 + 10, 2, '0'), case when c_custkey % 5 = 1 then '-1' else '-01' end))")
+    found = x.bad_document(months, F.expr("c_custkey % 4"), F.expr("c_nationkey - 3"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", found.alias("document"), x.bad_line(F.lit(""), F.expr("if(c_custkey % 7 = 0, 1.5D, c_custkey % 7 / 6D)")).alias("line"))
+
+
+@query(f"SELECT '/p/' || event_id || '.jpg' AS image, '{engine.TEMPLATE}' AS template, props AS output FROM events")
+def training_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z2."""
+    return dataset.examples(_t(spark, sf_dir, "events").select(F.concat(F.lit("/p/"), "event_id", F.lit(".jpg")).alias("image"), F.col("props").alias("output")), engine.TEMPLATE)
+
+
+@query(f"""WITH d AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events ORDER BY event_id LIMIT 5)
+SELECT (2 * n - 2)::INTEGER AS no, 'user' AS role, '/p/' || event_id || '.jpg' AS image, '{engine.TEMPLATE}' AS text FROM d UNION ALL SELECT (2 * n - 1)::INTEGER, 'assistant', NULL, props FROM d JOIN events USING (event_id)""")
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J11 of the first five examples."""
+    first = _t(spark, sf_dir, "events").select(F.col("event_id").alias("no"), F.concat(F.lit("/p/"), "event_id", F.lit(".jpg")).alias("image"), F.col("props").alias("output")).orderBy("no").limit(5)
+    return engine.messages(first).select(F.posexplode("messages").alias("no", "m")).select("no", "m.*")
+
+
 @query("SELECT doc_id FROM documents WHERE length(text) <= 2000")
 def length_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.short_enough(_t(spark, sf_dir, "documents"), "text", 2000).select("doc_id")
@@ -509,7 +570,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     body = flat.select("doc_id", "row_no", F.posexplode(F.array("code_produit", "designation", "date", "quantity", "amount")).alias("col_no", "value"))
     odd = heads.union(body).select("doc_id", F.lit(1).alias("page_no"), F.lit(0).alias("table_no"), F.col("row_no").cast("long").alias("row_no"), "col_no", "value")
     documents = lines.select("doc_id").distinct().selectExpr("doc_id", "case when doc_id % 3 = 0 then 'lgpi' else 'winpharma' end as lgo", "concat('Pharmacie ', doc_id) as pharmacy_name", "'1 rue X' as address", "cast(doc_id as string) as pharmacy_id", "'ACME' as supplier")
-    return render.page_header(documents).select("doc_id", F.lit(1).alias("page_no"), "text"), even.unionByName(odd)
+    return render.page_header(documents).select("doc_id", F.lit(1).alias("page_no"), "text"), tables.once(even.unionByName(odd))
 
 
 @query(f"""WITH b AS (SELECT l_orderkey AS doc_id, l_partkey AS k, {_SQL_MONTH} AS month, l_quantity AS q FROM {_ITEMS})

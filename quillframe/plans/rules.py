@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
+
 # Month tokens in order of priority.
 MONTH_TOKENS: tuple[tuple[str, int], ...] = (
     ("jan", 1), ("janv", 1), ("janvier", 1),
@@ -79,6 +82,11 @@ def validate(rules: Rules) -> Rules:
     return rules
 
 
+def load(spark: SparkSession, folder: str, names: tuple[str, str, str] = ("months.json", "aliases.json", "signatures.json")) -> Rules:
+    """Rules from three JSON files of a folder, read once on the driver; see from_json()."""
+    return from_json(*(json.loads(spark.read.text(f"{folder}/{n}", wholetext=True).first().value) for n in names))
+
+
 def from_json(months: object, aliases: object, signatures: object) -> Rules:
     """Rules of parsed JSON: {token: number}, {alias: column} and [{id, signatures}]."""
     for what, x in (("months", months), ("aliases", aliases)):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillframe.functions import exprs as x
 from quillframe.operators import assemble, reconcile
 from quillframe.plans.rules import DEFAULT, Rules
+from quillframe.sources import tables
 
 
 @dataclass
@@ -22,12 +23,12 @@ class Statements:
 
 
 def native(page_texts: DataFrame, raw_cells: DataFrame, rules: Rules = DEFAULT) -> Statements:
-    """Assembly of documents from tables and texts. Months are in descending order; only monthly documents with printed totals are reconciled; a document without tables is monthly and has no lines."""
+    """Assembly of documents from tables and texts. Months are in descending order; only monthly documents with printed totals are reconciled; a document without tables is monthly and has no lines. Layouts and gathered rows are written once: lines, cells, sums and documents all come from them, and raw_cells is read twice."""
     texts = assemble.document_text(page_texts)
     years = texts.select("doc_id", x.reference_year(F.col("text")).alias("reference_year"))
-    found = assemble.layouts(raw_cells, years, rules)
+    found = tables.once(assemble.layouts(raw_cells, years, rules))
     kinds = assemble.statement_types(found)
-    rows = assemble.table_rows(raw_cells, found.join(kinds, "doc_id"))
+    rows = tables.once(assemble.table_rows(raw_cells, found.join(kinds, "doc_id")))
     m_lines, m_cells, printed = assemble.grid(rows.filter("statement_type = 'monthly'"))
     p_lines, p_cells = assemble.period(assemble.period_rows(rows.filter("statement_type = 'period'")))
     p_cells = p_cells.join(p_lines.select(*assemble.TABLE, "code_produit", "row_no"), [*assemble.TABLE, "code_produit"])

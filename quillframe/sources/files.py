@@ -87,8 +87,10 @@ def statements(spark: SparkSession, path: str, glob: str = "*.json") -> tuple[Da
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value) of each line that is not blank."""
-    return spark.read.text(path).filter(F.trim("value") != "")
+    """(value, v) of each line that is not blank: its text, and its object as VARIANT, null if it is none."""
+    from quillframe.operators.semistructured import strict_object
+
+    return spark.read.text(path).filter(F.trim("value") != "").withColumn("v", strict_object(F.col("value")))
 
 
 def write_statements(df: DataFrame, path: str) -> None:
@@ -102,6 +104,6 @@ def write_split(df: DataFrame, path: str) -> None:
 
 
 def report(scores: DataFrame, summary: DataFrame) -> DataFrame:
-    """K4: one row of JSON with the summary and the files' scores in order of doc_id."""
-    files = scores.agg(F.array_sort(F.collect_list(F.struct("doc_id", "cell_precision", "cells_compared"))).alias("per_file"))
-    return summary.crossJoin(files).select(F.to_json(F.struct("*")).alias("value"))
+    """K4: JSON lines: {"summary": ...} of the dataset row, and {"file": ...} of each file's scores. Files are not gathered into one object, as there may be any number."""
+    line = lambda df, name, *columns: df.select(F.to_json(F.struct(F.struct(*columns).alias(name))).alias("value"))
+    return line(summary, "summary", "*").union(line(scores, "file", "doc_id", "cell_precision", "cells_compared"))

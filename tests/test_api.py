@@ -1,15 +1,18 @@
 import json
+import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillframe.operators import engine
+from quillframe.operators import engine, pairing
 from quillframe.plans import api, rules
+from quillframe.sources import files
 from tests.test_statements import MONTHLY, Fake, export
 
 
 def test_extract_and_compare(spark, tmp_path):
     (tmp_path / "a").mkdir()
-    (tmp_path / "a" / "s.pdf").write_bytes(json.dumps([["LGPI", [[*MONTHLY, ["", "TOTAL", "", "", "", "4", "3"]]]]]).encode())
+    (tmp_path / "a" / "s.pdf").write_bytes(json.dumps([["LGPI", [[*MONTHLY, ["", "TOTAL", "", "", "", "12", "5", "9"]]]]]).encode())
     (tmp_path / "a" / "bad.pdf").write_bytes(b"x")
     (tmp_path / "p.JPG").write_bytes(b"photo")
     (tmp_path / "n.txt").write_text("x")
@@ -20,7 +23,7 @@ def test_extract_and_compare(spark, tmp_path):
     assert {r.doc_id.rsplit("/", 1)[1]: r.reason.split(":")[0] for r in rejects.collect()} == {"bad.pdf": "JSONDecodeError", "n.txt": "unsupported suffix"}
     scores, total, diffs = api.compare(s, s)
     assert total.first().cell_precision == 1.0 and diffs.count() == 0 and scores.count() == 2
-    assert api.console_report(total, diffs).startswith("cell_precision: 1.0000\nreconciled_rate: 1.0000\ncells_compared: 5")
+    assert api.console_report(total, diffs).startswith("cell_precision: 1.0000\nreconciled_rate: 1.0000\ncells_compared: 6")
     only, rejects = api.extract(spark, str(tmp_path), decode)
     assert only.documents.count() == 1 and rejects.filter("reason like 'nothing given%'").count() == 1
     with pytest.raises(ValueError):
@@ -28,6 +31,52 @@ def test_extract_and_compare(spark, tmp_path):
     assert api.validate_config(rules.DEFAULT) is rules.DEFAULT
 
 
+class Counting:
+    """Leaves a file for each image it reads."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def extract(self, image, template):
+        (self.folder / uuid.uuid4().hex).touch()
+        return Fake().extract(image, template)
+
+
+def test_each_file_is_read_once(spark, tmp_path):
+    seen, decoded = tmp_path / "seen", tmp_path / "decoded"
+    for d in (seen, decoded, tmp_path / "in"):
+        d.mkdir()
+    for i in range(6):
+        (tmp_path / "in" / f"{i}.png").write_bytes(b"photo")
+        (tmp_path / "in" / f"{i}.pdf").write_bytes(json.dumps([["", [MONTHLY]]]).encode())
+
+    def decode(content):
+        (decoded / uuid.uuid4().hex).touch()
+        return [tuple(p) for p in json.loads(content)]
+
+    s, rejects = api.extract(spark, str(tmp_path / "in"), decode, lambda: Counting(seen))
+    assert (s.documents.count(), s.lines.count(), s.cells.count(), rejects.count()) == (12, 18, 36, 0)
+    assert len(list(seen.iterdir())) == len(list(decoded.iterdir())) == 6
+    gold = s.lines.filter("doc_id like '%png'").select("doc_id", F.col("row_no").alias("line_no"), "code_produit"), s.cells.filter("doc_id like '%png'").select("doc_id", F.col("row_no").alias("line_no"), "month", "quantity")
+    images = files.images(spark, str(tmp_path / "in")).withColumnRenamed("path", "doc_id")
+    assert {r.cell_precision for r in engine.evaluate(images, lambda: Counting(seen), *gold).collect()} == {1.0} and len(list(seen.iterdir())) == 12
+    begun = spark.sparkContext.accumulator(0)
+    engine.completions(images, Fake, progress=begun).collect()
+    assert begun.value == 6 and [engine.device(*a) for a in (("cpu", True), (None, True), (None, False))] == ["cpu", "cuda", "cpu"]
+
+
+def test_gold_and_images(spark, tmp_path):
+    for d in ("gold", "photos/a"):
+        (tmp_path / d).mkdir(parents=True)
+    for name, x in (("one.expected.json", {}), ("two.json", {"uri": "store:/x/shop.JPG"}), ("three.expected.json", {"image": 5})):
+        (tmp_path / "gold" / name).write_text(json.dumps(x))
+    for name in ("one_3.png", "SHOP.jpg"):
+        (tmp_path / "photos" / "a" / name).write_bytes(b"x")
+    pairs = api.gold_images(spark, str(tmp_path / "gold"), str(tmp_path / "photos"))
+    assert {r.stem: r.tier for r in pairs.collect()} == {"one": 2, "two": 4, "three": None}
+    assert [(r.stem, r.image, r.gold) for r in pairing.mapping(api.gold_images(spark, str(tmp_path / "gold"), str(tmp_path / "photos"), limit=1)).collect()] == [("one", "one.png", "one.expected.json")]
+
+
 def test_convert(spark, tmp_path):
     for name, text in (("a", export()), ("b", "broken"), ("c", export().replace('"2026-01-31"', '"later"')), ("d", export().replace("0.5", "1.5"))):
         (tmp_path / f"{name}.json").write_text(text)

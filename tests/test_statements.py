@@ -4,11 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillframe.operators import assemble, dataset, engine, pairing, reconcile, render, score, semistructured
-from quillframe.plans import statements
+from quillframe.plans import rules, statements
 from quillframe.sources import files
 
-MONTHLY = [["Code EAN", "Désignation", "PA cat", "PA cat net", "PV TTC", "janv. 2026", "déc. 2025"], ["3614810004843", "Product A", "32,00", "20,48", "49,95", "3", "3"], ["3400930000000", "Product B", "", None, "x", "1", "0"]]
-PERIOD = [["Code EAN", "Désignation", "Date", "Qté", "Montant"], ["3614810004843", "Product A", "2026-01-05", "2", "40,00"], ["3614810004843", "Other", "2026-01-20", "1", "20,00"], ["5372381", "short", "2026-01-20", "1", ""], ["3614810004843", "A", "soon", "1", ""]]
+#: A grid of three month columns, and transactions of which two cannot be read.
+MONTHLY = [["CIP", "Libellé", "PA cat.", "PA cat net", "PV TTC", "mars 2031", "févr. 2031", "nov. 2030"], ["3401597302468", "Gel main 75 ml", "4,10", "3,69", "6,90", "12", "5", "7"], ["34015 12309875", "Spray nasal", "", None, "?", "0", "", "2"]]
+PERIOD = [["Code produit", "Libelle", "Date de vente", "Quantité", "Montant"], ["3401597302468", "Gel main 75 ml", "2031-03-02", "6", "41,40"], ["3401597302468", "Gel (promo)", "2031-03-28", "4", "24,00"], ["990017", "sans code", "2031-03-28", "2", ""], ["3401597302468", "Gel", "hier", "1", ""]]
 
 
 def pages(spark, *documents):
@@ -18,29 +19,29 @@ def pages(spark, *documents):
 
 
 def test_native(spark):
-    total = lambda a, b: ["", "TOTAL", "", "", "", a, b]
-    s = statements.native(*pages(spark, ("ok", "ETAT DES VENTES\nPharmacie\n1 rue\nID: 7", [[*MONTHLY, total("4", "3")]]), ("off", "", [[*MONTHLY, total("9", "9")]]), ("flat", "LGPI", [PERIOD]), ("none", "x", [])))
+    total = lambda *sums: ["", "TOTAL", "", "", "", *sums]
+    s = statements.native(*pages(spark, ("ok", "ETAT DES VENTES\nPharmacie du Lac\n8 quai Nord\nID: 41", [[*MONTHLY, total("12", "5", "9")]]), ("off", "", [[*MONTHLY, total("13", "5", "8")]]), ("flat", "LGPI", [PERIOD]), ("none", "x", [])))
     d = {r.doc_id: r for r in s.documents.collect()}
-    assert d["ok"].totals_reconciled and d["ok"].row_count == 2 and d["ok"].months == ["2026-01", "2025-12"] and d["ok"].lgo == "etat_des_ventes" and d["ok"].pharmacy_id == "7"
-    assert not d["off"].totals_reconciled and d["off"].flags == ["month 2025-12: computed=3.0, printed=9", "month 2026-01: computed=4.0, printed=9"]
+    assert d["ok"].totals_reconciled and d["ok"].row_count == 2 and d["ok"].months == ["2031-03", "2031-02", "2030-11"] and d["ok"].lgo == "etat_des_ventes" and d["ok"].pharmacy_id == "41"
+    assert not d["off"].totals_reconciled and d["off"].flags == ["month 2030-11: computed=9.0, printed=8", "month 2031-03: computed=12.0, printed=13"]
     assert d["flat"].statement_type == "period" and d["flat"].row_count == 1 and not d["flat"].totals_reconciled and d["flat"].flags == []
     assert d["none"].statement_type == "monthly" and d["none"].row_count == 0 and d["none"].months == []
     cells = sorted((r.doc_id, r.row_no, r.month, r.quantity) for r in s.cells.filter("doc_id in ('ok', 'flat')").collect())
-    assert cells == [("flat", 1, "2026-01", 3.0), ("ok", 1, "2025-12", 3.0), ("ok", 1, "2026-01", 3.0), ("ok", 2, "2025-12", 0.0), ("ok", 2, "2026-01", 1.0)]
+    assert cells == [("flat", 1, "2031-03", 10.0), ("ok", 1, "2030-11", 7.0), ("ok", 1, "2031-02", 5.0), ("ok", 1, "2031-03", 12.0), ("ok", 2, "2030-11", 2.0), ("ok", 2, "2031-03", 0.0)]
     line = s.lines.filter("doc_id = 'ok' and row_no = 1").first()
-    assert (line.pa_cat, line.pa_cat_net, line.pv_ttc) == (32.0, 20.48, 49.95)
+    assert (line.pa_cat, line.pa_cat_net, line.pv_ttc) == (4.1, 3.69, 6.9)
     nested = {r.doc_id: r for r in statements.nested(s).collect()}
-    assert [x.code_produit for x in nested["ok"].lines] == ["3614810004843", "3400930000000"] and nested["ok"].lines[0].quantities == {"2026-01": 3.0, "2025-12": 3.0} and nested["none"].lines is None
+    assert [x.code_produit for x in nested["ok"].lines] == ["3401597302468", "3401512309875"] and nested["ok"].lines[0].quantities == {"2031-03": 12.0, "2031-02": 5.0, "2030-11": 7.0} and nested["none"].lines is None
 
 
 def test_short_code_is_read_as_total(spark):
-    texts, cells = pages(spark, ("d", "", [[*MONTHLY, ["5372381", "short", "", "", "", "8", ""]]]))
+    texts, cells = pages(spark, ("d", "", [[*MONTHLY, ["990017", "sans code", "", "", "", "8", "", ""]]]))
     _, _, printed = assemble.monthly(cells, spark.createDataFrame([], "doc_id string, reference_year int"))
-    assert [(r.month, r.quantity) for r in printed.collect()] == [("2026-01", 8.0)]
+    assert [(r.month, r.quantity) for r in printed.collect()] == [("2031-03", 8.0)]
 
 
 def test_round_trip(spark):
-    lines = spark.createDataFrame([("d", 0, "3614810004843", "A", 32.0, None, 1234.5), ("d", 1, "3400930000000", "B", None, None, None)], "doc_id string, line_no int, code_produit string, designation string, pa_cat double, pa_cat_net double, pv_ttc double")
+    lines = spark.createDataFrame([("d", 0, "3401597302468", "A", 32.0, None, 1234.5), ("d", 1, "3401512309875", "B", None, None, None)], "doc_id string, line_no int, code_produit string, designation string, pa_cat double, pa_cat_net double, pv_ttc double")
     cells = spark.createDataFrame([("d", 0, "2026-01", 3.0), ("d", 0, "2025-12", 2.0), ("d", 1, "2026-01", 1.5)], "doc_id string, line_no int, month string, quantity double")
     got_lines, got_cells, printed = assemble.monthly(render.monthly_grid(lines, cells), spark.createDataFrame([], "doc_id string, reference_year int"))
     gold = cells.union(spark.createDataFrame([("d", 1, "2025-12", 0.0)], cells.schema))
@@ -76,10 +77,10 @@ def test_completion(spark, text, value):
 
 
 def test_completion_lines(spark):
-    raw = {"pharmacy": {"name": "P", "id": 5}, "supplier": None, "report_date": "2026-02-03", "products": [{"code_produit": "36148 10004843", "designation": "A", "sales": [{"month": "2026-01-01", "quantity": 2}, {"month": "2026-01", "quantity": "1.9"}, {"month": "x", "quantity": 1}, 3, None]}, 7, None, {"code_produit": "123"}, {"designation": "no code"}, {"code_produit": 3400930000000, "sales": "none"}]}
+    raw = {"pharmacy": {"name": "P", "id": 5}, "supplier": None, "report_date": "2026-02-03", "products": [{"code_produit": "34015 97302468", "designation": "A", "sales": [{"month": "2026-01-01", "quantity": 2}, {"month": "2026-01", "quantity": "1.9"}, {"month": "x", "quantity": 1}, 3, None]}, 7, None, {"code_produit": "123"}, {"designation": "no code"}, {"code_produit": 3401512309875, "sales": "none"}]}
     df = spark.createDataFrame([(1, json.dumps(raw)), (2, "[]"), (3, '{"products": {}}')], "doc_id int, s string").select("doc_id", semistructured.completion(F.col("s")).alias("v"))
     lines, cells = semistructured.completion_lines(df)
-    assert sorted((r.line_no, r.code_produit, r.designation) for r in lines.collect()) == [(0, "3614810004843", "A"), (5, "3400930000000", "")]
+    assert sorted((r.line_no, r.code_produit, r.designation) for r in lines.collect()) == [(0, "3401597302468", "A"), (5, "3401512309875", "")]
     assert [(r.month, r.quantity) for r in cells.collect()] == [("2026-01", 3)]
     d = {r.doc_id: r for r in semistructured.completion_documents(df).collect()}
     assert (d[1].pharmacy_name, d[1].pharmacy_id, d[1].supplier, str(d[1].generated_at)) == ("P", "5", "", "2026-02-03") and d[2].generated_at is None
@@ -87,13 +88,13 @@ def test_completion_lines(spark):
 
 def test_inverse(spark):
     docs = spark.createDataFrame([(1, "P", "7", "S")], "doc_id int, pharmacy_name string, pharmacy_id string, supplier string").withColumn("generated_at", F.lit("2026-02-03").cast("date"))
-    lines = spark.createDataFrame([(1, 0, "3614810004843", "A"), (1, 1, "3400930000000", "B")], "doc_id int, line_no int, code_produit string, designation string")
+    lines = spark.createDataFrame([(1, 0, "3401597302468", "A"), (1, 1, "3401512309875", "B")], "doc_id int, line_no int, code_produit string, designation string")
     cells = spark.createDataFrame([(1, 0, "2026-01", 3.0), (1, 0, "2025-12", 2.0)], "doc_id int, line_no int, month string, quantity double")
     out = json.loads(semistructured.completion_of(docs, lines, cells).first().output)
     assert out["report_date"] == "2026-02-03" and out["products"][0]["sales"] == [{"month": "2025-12-01", "quantity": 2}, {"month": "2026-01-01", "quantity": 3}] and out["products"][1]["sales"] == []
 
 
-def export(text="ETAT DES VENTES", dates=("2026-02-03",), total=((("2026-01", "5"),),), codes=("36148 10004843", "123")):
+def export(text="ETAT DES VENTES", dates=("2026-02-03",), total=((("2026-01", "5"),),), codes=("34015 97302468", "123")):
     sale = lambda m, q: {"type": "sales_by_month", "properties": [{"type": "month_period_normalized", "normalizedValue": {"text": m}}, {"type": "sales_quantity", "mentionText": q}]}
     entities = [{"type": "report_date", "mentionText": d} for d in dates]
     entities += [{"type": "product_line", "confidence": 0.5, "properties": [{"type": "product_ean", "mentionText": c}, {"type": "product_designation", "normalizedValue": {"text": 5}, "mentionText": "D"}, sale("2026-01", "2"), sale("2026-01-31", "3"), sale("2026-02", "3.0")]} for c in codes]
@@ -105,7 +106,7 @@ def test_export(spark):
     docs = [(1, export()), (2, export(total=())), (3, export(total=((("2026-01", "6"),),), dates=("soon", "2026-01-01"))), (4, "{}")]
     raw = spark.createDataFrame(docs, "doc_id int, s string").select("doc_id", semistructured.strict_object(F.col("s")).alias("v"))
     lines, cells, rejects = semistructured.export_lines(raw)
-    assert sorted((r.doc_id, r.code_produit, r.designation, r.confidence) for r in lines.collect()) == [(i, "3614810004843", "D", 0.5) for i in (1, 2, 3)]
+    assert sorted((r.doc_id, r.code_produit, r.designation, r.confidence) for r in lines.collect()) == [(i, "3401597302468", "D", 0.5) for i in (1, 2, 3)]
     assert {(r.month, r.quantity) for r in cells.collect()} == {("2026-01", 5)}
     assert [(r.reason, r.raw_code) for r in rejects.filter("doc_id = 1").collect()] == [("non-13-digit code", "123")]
     got = {r.doc_id: r.totals_reconciled for r in reconcile.reconcile_export(raw, cells, semistructured.export_totals(raw)).collect()}
@@ -114,12 +115,12 @@ def test_export(spark):
 
 
 def test_pairs(spark):
-    gold = spark.createDataFrame([("foo",), ("136_310004022_250909_250909_021744",), ("Ba-r",), ("998",), ("n",)], "stem string")
-    images = spark.createDataFrame([("/a/foo.jpg",), ("/a/foo_1.png",), ("/z/136_310004022_250909_250909_021744_601.JPG",), ("/b/136_310004022_250909_250909_021744_602.jpg",), ("/c/bar.tif",), ("/c/997.png",), ("/c/n.txt",), ("/d/other.jpg",)], "path string")
+    gold = spark.createDataFrame([("vitrine",), ("lot_88_rue_0412",), ("Qu-ai",), ("515",), ("n",)], "stem string")
+    images = spark.createDataFrame([("/a/vitrine.jpg",), ("/a/vitrine_1.png",), ("/z/lot_88_rue_0412_17.JPG",), ("/b/lot_88_rue_0412_18.jpg",), ("/c/quai.tif",), ("/c/516.png",), ("/c/n.txt",), ("/d/other.jpg",)], "path string")
     named = spark.createDataFrame([("n", "OTHER.JPG")], "stem string, image string")
     got = {r.stem: (r.path, r.tier, r.ambiguous) for r in pairing.pair(gold, images, named).collect()}
-    assert got["foo"] == ("/a/foo.jpg", 1, False) and got["Ba-r"] == ("/c/bar.tif", 3, False) and got["998"] == (None, None, False) and got["n"] == ("/d/other.jpg", 4, False)
-    assert got["136_310004022_250909_250909_021744"] == ("/b/136_310004022_250909_250909_021744_602.jpg", 2, True)
+    assert got["vitrine"] == ("/a/vitrine.jpg", 1, False) and got["Qu-ai"] == ("/c/quai.tif", 3, False) and got["515"] == (None, None, False) and got["n"] == ("/d/other.jpg", 4, False)
+    assert got["lot_88_rue_0412"] == ("/b/lot_88_rue_0412_18.jpg", 2, True)
     assert pairing.counters(pairing.pair(gold, images)).first()[:] == (3, 1, 2)
 
 
@@ -130,6 +131,12 @@ def test_split(spark):
     assert sorted(got.values()).count("train") == 13 and list(got.values()).count("val") == 4 and list(got.values()).count("test") == 3
     assert got == split(42) and got != split(43)
     assert {r.split for r in dataset.split(items, "k", 0, 0, 1).collect()} == {"train"}
+    rows = [(k, i) for i, k in enumerate(["a", "a", "a", "b", "b", "c", "d", "e", None, None])]
+    again = dataset.split(spark.createDataFrame(rows, "k string, n int"), "k", 2, 1, 5).collect()
+    parts = {}
+    for r in again:
+        parts.setdefault(r.split, set()).add(r.k)
+    assert sorted(r.n for r in again) == list(range(10)) and len(parts["test"]) == 1 and len(parts["val"]) == 2 and parts["train"] == {"a", "b", "c", "d", "e", None} - parts["test"] - parts["val"]
 
 
 def test_head(spark):
@@ -141,12 +148,12 @@ class Fake:
     def extract(self, image, template):
         if image == b"bad":
             raise ValueError
-        return '```json\n{"products": [{"code_produit": "3614810004843", "sales": [{"month": "2026-01", "quantity": 3}]}]}\n```'
+        return '```json\n{"products": [{"code_produit": "3401597302468", "sales": [{"month": "2026-01", "quantity": 3}]}]}\n```'
 
 
 def test_engine(spark):
     images = spark.createDataFrame([(1, b"x"), (2, b"bad")], "doc_id int, content binary")
-    gold = spark.createDataFrame([(1, 0, "3614810004843")], "doc_id int, line_no int, code_produit string"), spark.createDataFrame([(1, 0, "2026-01", 3.0)], "doc_id int, line_no int, month string, quantity double")
+    gold = spark.createDataFrame([(1, 0, "3401597302468")], "doc_id int, line_no int, code_produit string"), spark.createDataFrame([(1, 0, "2026-01", 3.0)], "doc_id int, line_no int, month string, quantity double")
     got = {r.doc_id: (r.cells_compared, r.cell_precision) for r in engine.evaluate(images, Fake, *gold).collect()}
     assert got == {1: (1, 1.0), 2: (0, 1.0)}
     with pytest.raises(engine.MissingDependency):
@@ -155,7 +162,7 @@ def test_engine(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    good = {"document": {"source_file": "f", "lgo": "", "statement_type": "monthly", "months": ["2026-01"], "page_count": 1}, "lines": [{"code_produit": "3614810004843", "quantities": {"2026-01": 3}, "confidence": 1.0}], "validation": {"totals_reconciled": True, "row_count": 1, "flags": []}}
+    good = {"document": {"source_file": "f", "lgo": "", "statement_type": "monthly", "months": ["2026-01"], "page_count": 1}, "lines": [{"code_produit": "3401597302468", "quantities": {"2026-01": 3}, "confidence": 1.0}], "validation": {"totals_reconciled": True, "row_count": 1, "flags": []}}
     bad = json.loads(json.dumps(good))
     bad["lines"][0]["code_produit"] = "123"
     for name, x in (("a.expected.json", good), ("b.expected.json", bad)):
@@ -167,7 +174,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "pdf" / "a.PDF").write_bytes(json.dumps([["text", [MONTHLY]], [None, None]]).encode())
     (tmp_path / "pdf" / "b.pdf").write_bytes(b"broken")
     read = files.documents(spark, str(tmp_path / "pdf"), lambda content: [tuple(p) for p in json.loads(content)])
-    assert files.raw_cells(read).filter("row_no = 0").count() == 7 and files.page_texts(read).count() == 2 and files.unreadable(read).count() == 1
+    assert files.raw_cells(read).filter("row_no = 0").count() == 8 and files.page_texts(read).count() == 2 and files.unreadable(read).count() == 1
     files.write_split(dataset.split(spark.range(5), "id", 1, 1, 7), str(tmp_path / "out"))
     assert sorted(p.name for p in (tmp_path / "out").glob("split=*")) == ["split=test", "split=train", "split=val"]
     assert files.json_lines(spark, str(tmp_path / "out")).count() == 5
@@ -175,6 +182,31 @@ def test_files(spark, tmp_path):
     assert {r.doc_id: r.has_text for r in files.has_text_layer(texts).collect()} == {"a": True, "b": False}
 
 
+def test_scans_of_a_plan(spark):
+    """Layouts and rows come from written tables, so the cells are not derived again for each output."""
+    s = statements.native(*pages(spark, ("d", "", [MONTHLY])))
+    plan = s.documents._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 3 and plan.count("Relation [") < 10
+
+
+def test_rules_from_files(spark, tmp_path):
+    for name, x in (("months", {"Mai": 5}), ("aliases", {"Code": "code_produit"}), ("signatures", [{"id": "z", "signatures": ["ZZ"]}])):
+        (tmp_path / f"{name}.json").write_text(json.dumps(x, indent=1))
+    r = rules.load(spark, str(tmp_path))
+    assert r.month_map() == {"mai": "05"} and r.alias_map() == {"code": "code_produit"} and r.signatures == (("z", ("ZZ",)),)
+    (tmp_path / "months.json").write_text("[]")
+    with pytest.raises(TypeError):
+        rules.load(spark, str(tmp_path))
+
+
+def test_report_lines(spark, tmp_path):
+    scores = spark.createDataFrame([("a", 0.5, 4), ("b", 1.0, 2)], "doc_id string, cell_precision double, cells_compared long")
+    got = [json.loads(r.value) for r in files.report(scores, spark.createDataFrame([(0.6,)], "cell_precision double")).collect()]
+    assert got[0] == {"summary": {"cell_precision": 0.6}} and sorted(x["file"]["doc_id"] for x in got[1:]) == ["a", "b"]
+    (tmp_path / "l.jsonl").write_text('{"a": 1}\n \nbad\n')
+    assert sorted((r.value, r.v is not None) for r in files.json_lines(spark, str(tmp_path)).collect()) == [("bad", False), ('{"a": 1}', True)]
+
+
 def test_reconcile_and_structure(spark):
     cells = spark.createDataFrame([(1, "2026-01", 3.0), (1, "2025-12", 3.0), (1, "2026-01", 1.0)], "doc_id int, month string, quantity double")
     printed = lambda rows: spark.createDataFrame(rows, "doc_id int, month string, quantity double")
