@@ -9,8 +9,8 @@ adds to the deviation is added to it. So v . q lies within ERRORS such deviation
 |v - c| and f of every row beside the vector.
 
 Queries are taken in blocks of bounded size; each task scans its rows of the index, estimates all from the codes, and ranks
-again, on the original vectors, those whose upper bound reaches the k-th best exact score so far (at first: the k-th best
-lower bound).
+again, on the original vectors, those whose upper bound reaches the k-th best exact score so far. At first that is the k-th
+best of the query's products with a bounded sample of rows, which no answer falls short of.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillframe.llm._common import discard, written
 
-ERRORS, LONGER, PLANES, QUERY_BLOCK, FIT_ROWS = 4.0, 2, 4, 4096, 4096
+ERRORS, LONGER, PLANES, QUERY_BLOCK, FIT_ROWS = 4.0, 4, 4, 4096, 4096
 #: Rows and queries that are worked on at a time.
 ROWS, QUERIES = 4096, 128
 SCHEMA = "at long, vec_id long, raw binary, code binary, radius double, factor double"
@@ -68,14 +68,19 @@ class Rounded:
 
     def products(self, words: np.ndarray, ones: np.ndarray, some: slice) -> np.ndarray:
         """<code, q'> of some queries with rows whose codes have these words, and so many bits."""
-        shared = np.zeros((len(self.low[some]), len(words)), np.int32)
+        shape = len(self.low[some]), len(words)
+        shared, both, count, plane = np.zeros(shape, np.float32), np.empty(shape, np.uint64), np.empty(shape, np.uint8), np.empty(shape, np.uint16)
         for p in range(PLANES):
+            plane[:] = 0
             for w in range(words.shape[1]):
-                shared += np.bitwise_count(self.planes[p, some, w, None] & words[None, :, w]).astype(np.int32) << p
-        out = shared * (2 * self.step[some])[:, None].astype(np.float32)
-        out += (2 * self.low[some]).astype(np.float32)[:, None] * ones.astype(np.float32)
-        out -= self.total[some, None].astype(np.float32)
-        return out / np.float32(np.sqrt(64 * words.shape[1]))
+                np.bitwise_and(self.planes[p, some, w, None], words[None, :, w], out=both)
+                plane += np.bitwise_count(both, out=count)
+            shared += np.left_shift(plane, p, out=plane) if 2**p * 64 * words.shape[1] < 65536 else plane.astype(np.float32) * 2**p
+        root = np.sqrt(64 * words.shape[1])
+        shared *= (2 * self.step[some] / root)[:, None].astype(np.float32)
+        shared += (2 * self.low[some] / root).astype(np.float32)[:, None] * ones.astype(np.float32)
+        shared -= (self.total[some, None] / root).astype(np.float32)
+        return shared
 
 
 def in_order(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -115,10 +120,20 @@ class Queries:
     centred: np.ndarray  # products with the centre
     norms: np.ndarray
     rounded: Rounded
+    floor: np.ndarray  # what the k-th best score is at least
 
     @staticmethod
-    def of(at: np.ndarray, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> Queries:
-        return Queries(at, vectors, vectors @ centre, np.linalg.norm(vectors, axis=1), Rounded.of(vectors @ turn))
+    def of(at: np.ndarray, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray, floor: np.ndarray) -> Queries:
+        return Queries(at, vectors, vectors @ centre, np.linalg.norm(vectors, axis=1), Rounded.of(vectors @ turn), floor)
+
+
+def floors(at: np.ndarray, vectors: np.ndarray, sample_at: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best product of each query with the rows of a sample but its own, less a margin for rounding; -inf if there are fewer."""
+    if len(sample_at) <= k:
+        return np.full(len(at), -np.inf)
+    products = np.where(at[:, None] == sample_at, -np.inf, vectors @ sample.T)
+    least = np.partition(products, len(sample_at) - k, axis=1)[:, len(sample_at) - k]
+    return np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0))), -np.inf)
 
 
 def scan_block(best: Best, queries: Queries, at: np.ndarray, ids: np.ndarray, rows: np.ndarray, bits: np.ndarray, radius: np.ndarray, factor: np.ndarray, errors: float) -> int:
@@ -130,16 +145,24 @@ def scan_block(best: Best, queries: Queries, at: np.ndarray, ids: np.ndarray, ro
     apart = (1 - np.minimum(factor, 1) ** 2) / max(1, d - 1)  # times |q| and so on: variance of the code's error
     for lo in range(0, len(queries.at), QUERIES):
         some = slice(lo, lo + QUERIES)
-        estimate = queries.rounded.products(words, ones, some) * scale + queries.centred[some, None].astype(np.float32)
+        estimate = queries.rounded.products(words, ones, some)
+        estimate *= scale
+        estimate += queries.centred[some, None].astype(np.float32)
         norm, step = queries.norms[some, None].astype(np.float32), queries.rounded.step[some, None].astype(np.float32)
-        margin = np.sqrt(norm**2 * apart.astype(np.float32) + step**2 / 4) * scale * np.float32(errors) + np.float32(1e-4) * norm * (1 + radius).astype(np.float32) + np.float32(1e-30)
-        own = queries.at[some, None] == at
-        least = best.least(some).copy()
+        margin = norm**2 * apart.astype(np.float32)
+        margin += step**2 / 4
+        np.sqrt(margin, out=margin)
+        margin *= scale * np.float32(errors)
+        margin += np.float32(1e-4) * norm * (1 + radius.max(initial=0)).astype(np.float32) + np.float32(1e-30)
+        least = np.maximum(best.least(some), queries.floor[some])
         fresh = np.flatnonzero(np.isneginf(least))
         if len(fresh) and len(at) > k:
-            lower = np.where(own[fresh], -np.inf, estimate[fresh] - margin[fresh])
+            lower = np.where(queries.at[some][fresh, None] == at, -np.inf, estimate[fresh] - margin[fresh])
             least[fresh] = np.partition(lower, len(at) - k, axis=1)[:, len(at) - k]
-        q, r = np.nonzero((estimate + margin >= least[:, None]) & ~own)
+        estimate += margin
+        q, r = np.divmod(np.flatnonzero(estimate >= least[:, None].astype(np.float32) - np.float32(1e-6) * np.abs(np.where(np.isfinite(least), least, 0))[:, None].astype(np.float32)), len(at))
+        other = queries.at[some][q] != at[r]
+        q, r = q[other], r[other]
         again += len(q)
         for i in range(0, len(q), 1 << 16):
             a, b = q[i : i + (1 << 16)], r[i : i + (1 << 16)]
@@ -188,17 +211,20 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, errors: float = ER
     """
     spark = vectors.sparkSession
     table, centre, turn = index(vectors)
+    n = max(1, table.count())
+    some = table.filter(F.pmod(F.xxhash64("at"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, FIT_ROWS / n))).select("at", "raw").toArrow().combine_chunks()
+    sample_at, sample = some.column("at").to_numpy(), _packed(some.column("raw").combine_chunks(), np.float64).reshape(len(some), -1 if len(some) else len(centre))
     asked = table.filter(F.col("vec_id") % every == 0).select("at", "vec_id", "raw")
     blocks = max(1, -(-asked.count() // query_block))
     parts = []
     for block in range(blocks):
         own = asked.filter(F.pmod(F.xxhash64("at"), F.lit(blocks)) == block).orderBy("at").toArrow().combine_chunks()
-        raw = own.column("raw").combine_chunks()
-        sent = spark.sparkContext.broadcast((own.column("at").to_numpy(), own.column("vec_id").to_numpy(), _packed(raw, np.float64).reshape(len(own), -1 if len(own) else len(centre))))
+        at, rows = own.column("at").to_numpy(), _packed(own.column("raw").combine_chunks(), np.float64).reshape(len(own), -1 if len(own) else len(centre))
+        sent = spark.sparkContext.broadcast((at, own.column("vec_id").to_numpy(), rows, floors(at, rows, sample_at, sample, k)))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            at_q, ids_q, rows_q = sent.value
-            queries, best = Queries.of(at_q, rows_q, centre, turn), Best(len(at_q), k)
+            at_q, ids_q, rows_q, floor = sent.value
+            queries, best = Queries.of(at_q, rows_q, centre, turn, floor), Best(len(at_q), k)
             for batch in batches:
                 for lo in range(0, len(batch), ROWS):
                     b = batch.slice(lo, ROWS)
