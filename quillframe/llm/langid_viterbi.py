@@ -159,7 +159,7 @@ def identify(docs: DataFrame, fit_rows: int = FIT_ROWS, penalty: float = PENALTY
     lang_pred is the language of most words (ties: the first by name), score its share of them. Null texts, texts without
     a letter, and all texts if nothing could be learned are "und" with score 0 and no spans. lang is only learned from,
     never an input of a prediction. Repeated rows are labelled alike and all returned; a null doc_id is not held out and
-    never learned from. Other columns are ignored.
+    never learned from. Texts of any length are read whole; a table without rows gives none. Other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, fit_rows))
     span = pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())])
