@@ -28,8 +28,9 @@ def monthly_grid(lines: DataFrame, cells: DataFrame, rules: Rules = DEFAULT, tot
         words = F.array(F.lit(""), F.lit("TOTAL"), *[F.lit("")] * (len(HEADERS) - 2))
         edge.append(F.struct((F.col("last") + 2).alias("row"), F.concat(words, F.transform("sums", lambda m: x.plain_number(m.s))).alias("values")))
     last = lines.groupBy("doc_id").agg(F.max("line_no").alias("last"))
-    around = sums.join(last, "doc_id", "left").select("doc_id", F.explode(F.array(*edge)).alias("e")).select("doc_id", "e.row", "e.values").filter("row is not null")
-    return body.unionByName(around).select(*keep, F.posexplode("values").alias("col_no", "value"))
+    around = sums.join(last, "doc_id", "left").select("doc_id", F.explode_outer(F.array(*edge)).alias("e")).select("doc_id", "e.row", "e.values").filter("row is not null")
+    # the outer form, as the inner one makes Spark compute the values once more for a filter on their number
+    return body.unionByName(around).select(*keep, F.posexplode_outer("values").alias("col_no", "value")).filter("col_no is not null")
 
 
 def transactions(lines: DataFrame, cells: DataFrame) -> DataFrame:
