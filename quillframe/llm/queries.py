@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import ann_rabitq, decontam, langid_viterbi, license_scan, minhash_oph, pfair_mix, quality_bt, secret_scan, sql, toxicity_nb, url_trust
+from quillframe.llm import ann_rabitq, decontam, filter_audit, langid_viterbi, license_scan, minhash_oph, pfair_mix, quality_bt, secret_scan, sql, toxicity_nb, url_trust
 from quillframe.llm._common import table
 
 
@@ -70,6 +70,10 @@ def op10_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_viterbi.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_trust": op1_url_trust,
     "op2_license_scan": op2_license_scan,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_ann_rabitq": op9_ann_rabitq,
     "op10_language_viterbi": op10_language_viterbi,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -88,4 +93,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": sql.op2(),
     "op8_minhash_near_dedup": sql.OP8,
     "op9_ann_rabitq": sql.OP9,
+    "op11_filter_audit": sql.OP11,
 }

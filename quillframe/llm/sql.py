@@ -89,3 +89,22 @@ p AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_inner_product(c.v, q.v)
 r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+#: Each row's place of removal in each order, counted by step.
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+lab AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+      regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > least, false)] AS bad FROM w LEFT JOIN lab ON w.doc_id = lab.doc_id),
+g AS (SELECT part, bad, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+o AS (SELECT a || b || c || d || e AS filter_order FROM unnest(['A', 'B', 'C', 'D', 'E']) x(a), unnest(['A', 'B', 'C', 'D', 'E']) y(b), unnest(['A', 'B', 'C', 'D', 'E']) z(c), unnest(['A', 'B', 'C', 'D', 'E']) u(d), unnest(['A', 'B', 'C', 'D', 'E']) v(e)
+      WHERE len(list_distinct([a, b, c, d, e])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS letter FROM o, range(1, 6) r(step)),
+m AS (SELECT g.*, filter_order, coalesce(list_min(list_transform(list_filter(range(1, 6), lambda i: bad[i]), lambda i: instr(filter_order, 'ABCDE'[i]))), 6) AS falls FROM g, o),
+c AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (falls > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (falls = step), 0)::BIGINT AS removed,
+      coalesce(sum(n) FILTER (falls < step AND bad[instr('ABCDE', letter)]), 0)::BIGINT AS redundant,
+      coalesce(sum(n) FILTER (bad[instr('ABCDE', letter)] AND len(list_filter(bad, lambda x: x)) = 1), 0)::BIGINT AS unique_fails,
+      coalesce(sum(good) FILTER (falls = step), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (falls = step), 0)::BIGINT AS toxic_lost FROM m JOIN s USING (filter_order) GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM c
+"""
