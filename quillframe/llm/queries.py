@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import ann_rabitq, decontam, filter_audit, langid_viterbi, license_scan, minhash_oph, pfair_mix, quality_bt, secret_scan, sql, toxicity_nb, url_trust
+from quillframe.llm import ann_rabitq, decontam, filter_audit, importance, langid_viterbi, license_scan, minhash_oph, pfair_mix, quality_bt, secret_scan, sql, toxicity_nb, url_trust
 from quillframe.llm._common import table
 
 
@@ -74,6 +74,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_trust": op1_url_trust,
     "op2_license_scan": op2_license_scan,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ann_rabitq": op9_ann_rabitq,
     "op10_language_viterbi": op10_language_viterbi,
     "op11_filter_audit": op11_filter_audit,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -94,4 +99,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_minhash_near_dedup": sql.OP8,
     "op9_ann_rabitq": sql.OP9,
     "op11_filter_audit": sql.OP11,
+    "op12_importance_resampling": sql.OP12,
 }

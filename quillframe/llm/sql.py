@@ -108,3 +108,22 @@ c AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (falls > s
       coalesce(sum(good) FILTER (falls = step), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (falls = step), 0)::BIGINT AS toxic_lost FROM m JOIN s USING (filter_order) GROUP BY ALL)
 SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM c
 """
+
+#: Features are counted by joins; the CRC of each distinct one is worked out byte by byte from a table that SQL makes.
+OP12 = rf"""
+WITH tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i::BIGINT] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda s, x: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END) AS v FROM range(256) r(i))),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+x AS (SELECT rid, 0 AS target, text FROM d UNION ALL SELECT row_number() OVER (), 1, text FROM benchmark),
+w AS (SELECT rid, target, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {FOLD}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM x),
+f AS MATERIALIZED (SELECT rid, target, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM w),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+b AS MATERIALIZED (SELECT f, xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda s, b: xor(s >> 8, tab[(xor(s, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM u, tab),
+n AS MATERIALIZED (SELECT rid, target, bucket, count(*) AS n FROM f JOIN b USING (f) GROUP BY ALL),
+t AS (SELECT bucket, sum(n) FILTER (target = 0)::DOUBLE AS s, coalesce(sum(n) FILTER (target = 1), 0)::DOUBLE AS t FROM n GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM t) + 10000) / ((s + 1) * ((SELECT sum(t) FROM t) + 10000))))::BIGINT AS gain FROM t WHERE s IS NOT NULL),
+m AS (SELECT rid, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM n JOIN g USING (bucket) WHERE target = 0 GROUP BY rid),
+z AS (SELECT d.rid, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, ''))[:8])::BIGINT AS h FROM d LEFT JOIN m USING (rid)),
+c AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score, n_features >= 39 AS able FROM z),
+r AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS rank, count(*) FILTER (able) OVER () AS n FROM c)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND rank <= 25 * n // 100 THEN rank END AS rank FROM r
+"""
