@@ -63,6 +63,15 @@ def _written(spark: SparkSession, schema: StructType, parts: Iterable[DataFrame]
     return out
 
 
+def fresh(spark: SparkSession) -> str:
+    """An empty folder in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/quillframe-{uuid.uuid4().hex}"
+    fs, p = _hadoop(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Discards, at its end, the tables written within, but for those that the function it gives has kept: for steps whose result has been written itself."""

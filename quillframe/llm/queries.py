@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import ann_rabitq, decontam, filter_audit, importance, langid_viterbi, license_scan, minhash_oph, pfair_mix, quality_bt, secret_scan, sql, toxicity_nb, url_trust
-from quillframe.llm._common import table
+from quillframe.llm import ann_rabitq, decontam, filter_audit, importance, langid_viterbi, license_scan, minhash_oph, pfair_mix, quality_bt, secret_scan, sql, token_files, toxicity_nb, url_trust
+from quillframe.llm._common import fresh, table
 
 
 def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh(spark)
+    token_files.write(table(spark, sf_dir, "documents"), folder)
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", token_files.checksum().alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_trust": op1_url_trust,
     "op2_license_scan": op2_license_scan,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_viterbi": op10_language_viterbi,
     "op11_filter_audit": op11_filter_audit,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
