@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillframe.plans.rules import DEFAULT, IMAGE_SUFFIXES, Rules
 
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER_OR_NONE = rf"{NUMBER}|(?i)^[+-]?(nan|inf|infinity)$"
 CODE = r"^[0-9]{13}$"
 MONTH = r"^[0-9]{4}-[0-9]{2}$"
 
@@ -56,8 +57,8 @@ def french_decimal(v: Column) -> Column:
 
 
 def cell_number(v: Column) -> Column:
-    """ASCII spaces go, the comma is the decimal mark; null if that is no finite number."""
-    return _number(F.replace(F.replace(strip(v), F.lit(" "), F.lit("")), F.lit(","), F.lit(".")))
+    """ASCII spaces go, the comma is the decimal mark; null if that is no number. nan, inf and infinity, in any case and with a sign, are numbers."""
+    return F.regexp_extract(F.replace(F.replace(strip(v), F.lit(" "), F.lit("")), F.lit(","), F.lit(".")), NUMBER_OR_NONE, 0).try_cast("double")
 
 
 def truncated(v: Column) -> Column:

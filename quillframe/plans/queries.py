@@ -415,7 +415,7 @@ def _gold_and_images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     names = F.when(k == 0, F.array(F.concat("stem", F.lit(".jpg")), F.concat("stem", F.lit("_7.png")))).when(k == 1, F.array(F.concat("stem", F.lit("_601.JPG")), F.concat("stem", F.lit("_602.jpg")))).when(k == 2, F.array(F.concat(F.upper("stem"), F.lit("-.TIFF"))))
     names = names.when(k == 3, F.array(F.concat("stem", F.lit(".pdf")))).when(k == 4, F.array(F.concat(F.lit("IMG"), "o_orderkey", F.lit(".jpeg")))).otherwise(F.array(F.concat("stem", F.lit("_9.tif"))))
     images = orders.select("*", F.explode(names).alias("name")).select(path(F.col("name")).alias("path"))
-    source = F.format_string('{"text": "t", "image": 5, "uri": "gs:/x/img%s.JPEG"}', F.col("o_orderkey").cast("string"))
+    source = F.format_string('{"text": "t", "image": 5, "uri": "gs:/x/%s%s"}', F.when(F.col("o_orderkey") % 4 < 2, "IMG").otherwise("im-g "), F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 4 < 2, ".png").otherwise(".Jpeg")))
     named = orders.filter(k == 4).select("stem", semistructured.image_name(source).alias("image"))
     return orders.select("stem"), images, named
 
@@ -446,7 +446,7 @@ def limited_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.first(pairing.pair(*_gold_and_images(spark, sf_dir)), 25).select("stem", "path")
 
 
-@query(f"{_PAIR_SQL} SELECT stem, path, stem || lower(regexp_extract(path, '[.][^./]+$')) AS image, stem || '.expected.json' AS gold FROM p WHERE path IS NOT NULL")
+@query(f"{_PAIR_SQL} SELECT stem, path, 'images/' || regexp_extract(path, '[^/]+$') AS image, 'jsons/' || stem || '.expected.json' AS gold FROM p WHERE path IS NOT NULL")
 def pair_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K9: what to copy where."""
     return pairing.mapping(pairing.pair(*_gold_and_images(spark, sf_dir)))

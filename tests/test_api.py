@@ -74,7 +74,7 @@ def test_gold_and_images(spark, tmp_path):
         (tmp_path / "photos" / "a" / name).write_bytes(b"x")
     pairs = api.gold_images(spark, str(tmp_path / "gold"), str(tmp_path / "photos"))
     assert {r.stem: r.tier for r in pairs.collect()} == {"one": 2, "two": 4, "three": None}
-    assert [(r.stem, r.image, r.gold) for r in pairing.mapping(api.gold_images(spark, str(tmp_path / "gold"), str(tmp_path / "photos"), limit=1)).collect()] == [("one", "one.png", "one.expected.json")]
+    assert [(r.stem, r.image, r.gold) for r in pairing.mapping(api.gold_images(spark, str(tmp_path / "gold"), str(tmp_path / "photos"), limit=1)).collect()] == [("one", "images/one_3.png", "jsons/one.expected.json")]
 
 
 def test_convert(spark, tmp_path):

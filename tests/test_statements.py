@@ -70,7 +70,7 @@ def test_scores(spark):
     assert [r.doc_id for r in score.worst(scores, 1).collect()] == ["d"]
 
 
-@pytest.mark.parametrize(("text", "value"), [('{"a": 1}', 1), ('x ```json\n{"a": 2}\n``` y', 2), ('so {"a": 3} it is', 3), ("```\n{\"a\": 4}```", 4), ("no", None), ("", None), (None, None), ("[1]", None), ('{"a": 1} x {"a": 2}', None), ('{"a": 1},{"a": 2}', None), ('{"a": 1', None)])
+@pytest.mark.parametrize(("text", "value"), [('{"a": 1}', 1), ('x ```json\n{"a": 2}\n``` y', 2), ('so {"a": 3} it is', 3), ("```\n{\"a\": 4}```", 4), ("no", None), ("", None), (None, None), ("[1]", None), ('{"a": 1}],[{}', None), ('{"a": 1}, "b": {}', None), ('{"a": "}],[{"}', None), (' {"a": 5}\n', 5), ('{"v": 1, "a": 6}', 6), ('{"a": 1} x {"a": 2}', None), ('{"a": 1},{"a": 2}', None), ('{"a": 1', None)])
 def test_completion(spark, text, value):
     v = spark.range(1).select(semistructured.completion(F.lit(text).cast("string")).alias("v"))
     assert v.select(F.try_variant_get("v", "$.a", "int").alias("a")).first().a == value
@@ -117,11 +117,14 @@ def test_export(spark):
 def test_pairs(spark):
     gold = spark.createDataFrame([("vitrine",), ("lot_88_rue_0412",), ("Qu-ai",), ("515",), ("n",)], "stem string")
     images = spark.createDataFrame([("/a/vitrine.jpg",), ("/a/vitrine_1.png",), ("/z/lot_88_rue_0412_17.JPG",), ("/b/lot_88_rue_0412_18.jpg",), ("/c/quai.tif",), ("/c/516.png",), ("/c/n.txt",), ("/d/other.jpg",)], "path string")
-    named = spark.createDataFrame([("n", "OTHER.JPG")], "stem string, image string")
+    named = spark.createDataFrame([("n", "other.JPG"), ("m", "x.y.png"), ("o", "Oth-er.gif"), ("o", "none.png"), ("515", "unseen.jpg")], "stem string, image string")
+    gold = gold.union(spark.createDataFrame([("m",), ("o",)], "stem string"))
+    images = images.union(spark.createDataFrame([("/d/x.y.tif",), ("/e/X-Y.png",)], "path string"))
     got = {r.stem: (r.path, r.tier, r.ambiguous) for r in pairing.pair(gold, images, named).collect()}
     assert got["vitrine"] == ("/a/vitrine.jpg", 1, False) and got["Qu-ai"] == ("/c/quai.tif", 3, False) and got["515"] == (None, None, False) and got["n"] == ("/d/other.jpg", 4, False)
+    assert got["m"] == ("/d/x.y.tif", 4, False) and got["o"] == ("/d/other.jpg", 4, False)
     assert got["lot_88_rue_0412"] == ("/b/lot_88_rue_0412_18.jpg", 2, True)
-    assert pairing.counters(pairing.pair(gold, images)).first()[:] == (3, 1, 2)
+    assert pairing.counters(pairing.pair(gold, images)).first()[:] == (3, 1, 4)
 
 
 def test_split(spark):
@@ -199,12 +202,14 @@ def test_rules_from_files(spark, tmp_path):
         rules.load(spark, str(tmp_path))
 
 
-def test_report_lines(spark, tmp_path):
-    scores = spark.createDataFrame([("a", 0.5, 4), ("b", 1.0, 2)], "doc_id string, cell_precision double, cells_compared long")
-    got = [json.loads(r.value) for r in files.report(scores, spark.createDataFrame([(0.6,)], "cell_precision double")).collect()]
-    assert got[0] == {"summary": {"cell_precision": 0.6}} and sorted(x["file"]["doc_id"] for x in got[1:]) == ["a", "b"]
-    (tmp_path / "l.jsonl").write_text('{"a": 1}\n \nbad\n')
-    assert sorted((r.value, r.v is not None) for r in files.json_lines(spark, str(tmp_path)).collect()) == [("bad", False), ('{"a": 1}', True)]
+def test_report(spark, tmp_path):
+    scores = spark.createDataFrame([(f"f{i:03}", i / 50, 4, float(i % 2)) for i in range(50)], "doc_id string, cell_precision double, cells_compared long, reconciled_rate double")
+    summary = spark.createDataFrame([(0.6, None)], "cell_precision double, other string")
+    files.write_report(scores.repartition(4), summary, str(tmp_path / "report.json"))
+    got = json.loads((tmp_path / "report.json").read_text())
+    assert got == {"summary": {"cell_precision": 0.6, "other": None}, "per_file": [{"name": f"f{i:03}", "cell_precision": i / 50, "cells_compared": 4, "reconciled": i % 2 == 1} for i in range(50)]}
+    files.write_report(scores.limit(0), summary, str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text())["per_file"] == []
 
 
 def test_reconcile_and_structure(spark):
