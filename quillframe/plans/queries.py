@@ -260,17 +260,21 @@ def dedupe_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.last_lines(_t(spark, sf_dir, "lineitem").selectExpr("l_suppkey as doc_id", f"{_CODE} as code_produit", "l_orderkey * 10 + l_linenumber as line_no"))
 
 
-_HEADERS = [("Code EAN", "code_produit"), (" ean ", "code_produit"), ("CIP", "code_produit"), ("Désignation", "designation"), ("LIBELLÉ", "designation"), ("libelle", "designation"), ("Qté", "quantity"), ("quantite", "quantity"), ("PA cat", "pa_cat"), ("pa cat.", "pa_cat"), ("PA cat net", "pa_cat_net"), ("PV TTC", "pv_ttc"), ("Date", "date"), ("Date de vente", "date"), ("Montant", "amount"), ("TOTAL", "total"), ("Code  EAN", None), ("", None), ("janv. 2026", None)]
+#: Header cells and their columns.
+_HEADERS = [("Code EAN", "code_produit"), (" ean ", "code_produit"), ("CIP", "code_produit"), ("Désignation", "designation"), ("LIBELLÉ", "designation"), ("libelle", "designation"), ("Qté", "quantity"), ("quantite", "quantity"), ("PA cat", "pa_cat"), ("pa cat.", "pa_cat"), ("PA cat net", "pa_cat_net"), ("PV TTC", "pv_ttc"), ("Date", "date"), ("Date de vente", "date"), ("Montant", "amount"), ("TOTAL", "total"), ("Code  EAN", None), ("", None)]
 
 
-def _values(rows: list[tuple]) -> str:
-    lit = lambda v: "NULL" if v is None else repr(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return "VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+def _sql_list(values: list[str | None]) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v + "'" for v in values) + "]"
 
 
-@query(f"SELECT label, field::VARCHAR AS field FROM ({_values(_HEADERS)}) t(label, field)")
+@query(f"SELECT c_custkey, CASE WHEN c_nationkey % 5 <> 4 THEN {_sql_list([f for _, f in _HEADERS])}[c_custkey % 18 + 1] END AS field FROM customer")
 def normalize_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(h,) for h, _ in _HEADERS], "label string").select("label", x.normalize_column(F.col("label")).alias("field"))
+    """header cells by key, in other cases and with spaces around, or with a customer's name after them."""
+    cell = F.get(F.array(*(F.lit(h) for h, _ in _HEADERS)), F.expr("cast(c_custkey % 18 as int)"))
+    spelled = F.expr("c_nationkey % 5")
+    cell = F.when(spelled == 0, cell).when(spelled == 1, F.upper(cell)).when(spelled == 2, F.concat(F.lit(" \t"), F.lower(cell), F.lit("\u00a0\n"))).when(spelled == 3, F.initcap(cell)).otherwise(F.concat_ws(" ", cell, "c_name"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", x.normalize_column(cell).alias("field"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 4 = 2 THEN (2000 + l_suppkey % 25)::VARCHAR || strftime({_SQL_DAY}, '-%m') ELSE {_SQL_MONTH} END AS month FROM lineitem")
@@ -281,10 +285,10 @@ def normalize_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.normalize_month(spelled, F.expr("2000 + l_suppkey % 25")).alias("month"))
 
 
-@query("SELECT lpad(m::VARCHAR, 2, '0') AS month, [" + ", ".join(f"'{t}. 2026'" for t in ("janv", "févr", "mars", "avr", "mai", "juin", "juil", "août", "sept", "oct", "nov", "déc")) + "][m] AS label FROM range(1, 13) t(m)")
+@query(f"SELECT l_orderkey, l_linenumber, ['janv', 'févr', 'mars', 'avr', 'mai', 'juin', 'juil', 'août', 'sept', 'oct', 'nov', 'déc'][month({_SQL_DAY})] || '. ' || year({_SQL_DAY}) AS label FROM lineitem")
 def month_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = spark.range(1, 13).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("month"))
-    return months.select("month", x.month_label(F.concat(F.lit("2026-"), "month")).alias("label"))
+    """F16."""
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.month_label(F.expr(_MONTH)).alias("label"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice AS value FROM lineitem")
@@ -298,18 +302,24 @@ def ean_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.code_digits(noisy).alias("code_produit"), x.bad_line(noisy, F.lit(1.0)).alias("reason"))
 
 
-#: A text, and what F5, F13, F14 and F3 make of it.
-_NUMBERS = [
-    ("3", 3.0, 3, 3, 3.0), ("3,5", 3.5, None, None, 3.5), ("3.0", 3.0, 3, None, 3.0), (" 4 ", 4.0, 4, 4, 4.0), ("1 234", 1234.0, None, None, 1234.0), ("1\u00a0234", None, None, None, 1234.0),
-    ("-2.9", -2.9, -2, None, -2.9), ("1e3", 1000.0, 1000, None, 13.0), ("nan", None, None, None, None), ("inf", None, None, None, None), ("5d", None, None, None, 5.0), ("0x1p3", None, None, None, 13.0),
-    ("", None, None, None, None), (None, None, None, None, None), ("+4", 4.0, 4, 4, 4.0), ("1.234,56", None, None, None, None), ("32,00 €", None, None, None, 32.0), ("-", None, None, None, None),
-]
+_EDGE_SQL = """WITH q AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS q, (l_orderkey + l_linenumber + l_partkey) % 14 AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, (CASE WHEN k IN (0, 2, 3, 8, 13) THEN q WHEN k = 1 THEN q + 0.5 WHEN k = 4 THEN 1000 + q WHEN k = 6 THEN -q - 0.9 WHEN k = 7 THEN q * 1000 END)::DOUBLE AS cell,
+CASE WHEN k IN (0, 2, 3, 8) THEN q WHEN k = 6 THEN -q WHEN k = 7 THEN q * 1000 END AS truncated, CASE WHEN k IN (0, 3, 8) THEN q END AS whole,
+(CASE WHEN k IN (0, 2, 3, 8, 10, 12, 13) THEN q WHEN k = 1 THEN q + 0.5 WHEN k IN (4, 5) THEN 1000 + q WHEN k = 6 THEN -q - 0.9 WHEN k = 7 THEN (q || '3')::BIGINT END)::DOUBLE AS french,
+CASE k WHEN 9 THEN CASE WHEN q % 2 = 0 THEN 'nan' ELSE 'inf' END END AS odd FROM q"""
 
 
-@query(f"SELECT t, cell::DOUBLE AS cell, truncated::BIGINT AS truncated, whole::BIGINT AS whole, french::DOUBLE AS french FROM ({_values(_NUMBERS)}) v(t, cell, truncated, whole, french)")
+@query(_EDGE_SQL)
 def parse_quantity_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("t")
-    return spark.createDataFrame([(r[0],) for r in _NUMBERS], "t string").select("t", x.cell_number(t).alias("cell"), x.truncated(t).alias("truncated"), x.whole(t).alias("whole"), x.french_decimal(t).alias("french"))
+    """F5, F13, F14 and F3 on quantities in fourteen spellings; what F5 reads as no finite number is told apart."""
+    items = _t(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "cast(cast(l_quantity as long) as string) as q", "(l_orderkey + l_linenumber + l_partkey) % 14 as k")
+    t = F.expr("""case k when 0 then q when 1 then concat(q, ',5') when 2 then concat(q, '.0') when 3 then concat(' ', q, ' ') when 4 then concat('1 ', lpad(q, 3, '0')) when 5 then concat('1\u00a0', lpad(q, 3, '0'))
+        when 6 then concat('-', q, '.9') when 7 then concat(q, 'e3') when 8 then concat('+', q) when 9 then if(cast(q as int) % 2 = 0, 'NaN', '+Infinity') when 10 then concat(q, 'd') when 11 then concat('1.', lpad(q, 3, '0'), ',56')
+        when 12 then concat(q, ',00 €') else concat(q, ',') end""")
+    cell = x.cell_number(F.col("t"))
+    odd = F.when(F.isnan(cell), "nan").when(cell == float("inf"), "inf")
+    read = items.withColumn("t", t).select("l_orderkey", "l_linenumber", F.when(odd.isNull(), cell).alias("cell"), x.truncated(F.col("t")).alias("truncated"), x.whole(F.col("t")).alias("whole"), x.french_decimal(F.col("t")).alias("french"), odd.alias("odd"))
+    return read
 
 
 @query("SELECT event_id, CASE WHEN event_id % 6 IN (4, 5) THEN NULL ELSE json_extract(props, '$.k')::BIGINT END AS k FROM events")
@@ -348,9 +358,9 @@ def model_output_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semistructured.completion_documents(_parsed(spark, sf_dir)).withColumn("generated_at", F.col("generated_at").cast("string"))
 
 
-def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as annotation exports: a product_line per row, a total_line for those not divisible by 5, two report dates."""
-    items = _items(spark, sf_dir).withColumn("code", F.expr(f"case when l_linenumber % 4 = 0 then '5372 381' else concat(substring({_CODE}, 1, 5), ' ', substring({_CODE}, 6, 8)) end"))
+def _export_texts(items: DataFrame) -> DataFrame:
+    """(doc_id, whole) of documents (l_orderkey) as annotation exports: a product_line per row, a total_line for those not divisible by 5, two report dates."""
+    items = items.withColumn("code", F.expr(f"case when l_linenumber % 4 = 0 then '5372 381' else concat(substring({_CODE}, 1, 5), ' ', substring({_CODE}, 6, 8)) end"))
     sale = lambda month, quantity: F.format_string('{"type": "sales_by_month", "properties": [{"type": "sales_quantity", "normalizedValue": {"text": "%s"}}, {"type": "month_period_normalized", "mentionText": "x", "normalizedValue": {"text": "%s-01"}}, {"type": "sales_quantity", "normalizedValue": {"text": "9"}}]}', quantity, month)
     q = F.col("l_quantity").cast("int").cast("string")
     product = F.format_string('{"type": "product_line", "confidence": 0.5, "properties": [{"type": "product_ean", "mentionText": "%s"}, {"type": "product_designation", "mentionText": "item %s"}, {"type": "product_ean", "mentionText": "0"}, %s, %s, %s]}', "code", F.col("l_partkey").cast("string"), sale(F.expr(_MONTH), q), sale(F.expr(_MONTH), F.lit("1")), sale(F.lit("2026-01"), F.lit("3.0")))
@@ -361,7 +371,12 @@ def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.when((F.col("l_orderkey") % 5 != 0) & F.col("totals").isNotNull(), F.concat(F.lit(', {"type": "total_line", "properties": ['), "totals", F.lit(']}, {"type": "total_line", "properties": []}'))).otherwise("")
     day = F.when(F.col("l_orderkey") % 2 == 0, "2026-02-03").otherwise("3 Feb 2026")
     whole = F.concat(F.lit('{"text": "ETAT DES VENTES", "entities": [{"type": "report_date", "mentionText": "'), day, F.lit('"}, '), F.col("products"), total, F.lit(', {"type": "report_date", "mentionText": "2025-01-01"}]}'))
-    return tables.once(both.select(F.col("l_orderkey").alias("doc_id"), whole.alias("whole"))).select("doc_id", semistructured.strict_object(F.col("whole")).alias("v"))
+    return both.select(F.col("l_orderkey").alias("doc_id"), whole.alias("whole"))
+
+
+def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as annotation exports."""
+    return tables.once(_export_texts(_items(spark, sf_dir))).select("doc_id", semistructured.strict_object(F.col("whole")).alias("v"))
 
 
 @query(f"SELECT l_orderkey AS doc_id, l_linenumber AS line_no, {_SQL_CODE} AS code_produit, {_SQL_MONTH} AS month, l_quantity::BIGINT + 1 AS quantity FROM {_ITEMS} WHERE l_linenumber % 4 <> 0")
@@ -536,12 +551,15 @@ def image_downscale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", size.alias("s")).select("p_partkey", "s.width", "s.height")
 
 
-_NAMES = [("a.pdf", "pdf"), ("b.PDF", "pdf"), ("dir.x/c.JPG", "image"), ("d.jpeg", "image"), ("e.tif", "image"), ("f.TIFF", "image"), ("g.png", "image"), ("h.gif", None), ("noext", None), ("dir.pdf/i", None)]
+#: Ends of file names, and how they are routed.
+_ENDS = [(".pdf", "pdf"), (".PDF", "pdf"), (".JPG", "image"), (".jpeg", "image"), (".tif", "image"), (".TIFF", "image"), (".png", "image"), (".gif", None), ("", None), (".pdf/i", None)]
 
 
-@query(f"SELECT name, route::VARCHAR AS route FROM ({_values(_NAMES)}) t(name, route)")
+@query(f"SELECT event_id, {_sql_list([r for _, r in _ENDS])}[event_id % 10 + 1] AS route FROM events")
 def suffix_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n, _ in _NAMES], "name string").select("name", x.route(F.col("name")).alias("route"))
+    """F24."""
+    end = F.get(F.array(*(F.lit(e) for e, _ in _ENDS)), F.expr("cast(event_id % 10 as int)"))
+    return _t(spark, sf_dir, "events").select("event_id", x.route(F.concat(F.lit("dir.x/e"), "event_id", end)).alias("route"))
 
 
 class _Echo:
@@ -592,3 +610,6 @@ def native_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT l_orderkey AS doc_id, {_SQL_CODE} AS code_produit, {_SQL_MONTH} || '-01' AS date, sum(l_quantity)::BIGINT::VARCHAR AS quantity FROM {_ITEMS} GROUP BY ALL")
 def render_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.transactions(*_order_lines(spark, sf_dir)).select("doc_id", "code_produit", "date", "quantity")
+
+
+from quillframe.plans import file_queries  # noqa: E402, F401  registers its queries too

@@ -130,7 +130,7 @@ def test_pieces_give_the_ids_of_texts(kept):
     rng = np.random.default_rng(3)
     letters = list("ab é  '.\n\t1٣世ñ ß  ")
     texts = [*ODD, *("".join(rng.choice(letters, 60)) for _ in range(500)), *pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()]
-    encoder = token_files.Encoder(path, kept)
+    encoder = token_files.Encoder(path, kept=kept)
     for some in (texts, texts[:3], [None, *texts[::7]]):
         got = encoder.encode(pa.array(some, pa.string()))
         assert got.to_pylist() == [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in some]
