@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import exprs as x
 
-#: Bytes of signatures in one automaton; its nodes take some 60 times as much memory in a worker.
+#: Bytes of signatures in one automaton; its nodes take some 60 times as much memory in a task.
 BYTES_A_PASS = 2_000_000
 
 
@@ -31,7 +31,7 @@ def blocks(signatures: DataFrame, most: int = BYTES_A_PASS) -> Iterator[list[tup
 
 def _first(told):
     """Of a batch of lower-cased texts, the least priority of the signatures that each holds."""
-    made: list = []  # a worker's automaton
+    made: list = []  # the task's automaton
 
     def run(texts: pa.Array) -> pa.Array:
         import ahocorasick
