@@ -10,15 +10,17 @@ compression. doc_id, place and n_tokens are written without a dictionary by the
 numbers as deltas. Row groups and pages have a bounded size, and pages of each column end at the same few rows, so the page
 indexes let a reader of some doc_ids or of a stretch of the sequence skip most pages; readers that want no ids read none.
 
-Texts are cut before they are encoded, at single spaces between characters that are not white space. The tokenizer never
-joins what stands before such a space with what follows, so the ids of the pieces, one after another, are those of the
-text; each task asks the tokenizer only for pieces that it has not met, of which it keeps KEPT characters.
+Texts are cut before they are encoded, at single spaces between characters that are not white space and at marks after
+letters. The tokenizer never joins what stands before such a place with what follows, so the ids of the pieces, one after
+another, are those of the text; a worker asks the tokenizer only for pieces that it has not met, of which it keeps KEPT bytes.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm._bytes import buffers, row_chunks
+from quillframe.llm._bytes import buffers, mix, row_chunks, seeds
 from quillframe.llm._common import small
 
 END = 2
 #: Bytes of a row group and of a page, and the most rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 64 << 10, 256
-#: Characters of pieces whose ids a task keeps, and bytes of texts that are cut at a time.
-KEPT, CHUNK = 4 << 20, 1 << 20
+#: Bytes of pieces whose ids a worker keeps, and of texts that are cut at a time.
+KEPT, CHUNK = 8 << 20, 1 << 20
+#: A piece with a space at its start and no white space else, how many of these are encoded as one text, and a byte-level tokenizer's letter for a space.
+LONE, JOINED, SPACE = "^ [!-~À-ɏ]+$", 1000, "Ġ"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -45,71 +49,138 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """The ids of texts by a tokenizer whose words never reach over a space: a byte-level one that splits by its own pattern."""
+    """The ids of texts by a tokenizer whose words never reach over a space: a byte-level one that splits by its own pattern. The ids of a text are followed by the end id."""
 
-    def __init__(self, path: str, kept: int = KEPT):
+    def __init__(self, path: str, end: int = END, kept: int = KEPT):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), kept
+        self.tokenizer, self.end, self.most = Tokenizer.from_file(path), end, kept
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.held = 0
-        self.lengths = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        """The pieces that are known, and the ids of all of them, one after another: those of piece i are ids[starts[i] : starts[i + 1]]. The last piece is the end id, of no text."""
+        self.known = pa.array([], pa.large_string())
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of the known pieces, by hash
+        self.starts = np.array([0, 1])
+        self.ids = np.array([self.end], np.int32)
 
-    def encode(self, texts: pa.Array, end: int = END) -> pa.ListArray:
+    def encode(self, texts: pa.Array) -> pa.ListArray:
         """The ids of each text, and the end id; nulls count as empty."""
         data, offsets = buffers(texts)
-        parts = [self._encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], end) for lo, hi in row_chunks(offsets, CHUNK)]
+        parts = [self._encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in row_chunks(offsets, CHUNK)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
-    def _encode(self, b: np.ndarray, rows: np.ndarray, end: int) -> pa.ListArray:
-        cuts = np.union1d(rows, spaces(b))
-        pieces = pa.Array.from_buffers(pa.large_utf8(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(b))]) if len(cuts) > 1 else pa.array([], pa.large_utf8())
-        if self.held > self.most:
+    def _encode(self, b: np.ndarray, rows: np.ndarray) -> pa.ListArray:
+        cuts = np.sort(np.concatenate([rows, places(b)]))
+        cuts = cuts[np.concatenate([[True], cuts[1:] != cuts[:-1]])]
+        coded = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(b))).dictionary_encode()
+        piece = self._learned(coded.dictionary)[coded.indices.to_numpy()]
+        piece = np.insert(piece, np.searchsorted(cuts, rows[1:]), len(self.known))  # the end of each row
+        n = np.diff(self.starts)[piece]
+        after = np.cumsum(n)
+        ids = self.ids[np.arange(after[-1] if len(after) else 0) + np.repeat(self.starts[piece] - after + n, n)]
+        ends = after[np.flatnonzero(piece == len(self.known))]
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))
+
+    def _learned(self, pieces: pa.Array) -> np.ndarray:
+        """The numbers of the distinct pieces; those that are not known are encoded."""
+        if self.known.nbytes > self.most:
             self._forget()
-        coded = pieces.dictionary_encode()
-        told = coded.dictionary.to_pylist()
-        new = [p for p in told if p not in self.known]
-        self.held += sum(map(len, new))
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.lengths = np.append(self.lengths, [len(i) for i in got]).astype(np.int64)
-        self.ids = np.append(self.ids, np.fromiter((i for ids in got for i in ids), np.int32))
-        piece = np.fromiter((self.known[p] for p in told), np.int64, len(told))[coded.indices.to_numpy()]
-        # the ids of each row's pieces, with a place left for the end id
-        n = self.lengths[piece]
-        before = np.concatenate([[0], np.cumsum(n)])
-        row_ends = before[np.searchsorted(cuts, rows[1:])]
-        starts = np.concatenate([[0], np.cumsum(self.lengths)])[piece]
-        flat = self.ids[np.arange(before[-1]) + np.repeat(starts - before[:-1], n)]
-        out = np.insert(flat, row_ends, end).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], row_ends + np.arange(1, len(row_ends) + 1)]).astype(np.int32)), pa.array(out))
-
-
-def spaces(b: np.ndarray) -> np.ndarray:
-    """Places of single spaces in UTF-8 bytes at which a text may be cut: what stands before and after is an ASCII character other than white space, or before it one of two bytes that is no white space, or after it the first byte of one."""
-    solid = (b > 0x20) & (b < 0x7F)
-    two = np.zeros(len(b), bool)
-    two[1:] = (b[:-1] >= 0xC3) & (b[:-1] < 0xE0)
-    first = (b >= 0xC3) & (b < 0xE0)
-    at = np.flatnonzero(b == 0x20)
-    at = at[(at > 0) & (at < len(b) - 1)]
-    return at[(solid | two)[at - 1] & (solid | first)[at + 1]]
+        own, number = hashes(pieces), np.zeros(len(pieces), np.int64)
+        if len(self.known):
+            order = np.argsort(own)
+            at = np.minimum(np.searchsorted(self.hashes, own[order]), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == own[order])
+            number[order[hit]] = self.numbers[at[hit]]
+            hit = order[hit]
+        else:
+            hit = np.zeros(0, np.int64)
+        hit = hit[pc.equal(self.known.take(pa.array(number[hit])), pieces.take(pa.array(hit))).to_numpy(zero_copy_only=False)]
+        fresh = np.ones(len(pieces), bool)
+        fresh[hit] = False
+        fresh = np.flatnonzero(fresh)
+        if len(fresh):
+            lone = pc.match_substring_regex(pieces.take(pa.array(fresh)), LONE).to_numpy(zero_copy_only=False)
+            fresh = np.concatenate([fresh[lone], fresh[~lone]])
+            new = pieces.take(pa.array(fresh))
+            got = [self._ids(new.slice(0, lone.sum()), JOINED), self._ids(new.slice(lone.sum()), 1)]
+            ends = self.starts[-2] + np.cumsum(np.concatenate([n for n, _ in got]))
+            self.ids = np.concatenate([self.ids[:-1], *(ids for _, ids in got), [self.end]]).astype(np.int32)
+            self.starts = np.concatenate([self.starts[:-1], ends, [ends[-1] + 1]])
+            number[fresh] = np.arange(len(self.known), len(self.known) + len(fresh))
+            order = np.argsort(own[fresh])
+            place = np.searchsorted(self.hashes, own[fresh][order])
+            self.hashes = np.insert(self.hashes, place, own[fresh][order])
+            self.numbers = np.insert(self.numbers, place, number[fresh][order])
+            self.known = pa.concat_arrays([self.known, new])
+        return number
+
+    def _ids(self, pieces: pa.Array, together: int) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of the pieces. Several LONE ones make one text, in which a piece begins with each id that begins with a space."""
+        texts = pieces.to_pylist()
+        texts = texts if together == 1 else ["".join(texts[i : i + together]) for i in range(0, len(texts), together)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        ids = np.fromiter(chain.from_iterable(got), np.int32, lengths.sum())
+        if together > 1:
+            first = np.flatnonzero(self.opens[ids])
+            if len(first) != len(pieces):  # a tokenizer that marks spaces in another way
+                return self._ids(pieces, 1)
+            lengths = np.diff(np.append(first, len(ids)))
+        return lengths, ids
+
+
+@functools.cache
+def worker_encoder(path: str, end: int) -> Encoder:
+    """The encoder of a worker process, which may run many tasks."""
+    return Encoder(path, end)
+
+
+def hashes(pieces: pa.Array) -> np.ndarray:
+    """64 bits of each piece, none of which is empty."""
+    b, offsets = buffers(pieces)
+    b, offsets = b[offsets[0] : offsets[-1]], offsets - offsets[0]
+    at = np.arange(len(b)) - np.repeat(offsets[:-1], np.diff(offsets))
+    return mix(np.add.reduceat(_VALUES[b] * _POWERS[at % len(_POWERS)], offsets[:-1])) if len(pieces) else np.zeros(0, np.uint64)
+
+
+_VALUES, _POWERS = seeds(256, 17), seeds(512, 19)
+
+
+#: Bytes by what a cut may stand beside: white space or unknown, ASCII characters, of these letters, and marks.
+_SOLID, _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_SOLID[0x21:0x7F] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[list(b",.;:!?)\n")] = True
+#: First bytes of characters of two bytes that are no white space.
+_FIRST = np.zeros(256, bool)
+_FIRST[0xC3:0xE0] = True
+
+
+def places(b: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes at which a text may be cut, as no word of the tokenizer reaches over them: before a single space between characters that are no white space (ASCII ones, or of two bytes of which the first tells so), and before a mark or the end of a line that follows an ASCII letter."""
+    if len(b) < 3:
+        return np.zeros(0, np.int64)
+    before, own, after = b[:-2], b[1:-1], b[2:]
+    solid = _SOLID[before]
+    solid[1:] |= _FIRST[b[:-3]]
+    space = (own == 0x20) & solid & (_SOLID | _FIRST)[after]
+    return np.flatnonzero(space | (_MARK[own] & _LETTER[before])) + 1
 
 
 def _encoded(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, before = worker_encoder(path, end), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1)
-            for lo, hi in row_chunks(np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())]), 8 * CHUNK):
-                ids = encoder.encode(texts.slice(lo, hi - lo), end)
+            for lo, hi in row_chunks(np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())]), CHUNK):
+                ids = encoder.encode(texts.slice(lo, hi - lo))
                 n = np.diff(ids.offsets.to_numpy()).astype(np.int64)
                 place = before + np.cumsum(n) - n
                 before += int(n.sum())
