@@ -17,11 +17,12 @@ def share(key: str, part: float) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: int, fold: int) -> DataFrame:
-    """(doc_id, text, y) of about most labelled documents outside the held-out fold, chosen by hash of doc_id; a doc_id with several labels counts with the least."""
+    """(doc_id, text, y) of about most labelled documents outside the held-out fold, chosen by hash of doc_id: a row for each, however many rows share its doc_id, with the text of the least hash. A doc_id with several labels counts with the least."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("doc_id", folds, fold)).groupBy("doc_id").agg(F.min("y").alias("y"))
     n = known.count()
     chosen = written(known.filter(share("doc_id", most / max(1, n))))
-    return docs.select("doc_id", "text").join(small(chosen, min(n, most + most // 4)), "doc_id").select("doc_id", "text", "y")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(small(chosen, min(n, most + most // 4)), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y")
 
 
 def minimise(value: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 100, memory: int = 8) -> np.ndarray:

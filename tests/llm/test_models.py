@@ -175,3 +175,15 @@ def test_ranking_equals_plain_descent():
 def test_ratios():
     r = toxicity_nb.ratios(np.array([9.0, 0.0, 5.0]), np.array([0.0, 9.0, 5.0]), 10, 10)
     assert r[0] == pytest.approx(np.log(10 / 1)) and r[1] == -r[0] and r[2] == 0
+
+
+def test_the_sample_is_bounded(spark):
+    """One labelled id with many rows gives one row, as do all others."""
+    from quillframe.llm import _fit
+
+    docs = spark.range(100_000).selectExpr("7L as doc_id", "concat('t', id % 50) as text").union(spark.range(300).selectExpr("id + 100", "if(id % 3 = 0, null, concat('u', id))"))
+    labels = spark.range(400).selectExpr("id as doc_id", "cast(id % 2 as int) as quality").union(spark.sql("select 7L, 1"))
+    rows = _fit.labelled(docs, labels, "quality", 10_000, 5, 0).collect()
+    ids = [r.doc_id for r in rows]
+    assert len(ids) == len(set(ids)) and 7 in ids and 150 < len(ids) <= 301
+    assert len(_fit.labelled(docs, labels, "quality", 10, 5, 0).collect()) < 40
