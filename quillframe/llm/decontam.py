@@ -9,12 +9,12 @@ largest block impacts add up to less than the threshold; within the blocks left,
 many documents go through each level together, so terms are added up in bulk where WAND would move a pivot: the same blocks
 are skipped. What is retrieved is verified on the document's words around the window: at least Q_OVERLAP of the question's and A_OVERLAP of the answer's
 five-word runs (the whole, if it has fewer words) must stand there. The answer is what follows the last "answer:" of an
-item; without that, its last sentence.
+item; an item without that is verified as a whole, as question and answer both.
 
 Items are indexed by length class, with windows twice as long as the class's longest item at every such length, so that
 every copy of an item lies within some window. The windows of many documents are searched at once, in array operations. An index is built on the driver from one block of about ITEMS_A_PASS items at most, and that
 is what executors get; more items take more passes over the documents. Document frequencies and the mean length are those
-of all items in any case.
+of all distinct items in any case.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm._bytes import alnum_split, mix, seeds, word_rows
-from quillframe.llm._common import discard, kept_by, written
+from quillframe.llm._common import discard, kept_by, numbered, small, written
 
 K1, B, THRESHOLD, COMMON, Q_OVERLAP, A_OVERLAP = 1.2, 0.75, 0.5, 0.25, 0.6, 0.6
 SHORTEST, BLOCK, RUN = 64, 16, 5
@@ -57,12 +57,9 @@ class Index:
 
 
 def split_answer(text: str) -> tuple[str, str]:
-    """(question, answer): at the last "answer:", else before the last sentence; one sentence is both."""
+    """(question, answer): before and after the last "answer:"; without one both are the whole text."""
     marks = list(re.finditer(r"(?i)\banswer\s*:", text))
-    if marks:
-        return text[: marks[-1].start()], text[marks[-1].end() :]
-    ends = list(re.finditer(r"[.!?]\s+(?=\S)", text))
-    return (text[: ends[-1].end()], text[ends[-1].end() :]) if ends else (text, text)
+    return (text[: marks[-1].start()], text[marks[-1].end() :]) if marks else (text, text)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -215,19 +212,24 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([parts[lo + i]] * len(u), pa.int32()), pa.array(u.view(np.int64)), pa.array([int(first[i + 1] - first[i]), *[0] * (len(u) - 1)][: len(u)], pa.int64())], names=["part", "word", "words"])
 
 
-def _indexes(items: DataFrame) -> Iterator:
-    """Broadcast indexes of items (item_id, text), one block of items at a time."""
-    spark = items.sparkSession
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+def _distinct(items: DataFrame) -> DataFrame:
+    """(key, text) of the distinct texts of items with an id, as a written table: an item that repeats is indexed once."""
+    texts = items.filter("item_id is not null and text is not null").select(F.col("text").cast("string").alias("text")).distinct()
+    return numbered(texts, "key")
+
+
+def _indexes(texts: DataFrame) -> Iterator:
+    """Broadcast indexes of texts (key, text), one block of them at a time."""
+    spark = texts.sparkSession
+    size = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     passes = max(1, -(-size.n // ITEMS_A_PASS), -(-size.b // ITEM_BYTES_A_PASS))
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)).cast("int"))
+    dealt = texts.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(passes)).cast("int"))
     words = dealt.select("part", "text").mapInArrow(_item_words, "part int, word long, words long")
     stats = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.collect_set("part").alias("parts"), F.sum("words").alias("words")))
     mean = (stats.agg(F.sum("words")).first()[0] or 0) / max(1, size.n)
     for part in range(passes):
         df = {r.word % 2**64: r.df for r in stats.filter(F.array_contains("parts", part)).select("word", "df").toLocalIterator()}
-        block = [(r.item_id, r.text) for r in dealt.filter(F.col("part") == part).select("item_id", "text").collect()]
+        block = [(r.key, r.text) for r in dealt.filter(F.col("part") == part).select("key", "text").collect()]
         yield spark.sparkContext.broadcast(build(sorted(block), df, size.n, mean))
     discard(stats)
 
@@ -241,12 +243,14 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     no rows. Other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, word long"
-    out = None
-    for index in _indexes(items):
+    schema = "doc_id long, key long, score double, question_overlap double, answer_overlap double, word long"
+    distinct, out = _distinct(items), None
+    for i, index in enumerate(_indexes(distinct)):
         found = texts.mapInArrow(_finder(index, threshold, question, answer), schema)
-        out = found if out is None else out.union(found)
-    return out
+        out = out.union(found) if i else found
+    own = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    ids = written(own.join(distinct, "text").select("key", "item_id"))
+    return out.join(small(ids, ids.count()), "key").select("doc_id", "item_id", "score", "question_overlap", "answer_overlap", "word")
 
 
 def _finder(index, threshold: float, question: float, answer: float):
@@ -260,7 +264,7 @@ def _finder(index, threshold: float, question: float, answer: float):
                     rows += [(ids[lo + i].as_py(), *x) for i, *x in held(part, h, first, threshold, question, answer)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "key", "score", "question_overlap", "answer_overlap", "word"])
 
     return run
 
@@ -272,7 +276,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     and stay, and so does everything if there are no items. A table without rows gives none. Columns stay as they are.
     """
     out = docs
-    for i, index in enumerate(_indexes(items)):
+    for i, index in enumerate(_indexes(_distinct(items))):
         out = kept_by(written(out) if i else out, _clean(index))
     return out
 
