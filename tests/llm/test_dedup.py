@@ -370,3 +370,28 @@ def test_neighbours_beside_a_vec_id_that_repeats(spark, hot):
         if q == 700:
             break  # queries that repeat have the same answer
     assert all({i for i, _ in got[700, rank]} == set(want[rank]) for rank in range(1, 901))
+
+
+def test_many_sources(spark, monkeypatch):
+    """Sources beyond MOST_SOURCES share the windows of one."""
+    monkeypatch.setattr(pfair_mix, "MOST_SOURCES", 3)
+    size = {"a": 400, "b": 300, None: 200, **{f"s{i}": 10 + i for i in range(40)}}
+    docs = spark.createDataFrame([(i, s) for s, n in size.items() for i in range(n)], "doc_id long, source string").repartition(5)
+    for weights in (None, {"a": 0.5, "s7": 0.5}):
+        got = pfair_mix.mix(docs, weights, block_rows=10).collect()
+        assert sorted(r.mix_position for r in got) == list(range(sum(size.values())))
+        usual = 0.5
+        rest = sum(n**0.5 for s, n in size.items() if s and s[0] == "s") if weights is None else 0.5 + usual * 39
+        given = {"=a": 400**0.5, "=b": 300**0.5, "": 200**0.5, "+": rest} if weights is None else {"=a": 0.5, "=b": usual, "": usual, "+": rest}
+        own = {"=a": 400, "=b": 300, "": 200, "+": sum(n for s, n in size.items() if s and s[0] == "s")}
+        want = [s for s, _ in plain_schedule({s: -(-n // 10) for s, n in own.items()}, {s: w / sum(given.values()) for s, w in given.items()})]
+        slots = {r.mix_slot: ("" if r.source is None else f"={r.source}" if r.source in ("a", "b") else "+") for r in got}
+        assert [slots[i] for i in sorted(slots)] == want[: len(slots)] and len(slots) == len(want)
+
+
+def test_a_schedule_of_many_sources_is_quick():
+    import time
+
+    began = time.time()
+    plan = pfair_mix.phases({f"s{i}": 10**9 + i * 10**7 for i in range(20)}, {f"s{i}": 1 / 20 for i in range(20)}, 256)
+    assert len(plan) == 20 and time.time() - began < 12
