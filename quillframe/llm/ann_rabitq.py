@@ -174,12 +174,14 @@ def scan_block(best: Best, queries: Queries, at: np.ndarray, ids: np.ndarray, ro
     return again
 
 
-def index(vectors: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(index table, centre, rotation) over vectors (vec_id, embedding). The centre is the mean of about fit_rows rows, chosen by hash; every row is indexed. Vectors that are null, zero, of another than the usual length, or hold null or non-finite components are left out, and so are rows with a null vec_id."""
+def sound_vectors(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v) of the vectors (vec_id, embedding) that take part: not null, zero or with null or non-finite components, and not of a null vec_id."""
     raw = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and v is not null")
-    sound = raw.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
-    lengths = sound.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    dim, n = (lengths.d, lengths["count"]) if lengths else (1, 0)
+    return raw.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
+
+
+def index(sound: DataFrame, dim: int, n: int, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(index table, centre, rotation) over the n sound_vectors() of length dim. The centre is the mean of about fit_rows rows, chosen by hash; every row is indexed."""
     sound = sound.filter(F.size("v") == dim)
     part = sound.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, fit_rows / max(1, n)))
     sums = [F.sum(F.get("v", F.lit(d))).alias(f"s{d}") for d in range(dim)]
@@ -207,10 +209,23 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, errors: float = ER
 
     Ranks count from 1, ties go to the smaller vec_id; with fewer than k candidates all are returned. Rows are candidates one
     by one: of rows that repeat a vec_id each has a rank of its own, and as queries each has its own answer, in which the
-    others take part. Rows left out of the index take no part; a table without rows gives none. Other columns are ignored.
+    others take part. Vectors of one length are compared with each other; one of another length has no product with them.
+    Null and zero vectors, those with null or non-finite components, and rows with a null vec_id take no part; a table
+    without rows gives none. Other columns are ignored.
     """
-    spark = vectors.sparkSession
-    table, centre, turn = index(vectors)
+    sound = sound_vectors(vectors)
+    lengths = sorted((r.d, r["count"]) for r in sound.groupBy(F.size("v").alias("d")).count().collect())
+    found = [_nearest(sound, d, n, every, k, errors, query_block) for d, n in lengths or [(1, 0)]]
+    out = found[0]
+    for other in found[1:]:
+        out = out.union(other)
+    return out
+
+
+def _nearest(sound: DataFrame, dim: int, n: int, every: int, k: int, errors: float, query_block: int) -> DataFrame:
+    """nearest() among the n vectors of one length."""
+    spark = sound.sparkSession
+    table, centre, turn = index(sound, dim, n)
     n = max(1, table.count())
     some = table.filter(F.pmod(F.xxhash64("at"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, FIT_ROWS / n))).select("at", "raw").toArrow().combine_chunks()
     sample_at, sample = some.column("at").to_numpy(), _packed(some.column("raw").combine_chunks(), np.float64).reshape(len(some), -1 if len(some) else len(centre))

@@ -85,7 +85,7 @@ SELECT n.doc_id, n.n AS n_shingles, component_id, CASE WHEN n.doc_id IS NULL THE
 OP9 = """
 WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
 s AS (SELECT * FROM v WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
-p AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_inner_product(c.v, q.v) AS score FROM s q JOIN s c ON q.vec_id % 20 = 0 AND c.rid <> q.rid),
+p AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_inner_product(c.v, q.v) AS score FROM s q JOIN s c ON q.vec_id % 20 = 0 AND c.rid <> q.rid AND len(c.v) = len(q.v)),
 r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

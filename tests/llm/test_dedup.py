@@ -395,3 +395,16 @@ def test_a_schedule_of_many_sources_is_quick():
     began = time.time()
     plan = pfair_mix.phases({f"s{i}": 10**9 + i * 10**7 for i in range(20)}, {f"s{i}": 1 / 20 for i in range(20)}, 256)
     assert len(plan) == 20 and time.time() - began < 12
+
+
+def test_vectors_of_several_lengths(spark):
+    """Each is compared with those of its own length, whichever is the commonest."""
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=(8, 8, 8, 12, 3)[i % 5]).tolist()) for i in range(200)]
+    got = {}
+    for r in ann_rabitq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 20).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    for i in range(0, 200, 20):
+        q = np.array(rows[i][1])
+        want = sorted(((-float(q @ np.array(v)), j) for j, v in rows if j != i and len(v) == len(q)))[:20]
+        assert [got[i][k + 1][0] for k in range(20)] == [j for _, j in want]
