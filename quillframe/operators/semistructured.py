@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quillframe.functions import exprs as x
 
 FENCE = "```"
+# The members that may name an image, in order.
+IMAGE_KEYS = ("image", "image_name", "file_name", "filename", "source", "uri")
 _END = secrets.token_hex(16)
 
 
@@ -139,7 +141,6 @@ def export_dates(raw: DataFrame) -> DataFrame:
 
 def image_name(s: Column) -> Column:
     """The file name in the first of the known keys that holds the name of an image."""
-    keys = ("image", "image_name", "file_name", "filename", "source", "uri")
     v = F.try_parse_json(s)
     pick = lambda k: F.when((F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING") & (x.route(F.try_variant_get(v, f"$.{k}", "string")) == "image"), F.try_variant_get(v, f"$.{k}", "string"))
-    return F.regexp_extract(F.coalesce(*(pick(k) for k in keys)), r"([^/\\]*)$", 1)
+    return F.regexp_extract(F.coalesce(*(pick(k) for k in IMAGE_KEYS)), r"([^/\\]*)$", 1)

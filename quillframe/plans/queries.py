@@ -136,7 +136,7 @@ def total_row_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
     heads = items.select("l_orderkey").distinct()
     cells = _cells(heads, "0", "0", "'EAN'").union(_cells(heads, "0", "1", "' janv. 2026 '"))
-    code = f"case when l_linenumber = 1 then '' when l_linenumber % 3 = 0 then '5372381' else {_CODE} end"
+    code = f"case when l_linenumber = 1 then '' when l_linenumber % 3 = 0 then '4401982' else {_CODE} end"
     cells = cells.union(_cells(items, "l_linenumber", "0", code)).union(_cells(items, "l_linenumber", "1", "cast(cast(l_quantity as int) as string)"))
     return assemble.monthly(cells, _years(spark))[2]
 
@@ -296,9 +296,9 @@ def french_decimal_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.french_decimal(F.concat(x.french_number(F.col("l_extendedprice")), F.lit(" €"))).alias("value"))
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN '5372381' WHEN 1 THEN '' ELSE {_SQL_CODE} END AS code_produit, CASE WHEN l_linenumber % 5 = 0 THEN 'code is not 13 digits' END AS reason FROM lineitem""")
+@query(f"""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN '4401982' WHEN 1 THEN '' ELSE {_SQL_CODE} END AS code_produit, CASE WHEN l_linenumber % 5 = 0 THEN 'code is not 13 digits' END AS reason FROM lineitem""")
 def ean_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    noisy = F.expr(f"case l_linenumber % 5 when 0 then '5372381' when 1 then 'abc' when 2 then concat({_CODE}, ' -') when 3 then concat(substring({_CODE}, 1, 5), '  ', substring({_CODE}, 6, 8)) else {_CODE} end")
+    noisy = F.expr(f"case l_linenumber % 5 when 0 then '4401982' when 1 then 'abc' when 2 then concat({_CODE}, ' -') when 3 then concat(substring({_CODE}, 1, 5), '  ', substring({_CODE}, 6, 8)) else {_CODE} end")
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.code_digits(noisy).alias("code_produit"), x.bad_line(noisy, F.lit(1.0)).alias("reason"))
 
 
@@ -331,7 +331,7 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as model completions: a product per row with two sales in its month, junk among products and sales, wrapped by key."""
-    items = _items(spark, sf_dir).withColumn("code", F.expr(f"case when l_linenumber % 4 = 0 then '5372381' else concat(substring({_CODE}, 1, 5), ' ', substring({_CODE}, 6, 8)) end"))
+    items = _items(spark, sf_dir).withColumn("code", F.expr(f"case when l_linenumber % 4 = 0 then '4401982' else concat(substring({_CODE}, 1, 5), ' ', substring({_CODE}, 6, 8)) end"))
     product = F.format_string('{"code_produit": "%s", "designation": null, "sales": [{"month": "%s", "quantity": "%s"}, 5, null, {"month": "soon", "quantity": 1}, {"month": "%s", "quantity": 2.9}, {"month": "2026-01", "quantity": "many"}]}', "code", F.date_format(F.expr(_DAY), "yyyy-MM-dd"), F.col("l_quantity").cast("string"), F.expr(_MONTH))
     body = items.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", product.alias("p")))), lambda e: e.p), ", ").alias("products"))
     whole = F.concat(F.lit('{"pharmacy": {"name": "Pharmacie '), F.col("l_orderkey"), F.lit('", "id": '), F.col("l_orderkey"), F.lit('}, "supplier": null, "report_date": "2026-02-03T00:00", "products": [7, null, "x", '), F.col("products"), F.lit(', {"designation": "no code"}, {"code_produit": "3400900000001", "sales": "none"}]}'))
@@ -360,7 +360,7 @@ def model_output_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _export_texts(items: DataFrame) -> DataFrame:
     """(doc_id, whole) of documents (l_orderkey) as annotation exports: a product_line per row, a total_line for those not divisible by 5, two report dates."""
-    items = items.withColumn("code", F.expr(f"case when l_linenumber % 4 = 0 then '5372 381' else concat(substring({_CODE}, 1, 5), ' ', substring({_CODE}, 6, 8)) end"))
+    items = items.withColumn("code", F.expr(f"case when l_linenumber % 4 = 0 then '4401 982' else concat(substring({_CODE}, 1, 5), ' ', substring({_CODE}, 6, 8)) end"))
     sale = lambda month, quantity: F.format_string('{"type": "sales_by_month", "properties": [{"type": "sales_quantity", "normalizedValue": {"text": "%s"}}, {"type": "month_period_normalized", "mentionText": "x", "normalizedValue": {"text": "%s-01"}}, {"type": "sales_quantity", "normalizedValue": {"text": "9"}}]}', quantity, month)
     q = F.col("l_quantity").cast("int").cast("string")
     product = F.format_string('{"type": "product_line", "confidence": 0.5, "properties": [{"type": "product_ean", "mentionText": "%s"}, {"type": "product_designation", "mentionText": "item %s"}, {"type": "product_ean", "mentionText": "0"}, %s, %s, %s]}', "code", F.col("l_partkey").cast("string"), sale(F.expr(_MONTH), q), sale(F.expr(_MONTH), F.lit("1")), sale(F.lit("2026-01"), F.lit("3.0")))
@@ -389,7 +389,7 @@ def docai_line_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semistructured.export_lines(_exports(spark, sf_dir))[0]
 
 
-@query(f"SELECT l_orderkey AS doc_id, l_linenumber AS line_no, 'non-13-digit code' AS reason, '5372 381' AS raw_code FROM {_ITEMS} WHERE l_linenumber % 4 = 0")
+@query(f"SELECT l_orderkey AS doc_id, l_linenumber AS line_no, 'non-13-digit code' AS reason, '4401 982' AS raw_code FROM {_ITEMS} WHERE l_linenumber % 4 = 0")
 def docai_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semistructured.export_lines(_exports(spark, sf_dir))[2]
 
@@ -427,7 +427,7 @@ def _gold_and_images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     orders = _t(spark, sf_dir, "orders").withColumn("stem", F.expr("concat('gold_', o_custkey, 'x', o_orderkey)"))
     k = F.col("o_orderkey") % 6
     path = lambda name: F.concat(F.lit("/photos/"), F.col("o_orderkey") % 10, F.lit("/"), name)
-    names = F.when(k == 0, F.array(F.concat("stem", F.lit(".jpg")), F.concat("stem", F.lit("_7.png")))).when(k == 1, F.array(F.concat("stem", F.lit("_601.JPG")), F.concat("stem", F.lit("_602.jpg")))).when(k == 2, F.array(F.concat(F.upper("stem"), F.lit("-.TIFF"))))
+    names = F.when(k == 0, F.array(F.concat("stem", F.lit(".jpg")), F.concat("stem", F.lit("_7.png")))).when(k == 1, F.array(F.concat("stem", F.lit("_31.JPG")), F.concat("stem", F.lit("_32.jpg")))).when(k == 2, F.array(F.concat(F.upper("stem"), F.lit("-.TIFF"))))
     names = names.when(k == 3, F.array(F.concat("stem", F.lit(".pdf")))).when(k == 4, F.array(F.concat(F.lit("IMG"), "o_orderkey", F.lit(".jpeg")))).otherwise(F.array(F.concat("stem", F.lit("_9.tif"))))
     images = orders.select("*", F.explode(names).alias("name")).select(path(F.col("name")).alias("path"))
     source = F.format_string('{"text": "t", "image": 5, "uri": "gs:/x/%s%s"}', F.when(F.col("o_orderkey") % 4 < 2, "IMG").otherwise("im-g "), F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 4 < 2, ".png").otherwise(".Jpeg")))
@@ -436,7 +436,7 @@ def _gold_and_images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 
 _PAIR_SQL = """WITH o AS (SELECT 'gold_' || o_custkey || 'x' || o_orderkey AS stem, o_orderkey % 6 AS k, '/photos/' || (o_orderkey % 10) || '/' AS dir, o_orderkey FROM orders),
-p AS (SELECT stem, CASE k WHEN 0 THEN dir || stem || '.jpg' WHEN 1 THEN dir || stem || '_601.JPG' WHEN 2 THEN dir || upper(stem) || '-.TIFF' WHEN 4 THEN dir || 'IMG' || o_orderkey || '.jpeg' WHEN 5 THEN dir || stem || '_9.tif' END AS path,
+p AS (SELECT stem, CASE k WHEN 0 THEN dir || stem || '.jpg' WHEN 1 THEN dir || stem || '_31.JPG' WHEN 2 THEN dir || upper(stem) || '-.TIFF' WHEN 4 THEN dir || 'IMG' || o_orderkey || '.jpeg' WHEN 5 THEN dir || stem || '_9.tif' END AS path,
       CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 2 END::INTEGER AS tier, k = 1 AS ambiguous FROM o)"""
 
 

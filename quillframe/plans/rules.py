@@ -23,6 +23,9 @@ MONTH_TOKENS: tuple[tuple[str, int], ...] = (
     ("déc", 12), ("dec", 12), ("décembre", 12), ("decembre", 12),
 )
 
+# What a rendered month column bears, January to December.
+MONTH_LABELS: tuple[str, ...] = ("janv", "févr", "mars", "avr", "mai", "juin", "juil", "août", "sept", "oct", "nov", "déc")
+
 # Header cells of each canonical column.
 COLUMN_ALIASES: dict[str, tuple[str, ...]] = {
     "code_produit": ("ean", "code ean", "code produit", "cip"),
@@ -54,6 +57,7 @@ class Rules:
     months: tuple[tuple[str, int], ...] = MONTH_TOKENS
     aliases: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(COLUMN_ALIASES))
     signatures: tuple[tuple[str, tuple[str, ...]], ...] = SIGNATURES
+    labels: tuple[str, ...] = MONTH_LABELS
 
     def alias_map(self) -> dict[str, str]:
         return {a.strip().lower(): canonical for canonical, names in self.aliases.items() for a in names}
@@ -62,9 +66,8 @@ class Rules:
         return {t.strip().lower(): f"{m:02d}" for t, m in self.months}
 
     def label_token(self, month: int) -> str:
-        """The token that a rendered month column bears: up to four letters if there is one, then the longest, then the last by code point."""
-        own = [t for t, m in self.months if m == month]
-        return max(own, key=lambda t: (len(t) <= 4, len(t), t))
+        """The token that a rendered month column bears."""
+        return self.labels[month - 1]
 
 
 DEFAULT = Rules()
@@ -76,12 +79,23 @@ def validate(rules: Rules) -> Rules:
         raise TypeError("aliases must be an object")
     if not all(1 <= m <= 12 for _, m in rules.months):
         raise ValueError("months are numbered from 1 to 12")
+    if not all(label == "" or (label, m) in rules.months for m, label in enumerate(rules.labels, 1)):
+        raise ValueError("a month's label is one of its tokens")
     for name, own in rules.signatures:
         if not own:
             raise ValueError(f"{name} has no signature")
     return rules
 
 
+def month_labels(months: dict[str, int]) -> tuple[str, ...]:
+    """A label for each month of a token table without labels: of its tokens of up to four letters, if there are any, the last of the longest; empty for a month without tokens."""
+    out = []
+    for month in range(1, 13):
+        own = sorted((t for t, m in months.items() if m == month), key=lambda t: (len(t), t))
+        out.append(next((t for t in reversed(own) if len(t) <= 4), own[-1] if own else ""))
+    return tuple(out)
+
+
 def load(spark: SparkSession, folder: str, names: tuple[str, str, str] = ("months.json", "aliases.json", "signatures.json")) -> Rules:
     """Rules from three JSON files of a folder, read once on the driver; see from_json()."""
     return from_json(*(json.loads(spark.read.text(f"{folder}/{n}", wholetext=True).first().value) for n in names))
@@ -97,4 +111,5 @@ def from_json(months: object, aliases: object, signatures: object) -> Rules:
     by: dict[str, tuple[str, ...]] = {}
     for alias, column in aliases.items():
         by[column] = (*by.get(column, ()), alias)
-    return validate(Rules(tuple((t, int(m)) for t, m in months.items()), by, tuple((s["id"], tuple(s["signatures"])) for s in signatures)))
+    numbered = {t: int(m) for t, m in months.items()}
+    return validate(Rules(tuple(numbered.items()), by, tuple((s["id"], tuple(s["signatures"])) for s in signatures), month_labels(numbered)))

@@ -76,6 +76,8 @@ def test_document_checks(spark):
 
 def test_rules():
     r = rules.DEFAULT
+    assert rules.month_labels(dict(rules.MONTH_TOKENS)) == rules.MONTH_LABELS
+    assert rules.month_labels({"Maitime": 5, "may": 5, "mai": 5, "junetime": 6})[4:6] == ("may", "junetime")
     assert [r.label_token(m) for m in range(1, 13)] == ["janv", "févr", "mars", "avr", "mai", "juin", "juil", "août", "sept", "oct", "nov", "déc"]
     with pytest.raises(TypeError):
         rules.from_json([], {}, [])
