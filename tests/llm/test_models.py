@@ -187,3 +187,97 @@ def test_the_sample_is_bounded(spark):
     ids = [r.doc_id for r in rows]
     assert len(ids) == len(set(ids)) and 7 in ids and 150 < len(ids) <= 301
     assert len(_fit.labelled(docs, labels, "quality", 10, 5, 0).collect()) < 40
+
+
+def plain_words(text):
+    """Words of ASCII letters and non-ASCII bytes, A-Z folded, as bytes."""
+    out, word = [], b""
+    for c in (text or "").encode() + b" ":
+        if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128:
+            word += bytes([c + 32 if c <= 90 else c])
+        elif word:
+            out.append(word)
+            word = b""
+    return out
+
+
+def plain_grams(word):
+    padded = b" " + word + b" "
+    padded += b" "
+    out = []
+    for i in range(1, len(word) + 2):
+        x, y, z = padded[i - 1], padded[i], padded[i + 1] if i + 1 < len(padded) else 32
+        h = (x * 0x9E3779B1 & 0xFFFFFFFF) ^ (y * 0x85EBCA77 & 0xFFFFFFFF) ^ (z * 0xC2B2AE3D & 0xFFFFFFFF)
+        out.append((h * 0x27D4EB2F & 0xFFFFFFFF) >> (32 - langid_viterbi.BITS))
+    return out
+
+
+def plain_script(word):
+    code = ord(word.decode("utf-8")[0])
+    return next((s for s, lo, hi in langid_viterbi.SCRIPTS if lo <= code <= hi), "other")
+
+
+def test_languages_by_brute_force(spark):
+    """The query's labels from word scores summed letter by letter and a plain Viterbi."""
+    from zlib import crc32
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    grams, written, size = {}, {}, 1 << langid_viterbi.BITS
+    for r in rows:
+        if r.text is not None and r.lang is not None and crc32(str(r.doc_id).encode()) % 3 != 1:
+            own, scripts = grams.setdefault(r.lang, np.zeros(size)), written.setdefault(r.lang, {})
+            for w in plain_words(r.text):
+                for g in plain_grams(w):
+                    own[g] += 1
+                scripts[plain_script(w)] = scripts.get(plain_script(w), 0) + 1
+    langs = sorted(grams)
+    table = np.array([(grams[x] + langid_viterbi.SMOOTH) / (grams[x] + langid_viterbi.SMOOTH).sum() for x in langs])
+    table = np.log(table).T.astype(np.float32)
+    writes = lambda x, s: written[x].get(s, 0) >= 0.01 * max(1, sum(written[x].values()))
+    got = {r.doc_id: r for r in queries.op10_language_viterbi(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        words = plain_words(r.text)
+        if not words or not any(c.isalpha() for c in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        scores = []
+        for w in words:
+            s, any_ = plain_script(w), any(writes(x, plain_script(w)) for x in langs)
+            scores.append(table[plain_grams(w)].sum(axis=0) - np.array([0 if writes(x, s) or not any_ else langid_viterbi.FOREIGN for x in langs], np.float32))
+        value, back = scores[0].copy(), []
+        for one in scores[1:]:
+            best = int(value.argmax())
+            turned = value < value[best] - langid_viterbi.PENALTY
+            back.append(np.where(turned, best, np.arange(len(langs))))
+            value = np.maximum(value, value[best] - langid_viterbi.PENALTY) + one
+        path = [int(value.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        counts = np.bincount(path, minlength=len(langs))
+        close = sorted(counts)[-1] - sorted(counts)[-2] <= 2 if len(langs) > 1 else False
+        assert abs(got[r.doc_id].score - counts.max() / len(words)) < 0.03 and (close or got[r.doc_id].lang_pred == langs[int(counts.argmax())])
+
+
+def test_quality_features_by_brute_force():
+    import re
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    texts = [None, "", "word", "a b", "Aa aA! 12;  x\ty\n" * 3, " ".join(rng.choice(["the", "The", "cat", "é!", "A1", "x,y"], 500)), "w " * 200_000, "one two three one two three four"]
+    for text, got in zip(texts, quality_bt.features(pa.array(texts, pa.string())), strict=True):
+        b, words = (text or "").encode(), [w.lower() if w.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        n, w = max(1, len(b)), len(words)
+        within = lambda lo, hi: sum(lo <= c < hi for c in b) / n  # noqa: E731, B023
+        shares = [within(*x) for x in ((65, 91), (97, 123), (48, 58), (32, 33), (10, 11), (128, 256), (0, 10))] + [b.count(bytes([c])) / n for c in quality_bt._SINGLE]
+        same = sum(x == y for x, y in zip(words, words[1:], strict=False)) / (w - 1) if w > 1 else 0
+        skip = sum(x == y for x, y in zip(words, words[2:], strict=False)) / (w - 2) if w > 2 else 0
+        kinds = len(set(words)) / w if w else 1
+        three = [tuple(words[i : i + 3]) for i in range(w - 2)] if w > 2 else [(x,) for x in words]
+        again = 1 - len(set(three)) / len(three) if three else 0
+        length = (n - sum(b.count(bytes([c])) for c in (32, 10, 9, 13))) / max(1, w)
+        dense = np.array([same, skip, again, 1 - kinds, shares[0] / max(1e-9, shares[0] + shares[1])])
+        want = np.concatenate([np.log1p(50 * np.array(shares)), dense, np.log1p(20 * dense), [np.log1p(w) / 10, length / 10, min(length, 40) ** 2 / 400, np.log1p(w) * (1 - kinds) / 10]])
+        assert np.allclose(got, want, atol=1e-9)
