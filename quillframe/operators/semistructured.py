@@ -86,14 +86,20 @@ def norm_text(v: Column) -> Column:
     return F.coalesce(F.when(F.schema_of_variant(t) == "STRING", F.try_variant_get(v, "$.normalizedValue.text", "string")), F.try_variant_get(v, "$.mentionText", "string"), F.lit(""))
 
 
+def typed(found: Column) -> Column:
+    """The elements of a list with their types, as structs (type, v), so that each element's type is read once."""
+    return F.transform(found, lambda e: F.struct(F.try_variant_get(e, "$.type", "string").alias("type"), e.alias("v")))
+
+
 def of_type(found: Column, kind: str) -> Column:
-    """The elements of one type, in order."""
-    return F.filter(found, lambda e: F.coalesce(F.try_variant_get(e, "$.type", "string") == kind, F.lit(False)))
+    """The elements of one type of typed(), in order."""
+    return F.transform(F.filter(found, lambda e: F.coalesce(e.type == kind, F.lit(False))), lambda e: e.v)
 
 
 def first_text(found: Column, kind: str) -> Column:
-    """The text of the first element of a type, or null if there is none."""
-    return F.get(F.transform(F.slice(of_type(found, kind), 1, 1), norm_text), F.lit(0))
+    """The text of the first element of a type of typed(), or null if there is none."""
+    first = F.slice(F.filter(found, lambda e: F.coalesce(e.type == kind, F.lit(False))), 1, 1)
+    return F.get(F.transform(first, lambda e: norm_text(e.v)), F.lit(0))
 
 
 def entities(raw: DataFrame, kind: str) -> DataFrame:
@@ -103,22 +109,21 @@ def entities(raw: DataFrame, kind: str) -> DataFrame:
 
 
 def entity_cells(found: DataFrame, keep: list[str]) -> DataFrame:
-    """(*keep, month, quantity) of the sales_by_month properties of found(*keep, entity) with both a month and a whole number; a month's quantities are summed. Months are not checked here."""
-    sales = elements(found, of_type(items(F.col("entity"), "$.properties"), "sales_by_month"), keep, "sale", "sale_no")
-    parts = items(F.col("sale"), "$.properties")
-    out = sales.select(*keep, F.substring(first_text(parts, "month_period_normalized"), 1, 7).alias("month"), x.whole(first_text(parts, "sales_quantity")).alias("quantity"))
+    """(*keep, month, quantity) of the sales_by_month properties of found(*keep, props), props being typed(), with both a month and a whole number; a month's quantities are summed. Months are not checked here."""
+    sales = elements(found, of_type(F.col("props"), "sales_by_month"), keep, "sale", "sale_no").select(*keep, typed(items(F.col("sale"), "$.properties")).alias("parts"))
+    out = sales.select(*keep, F.substring(first_text(F.col("parts"), "month_period_normalized"), 1, 7).alias("month"), x.whole(first_text(F.col("parts"), "sales_quantity")).alias("quantity"))
     return out.filter("month is not null and quantity is not null").groupBy(*keep, "month").agg(F.sum("quantity").alias("quantity"))
 
 
 def export_lines(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """J7 of raw(doc_id, v): (lines, cells, rejects). A product line whose first product_ean has not 13 digits is a reject with a reason."""
-    props = items(F.col("entity"), "$.properties")
-    found = entities(raw, "product_line").select(
+    told = entities(raw, "product_line").select("doc_id", F.col("entity_no").alias("line_no"), "entity", typed(items(F.col("entity"), "$.properties")).alias("props"))
+    found = told.select(
         "doc_id",
-        F.col("entity_no").alias("line_no"),
-        "entity",
-        x.text(first_text(props, "product_ean")).alias("raw_code"),
-        x.text(first_text(props, "product_designation")).alias("designation"),
+        "line_no",
+        "props",
+        x.text(first_text(F.col("props"), "product_ean")).alias("raw_code"),
+        x.text(first_text(F.col("props"), "product_designation")).alias("designation"),
         F.coalesce(F.try_variant_get(F.col("entity"), "$.confidence", "double"), F.lit(1.0)).alias("confidence"),
     ).withColumn("code_produit", x.code_digits(F.col("raw_code")))
     good = x.is_code(F.col("code_produit"))
@@ -129,13 +134,14 @@ def export_lines(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def export_totals(raw: DataFrame) -> DataFrame:
     """(doc_id, month, quantity) of the first total_line."""
-    first = F.get(of_type(items(F.col("v"), "$.entities"), "total_line"), F.lit(0))
-    return entity_cells(raw.select("doc_id", first.alias("entity")).filter("entity is not null"), ["doc_id"])
+    first = F.get(of_type(typed(items(F.col("v"), "$.entities")), "total_line"), F.lit(0))
+    props = typed(items(F.col("entity"), "$.properties"))
+    return entity_cells(raw.select("doc_id", first.alias("entity")).filter("entity is not null").select("doc_id", props.alias("props")), ["doc_id"])
 
 
 def export_dates(raw: DataFrame) -> DataFrame:
     """(doc_id, generated_at) of the first report_date of documents that have one, null if that is no date."""
-    text = first_text(items(F.col("v"), "$.entities"), "report_date")
+    text = first_text(typed(items(F.col("v"), "$.entities")), "report_date")
     return raw.select("doc_id", text.alias("t")).filter("t is not null").select("doc_id", x.report_date(F.col("t")).alias("generated_at"))
 
 
