@@ -16,12 +16,11 @@ _END = secrets.token_hex(16)
 
 
 def strict_object(s: Column) -> Column:
-    """The text as VARIANT if all of it is one JSON object, else null. The parser stops after a value, so the text is parsed as the first of two members of an object: one that closes this object early loses the second, whose name it cannot know, and one that goes on after a comma makes more than two."""
-    wrapped = F.concat(F.lit('{"v":'), s, F.lit(f',"{_END}":0}}'))
-    members = F.try_variant_get(F.try_parse_json(wrapped), "$", "map<string,variant>")
-    alone = lambda m: F.when((F.size(m) == 2) & F.map_contains_key(m, F.lit(_END)), F.try_element_at(m, F.lit("v")))
+    """The text as VARIANT if all of it is one JSON object, else null. The parser stops after a value, so the text is parsed as the first of two elements of a list: one that closes the list early loses the second, which it cannot know, and one that goes on after a comma puts another in its place."""
+    wrapped = F.try_parse_json(F.concat(F.lit("["), s, F.lit(f',"{_END}"]')))
+    alone = lambda p: F.when(F.try_variant_get(p, "$[1]", "string") == _END, F.try_variant_get(p, "$[0]", "variant"))
     # the lambda keeps the text from being parsed once for each use
-    return F.get(F.transform(F.when(F.regexp_like(s, F.lit(r"(?sU)^\s*\{.*\}\s*$")), F.array(members)), alone), F.lit(0))
+    return F.get(F.transform(F.when(F.regexp_like(s, F.lit(r"(?sU)^\s*\{.*\}\s*$")), F.array(wrapped)), alone), F.lit(0))
 
 
 def completion(s: Column) -> Column:
