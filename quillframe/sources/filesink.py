@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import shutil
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -50,7 +51,10 @@ class FileSink(DataSource):
         return ROWS
 
     def writer(self, schema: StructType, overwrite: bool) -> FileWriter:
-        return FileWriter(self.options["path"], overwrite, int(self.options.get("indent", 0)), schema.fieldNames())
+        writer = FileWriter(self.options["path"], overwrite, int(self.options.get("indent", 0)), schema.fieldNames())
+        store, staging = opened(writer.staging)
+        store.create_dir(staging, recursive=True)  # tasks make none, so one that runs on after an abort leaves nothing
+        return writer
 
 
 class FileWriter(DataSourceWriter):
@@ -64,10 +68,11 @@ class FileWriter(DataSourceWriter):
         own = f"{staging}/.attempt-{uuid.uuid4().hex}"
         made: set[str] = set()
         names, size = [], 0
+        store.create_dir(own, recursive=False)
         for row in (Row(**(dict.fromkeys(("content", "copy_from")) | dict(zip(self.columns, r, strict=True)))) for r in iterator):
             if row.name.startswith(("/", ".", "_")) or "/." in row.name:
                 raise ValueError(f"{row.name} cannot be a file's name here")
-            _folder(store, f"{own}/{row.name}", made)
+            _folders(store, own, row.name, made)
             with store.open_output_stream(f"{own}/{row.name}") as out:
                 if row.copy_from is not None:
                     source, path = opened(row.copy_from)
@@ -78,7 +83,7 @@ class FileWriter(DataSourceWriter):
                 size += out.tell()
             names.append(row.name)
         for name in names:
-            _folder(store, f"{staging}/{name}", made)
+            _folders(store, staging, name, made)
             store.move(f"{own}/{name}", f"{staging}/{name}")
         return Written(len(names), size)
 
@@ -89,7 +94,6 @@ class FileWriter(DataSourceWriter):
         store, staging = opened(self.staging)
         _, target = opened(self.path)
         told = [m for m in messages if m is not None]
-        store.create_dir(staging, recursive=True)
         for left in store.get_file_info(fs.FileSelector(staging)):
             if left.base_name.startswith(".attempt-"):
                 store.delete_dir(left.path)
@@ -100,29 +104,35 @@ class FileWriter(DataSourceWriter):
             for f in store.get_file_info(fs.FileSelector(staging, recursive=True)):
                 if f.type == fs.FileType.File:
                     name = f.path[len(staging) + 1 :]
-                    _folder(store, f"{target}/{name}", set())
+                    _folders(store, target, name, set())
                     store.move(f.path, f"{target}/{name}")
             store.delete_dir(staging)
             return
         if there:
             store.move(target, f"{staging}-old")
-        _folder(store, target, set())
         store.move(staging, target)
         if there:
             store.delete_dir(f"{staging}-old")
 
     def abort(self, messages: list[Written | None]) -> None:
         store, staging = opened(self.staging)
-        if store.get_file_info(staging).type != fs.FileType.NotFound:
-            store.delete_dir(staging)
-
-
-def _folder(store: fs.FileSystem, path: str, made: set[str]) -> None:
-    """The folder of a file, once."""
-    folder = path.rpartition("/")[0]
-    if folder not in made:
-        store.create_dir(folder, recursive=True)
-        made.add(folder)
+        for _ in range(5):  # a task that still runs may put a file beside those that are deleted
+            try:
+                if store.get_file_info(staging).type != fs.FileType.NotFound:
+                    store.delete_dir(staging)
+                return
+            except OSError:
+                time.sleep(0.2)
+
+
+def _folders(store: fs.FileSystem, root: str, name: str, made: set[str]) -> None:
+    """The folders of a file below a folder that is there, each once."""
+    path = root
+    for part in name.split("/")[:-1]:
+        path = f"{path}/{part}"
+        if path not in made:
+            store.create_dir(path, recursive=False)
+            made.add(path)
 
 
 def write_files(rows: DataFrame, path: str, indent: int = 0, mode: str = "overwrite") -> dict[str, int]:

@@ -7,7 +7,9 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillframe.operators import dataset, pairing
 from quillframe.plans import statements
@@ -71,6 +73,25 @@ def test_sink_is_all_or_nothing(spark, tmp_path):
     assert filesink.write_files(rows(["z.txt"]).limit(0), out)["files"] == 0 and not list(Path(out).rglob("*.txt"))
 
 
+def test_a_task_that_runs_on_leaves_nothing(tmp_path):
+    """After an abort, and after a commit, a task of the same job cannot bring its folder back."""
+    row = Row("name", "content")
+    for end in ("abort", "commit"):
+        writer = filesink.FileSink({"path": str(tmp_path / end)}).writer(StructType.fromDDL("name string, content binary"), True)
+
+        def rows(writer=writer, end=end):
+            yield row("a/b.txt", b"x")
+            getattr(writer, end)([])
+            yield row("c/d.txt", b"y")
+
+        with pytest.raises(OSError):
+            writer.write(rows())
+        with pytest.raises(OSError):
+            writer.write(iter([row("e.txt", b"z")]))
+        writer.abort([])
+    assert [str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()] == [f"commit/{filesink.COUNTS}"] and not list(tmp_path.glob(".*"))
+
+
 def test_statement_files(spark, tmp_path):
     s = statements.native(*made(spark, ("/in/a.v1.pdf", "LGPI", [MONTHLY]), ("/in/b", "é", [])))
     told, counts = files.write_statement_files(statements.nested(s), str(tmp_path / "gold"), ".expected.json", 2)
