@@ -192,8 +192,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     Of the rows with least_words words, percent in a hundred are drawn, those of the highest scores; others have a null
     rank. Null and empty texts have no features and weight 0, and are not drawn. Equal scores go by doc_id, null last, and
     rows with one doc_id by the order of the table; each row stands for itself, so repeated rows may all be drawn. A null
-    doc_id has the noise of an empty one. Without target texts, or with texts of one distribution, weights are near 0 and
-    the draw is by noise alone. Without documents there are no rows. Texts of any length are read whole, other columns are
+    doc_id has the noise of an empty one. Without target texts the target is even over the buckets. Without documents there are no rows. Texts of any length are read whole, other columns are
     ignored.
     """
     with scratch() as keep:
