@@ -24,7 +24,7 @@ DECIMALS = 9
 #: Rules up to this many are literals of the plan; more are a table that is joined.
 LITERAL_RULES = 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?:href|src|HREF|SRC)\s*=\s*["']?(?:[hH][tT][tT][pP][sS]?:)?//([^/?#"'\s<>]+)"""
+LINK = r"""(?:[hH][rR][eE][fF]|[sS][rR][cC])\s*=\s*["']?(?:[hH][tT][tT][pP][sS]?:)?//([^/?#"'\s<>]+)"""
 
 
 def host_of(url: Column) -> Column:

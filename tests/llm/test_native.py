@@ -41,9 +41,9 @@ def test_propagation_matches_power_iteration(spark):
 
 def test_links_give_verdicts(spark):
     link = lambda *hosts: " ".join(f'<a href="http://{h}/x">' for h in hosts)
-    rows = [(1, "http://bad.net/es/", ""), (2, "http://farm.org/", link("bad.net", "BAD.net")), (3, "http://good.com/", link("friend.org")), (4, "http://friend.org/", ""), (5, "http://alone.org/", '<a href="/bad.net">')]
+    rows = [(1, "http://bad.net/es/", ""), (2, "http://farm.org/", link("bad.net", "BAD.net")), (3, "http://good.com/", link("friend.org")), (4, "http://friend.org/", ""), (5, "http://alone.org/", '<a href="/bad.net">'), (6, "http://mixed.org/", "<A Href = 'HTTPS://Bad.net/y'> <img Src=//bad.net>")]
     got = {r.page_id: r.verdict for r in url_trust.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
-    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block"}
     assert url_trust.judge(spark.createDataFrame([], "page_id long, url string, html string"), RULES).count() == 0
 
 
