@@ -51,9 +51,9 @@ def extract(spark: SparkSession, path: str, decoder: files.Decoder | None = None
     return statements.Statements(a.documents.unionByName(b.documents), a.lines.unionByName(b.lines), a.cells.unionByName(b.cells)), rejects
 
 
-def convert_exports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(documents, lines, cells, line_rejects, file_rejects) of annotation exports in a folder. A file that is no JSON object, or that has a month that is not yyyy-MM or a confidence out of range, is refused as a whole."""
-    raw = files.json_texts(spark, path).select(F.col("name").alias("doc_id"), semistructured.strict_object(F.col("value")).alias("v"))
+def convert_exports(spark: SparkSession, path: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, lines, cells, line_rejects, file_rejects) of annotation exports in a folder, compressed ones if glob ends in .gz. A file that is no JSON object, or that has a month that is not yyyy-MM or a confidence out of range, is refused as a whole."""
+    raw = files.json_texts(spark, path, glob).select(F.col("name").alias("doc_id"), semistructured.strict_object(F.col("value")).alias("v"))
     lines, cells, rejects = semistructured.export_lines(raw)
     bad = cells.filter(x.month_prefix(F.col("month")).isNull()).select("doc_id", F.lit("month is not yyyy-MM").alias("reason"))
     bad = bad.union(lines.filter(~F.col("confidence").between(0, 1)).select("doc_id", F.lit("confidence out of range")))

@@ -73,9 +73,9 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_texts(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """(name, value) of whole files; parse with semistructured.strict_object, whose nulls are the failures."""
+    """(name, value) of whole files, of which the name is given without .gz; parse with semistructured.strict_object, whose nulls are the failures."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
-    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1).alias("name"), "value")
+    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(\.gz)?$", 1).alias("name"), "value")
 
 
 def statements(spark: SparkSession, path: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:

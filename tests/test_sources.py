@@ -190,6 +190,14 @@ def test_lines_keep_their_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_compressed_texts(spark, tmp_path):
+    out = str(tmp_path / "out")
+    filesink.write_files(spark.createDataFrame([("a.json.gz", b'{"t": "aaaaaaaaaa"}' * 99), ("b.json", b"{}"), ("c.gz", b"x")], "name string, content binary"), out)
+    assert files.json_texts(spark, out, "*.json.gz").collect() == [Row(name="a.json", value='{"t": "aaaaaaaaaa"}' * 99)]
+    assert files.json_texts(spark, out, "[a-z]*.json").collect() == [Row(name="b.json", value="{}")]
+    assert (tmp_path / "out/a.json.gz").stat().st_size < 99
+
+
 def test_split_files_are_ascii(spark, tmp_path):
     rows = spark.createDataFrame([("é €", None, "test")], "image string, output string, split string")
     files.write_split(rows, str(tmp_path / "s"))
