@@ -13,6 +13,8 @@ FENCE = "```"
 # The members that may name an image, in order.
 IMAGE_KEYS = ("image", "image_name", "file_name", "filename", "source", "uri")
 _END = secrets.token_hex(16)
+#: The characters of the property White_Space.
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strict_object(s: Column) -> Column:
@@ -20,7 +22,7 @@ def strict_object(s: Column) -> Column:
     wrapped = F.try_parse_json(F.concat(F.lit("["), s, F.lit(f',"{_END}"]')))
     alone = lambda p: F.when(F.try_variant_get(p, "$[1]", "string") == _END, F.try_variant_get(p, "$[0]", "variant"))
     # the lambda keeps the text from being parsed once for each use
-    return F.get(F.transform(F.when(F.regexp_like(s, F.lit(r"(?sU)^\s*\{.*\}\s*$")), F.array(wrapped)), alone), F.lit(0))
+    return F.get(F.transform(F.when(F.startswith(F.ltrim(s, F.lit(_SPACE)), F.lit("{")) & F.endswith(F.rtrim(s, F.lit(_SPACE)), F.lit("}")), F.array(wrapped)), alone), F.lit(0))
 
 
 def completion(s: Column) -> Column:
@@ -51,13 +53,18 @@ def elements(df: DataFrame, found: Column, keep: list[str], name: str, pos: str)
     return df.select(*keep, F.posexplode_outer(found).alias(pos, name)).filter(F.col(pos).isNotNull())
 
 
+def computed(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: a filter on them is not moved to before them, where Spark would compute them for itself."""
+    return df.select(*keep, F.inline_outer(F.array(F.struct(*columns))))
+
+
 def completion_lines(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """J2, J3 of raw(doc_id, v): (lines, cells). Elements that are no objects and codes without 13 digits are left out; a month's quantities are summed."""
     products = elements(raw, items(F.col("v"), "$.products"), ["doc_id"], "product", "line_no").filter(is_object(F.col("product")))
-    products = products.withColumn("code_produit", x.code_digits(as_text(F.col("product"), "$.code_produit"))).filter(x.is_code(F.col("code_produit")))
+    products = computed(products, ["doc_id", "line_no", "product"], x.code_digits(as_text(F.col("product"), "$.code_produit")).alias("code_produit")).filter(x.is_code(F.col("code_produit")))
     lines = products.select("doc_id", "line_no", "code_produit", as_text(F.col("product"), "$.designation").alias("designation"))
     sales = elements(products, items(F.col("product"), "$.sales"), ["doc_id", "line_no", "code_produit"], "sale", "sale_no").filter(is_object(F.col("sale")))
-    sales = sales.select("doc_id", "line_no", "code_produit", x.month_prefix(as_text(F.col("sale"), "$.month")).alias("month"), x.truncated(as_text(F.col("sale"), "$.quantity")).alias("quantity"))
+    sales = computed(sales, ["doc_id", "line_no", "code_produit"], x.month_prefix(as_text(F.col("sale"), "$.month")).alias("month"), x.truncated(as_text(F.col("sale"), "$.quantity")).alias("quantity"))
     cells = sales.filter("month is not null and quantity is not null").groupBy("doc_id", "line_no", "code_produit", "month").agg(F.sum("quantity").alias("quantity"))
     return lines, cells
 
@@ -109,18 +116,19 @@ def entities(raw: DataFrame, kind: str) -> DataFrame:
 
 def entity_cells(found: DataFrame, keep: list[str]) -> DataFrame:
     """(*keep, month, quantity) of the sales_by_month properties of found(*keep, props), props being typed(), with both a month and a whole number; a month's quantities are summed. Months are not checked here."""
-    sales = elements(found, of_type(F.col("props"), "sales_by_month"), keep, "sale", "sale_no").select(*keep, typed(items(F.col("sale"), "$.properties")).alias("parts"))
-    out = sales.select(*keep, F.substring(first_text(F.col("parts"), "month_period_normalized"), 1, 7).alias("month"), x.whole(first_text(F.col("parts"), "sales_quantity")).alias("quantity"))
+    sales = elements(found, of_type(F.col("props"), "sales_by_month"), keep, "sale", "sale_no")
+    sales = computed(sales, keep, typed(items(F.col("sale"), "$.properties")).alias("parts"))
+    out = computed(sales, keep, F.substring(first_text(F.col("parts"), "month_period_normalized"), 1, 7).alias("month"), x.whole(first_text(F.col("parts"), "sales_quantity")).alias("quantity"))
     return out.filter("month is not null and quantity is not null").groupBy(*keep, "month").agg(F.sum("quantity").alias("quantity"))
 
 
 def export_lines(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """J7 of raw(doc_id, v): (lines, cells, rejects). A product line whose first product_ean has not 13 digits is a reject with a reason."""
-    told = entities(raw, "product_line").select("doc_id", F.col("entity_no").alias("line_no"), "entity", typed(items(F.col("entity"), "$.properties")).alias("props"))
-    found = told.select(
-        "doc_id",
-        "line_no",
-        "props",
+    told = entities(raw, "product_line").withColumnRenamed("entity_no", "line_no")
+    told = computed(told, ["doc_id", "line_no", "entity"], typed(items(F.col("entity"), "$.properties")).alias("props"))
+    found = computed(
+        told,
+        ["doc_id", "line_no", "props"],
         x.text(first_text(F.col("props"), "product_ean")).alias("raw_code"),
         x.text(first_text(F.col("props"), "product_designation")).alias("designation"),
         F.coalesce(F.try_variant_get(F.col("entity"), "$.confidence", "double"), F.lit(1.0)).alias("confidence"),
@@ -135,13 +143,13 @@ def export_totals(raw: DataFrame) -> DataFrame:
     """(doc_id, month, quantity) of the first total_line."""
     first = F.get(of_type(typed(items(F.col("v"), "$.entities")), "total_line"), F.lit(0))
     props = typed(items(F.col("entity"), "$.properties"))
-    return entity_cells(raw.select("doc_id", first.alias("entity")).filter("entity is not null").select("doc_id", props.alias("props")), ["doc_id"])
+    return entity_cells(computed(raw, ["doc_id"], first.alias("entity")).filter("entity is not null").select("doc_id", props.alias("props")), ["doc_id"])
 
 
 def export_dates(raw: DataFrame) -> DataFrame:
     """(doc_id, generated_at) of the first report_date of documents that have one, null if that is no date."""
     text = first_text(typed(items(F.col("v"), "$.entities")), "report_date")
-    return raw.select("doc_id", text.alias("t")).filter("t is not null").select("doc_id", x.report_date(F.col("t")).alias("generated_at"))
+    return computed(raw, ["doc_id"], text.alias("t")).filter("t is not null").select("doc_id", x.report_date(F.col("t")).alias("generated_at"))
 
 
 def image_name(s: Column) -> Column:
