@@ -88,7 +88,7 @@ ENCODINGS = (
 #: Letters of tokens, and in their order the class of each: lower case, upper case, digit, sign.
 LETTERS = ENCODINGS[-1].letters
 CLASSES = [kind(c) for c in LETTERS]
-WORD, FIT_ROWS, WINDOW = r"[A-Za-z0-9+/_=-]+", 4096, 32
+WORD, WINDOW = r"[A-Za-z0-9+/_=-]+", 32
 #: Shares of the model of ordinary text: a letter after its neighbour, one of the last WINDOW again, the next of the alphabet.
 AFTER, AGAIN, NEXT = 0.75, 0.2, 0.05
 #: Prior shares of the four classes at a start and after each class, and letters of European languages in a thousand, a to z.
@@ -241,11 +241,10 @@ def model(counts: dict[tuple[int, int], int]) -> list[float]:
     return out
 
 
-def ordinary(docs: DataFrame, fit_rows: int = FIT_ROWS) -> list[float]:
-    """The model of ordinary text from the distinct words under MIN_LENGTH of about fit_rows rows of docs, chosen by hash: at most a few thousand counts reach the driver."""
-    part = F.pmod(F.xxhash64(F.lit(59), "doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / max(1, docs.count())))
-    words = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(part).select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
-    words = words.filter(F.length("word") < MIN_LENGTH).distinct()
+def ordinary(docs: DataFrame) -> list[float]:
+    """The model of ordinary text from the distinct words under MIN_LENGTH of all rows of docs: at most a few thousand counts reach the driver. Words are made distinct within a row, then within a task, and only those are shuffled."""
+    found = F.array_distinct(F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0)))
+    words = docs.select(F.explode(F.filter(found, lambda w: F.length(w) < MIN_LENGTH)).alias("word")).distinct()
     at = F.transform(F.split("word", ""), lambda c: F.instr(F.lit(LETTERS), c))
     both = words.select(at.alias("at")).select(F.explode(F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice("at", 1, F.size("at") - 1)).alias("a"), F.col("at").alias("b"))).alias("x"))
     return model({(r.a, r.b): r["count"] for r in both.groupBy("x.a", "x.b").count().collect()})

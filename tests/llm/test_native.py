@@ -289,3 +289,12 @@ def test_digest(spark):
     text = docs.filter(docs.doc_id == r.doc_id).first().text
     told = ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in base_spans(text))
     assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest() and r.spans == told
+
+
+def test_ordinary_words_of_all_rows(spark):
+    """The model counts the letters of the distinct words of every row, however many rows there are."""
+    docs = spark.range(0, 9000, 1, 4).selectExpr("id as doc_id", "concat('the ', translate(cast(id as string), '0123456789', 'abcdefghij'), ' the x', id, ' averyveryverylongword') as text")
+    words = {w for r in docs.collect() for w in r.text.split() if len(w) < secret_scan.MIN_LENGTH}
+    at = secret_scan.LETTERS.index
+    pairs = Counter((at(w[i - 1]) + 1 if i else 0, at(c) + 1) for w in words for i, c in enumerate(w))
+    assert secret_scan.ordinary(docs) == secret_scan.model(pairs)
