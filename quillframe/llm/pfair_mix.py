@@ -108,8 +108,8 @@ def tempered(counts: dict[str, int], temper: float = TEMPER) -> dict[str, float]
     return {s: n**temper / total for s, n in counts.items()}
 
 
-def _shares(sources: DataFrame, given: dict[str, float]) -> tuple[dict[str, float], Callable[[Column], Column]]:
-    """The weights of sources(of), and what names the source or group of sources that a row is placed with: each of the MOST_SOURCES of most rows is one, and REST all others."""
+def _shares(sources: DataFrame, given: dict[str, float]) -> tuple[dict[str, float], Callable[[Column], Column], Callable[[Column, Column], Column]]:
+    """The weights of sources(of), what names the source or group of sources that a row is placed with (each of the MOST_SOURCES of most rows is one, and REST all others), and the weight of a source of so many rows among the others of REST."""
     counts = written(sources.groupBy("of").agg(F.count(F.lit(1)).alias("n")))
     top = [(r.of, r.n) for r in counts.orderBy(F.desc("n"), "of").limit(MOST_SOURCES + 1).collect()]
     own = dict(top if len(top) <= MOST_SOURCES else top[:MOST_SOURCES])
@@ -127,7 +127,33 @@ def _shares(sources: DataFrame, given: dict[str, float]) -> tuple[dict[str, floa
             lifted = {x: n**TEMPER for x, n in own.items()} | {REST: rest.agg(F.sum(F.pow("n", F.lit(TEMPER)))).first()[0]}
             shares = {x: w / sum(lifted.values()) for x, w in lifted.items()}
     discard(counts)
-    return shares, lambda name: name if rest is None else F.when(name.isin(list(own)), name).otherwise(F.lit(REST))
+    told = [(x, w) for x, w in given.items() if w > 0]
+
+    def weight(name: Column, n: Column) -> Column:
+        if not given:
+            return F.pow(n, F.lit(TEMPER))
+        known = F.map_from_entries(F.array(*(F.struct(F.lit(x), F.lit(float(w))) for x, w in told))) if told else None
+        return F.lit(float(usual)) if known is None else F.coalesce(F.try_element_at(known, name), F.lit(float(usual)))
+
+    return shares, lambda name: name if rest is None else F.when(name.isin(list(own)), name).otherwise(F.lit(REST)), weight
+
+
+def _within_rest(parts: DataFrame, weight: Callable[[Column, Column], Column], block_rows: int) -> DataFrame:
+    """(part, of, from, to, less): where the rows of parts(part, name, n, from) of the sources of REST stand in their common order: rows numbered from to to of a part, less less. Each source's blocks of block_rows have deadlines in proportion to its weight, and all blocks run in order of deadlines, ties by source, so each source has its share of REST; the order is by a sort in ranges, whatever the number of sources."""
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = parts.select("part", "name", "from", "n", before.alias("before"), F.sum("n").over(Window.partitionBy("name")).alias("all"))
+    block = lambda rank: F.floor(rank / block_rows).cast("long")
+    own = own.select("*", F.explode(F.sequence(block(F.col("before")), block(F.col("before") + F.col("n") - 1))).alias("block"))
+    first = F.greatest(F.col("before"), F.col("block") * block_rows)
+    end = F.least(F.col("before") + F.col("n"), (F.col("block") + 1) * block_rows)
+    own = own.select("part", (F.col("from") + first - F.col("before")).alias("from"), (end - first).alias("n"), ((F.col("block") + 1) / weight(F.col("name"), F.col("all"))).alias("due"), "name", first.alias("first"))
+    ranged = numbered(own.orderBy("due", "name", "first"), "at")
+    task = F.shiftright("at", _PART)
+    sizes = ranged.groupBy(task.alias("task")).agg(F.sum("n").alias("all"))
+    starts = sizes.select("task", F.coalesce(F.sum("all").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row a task
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("task").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("task", task).withColumn("earlier", earlier).join(F.broadcast(starts), "task")
+    return placed.select("part", F.lit(REST).alias("of"), "from", (F.col("from") + F.col("n")).alias("to"), (F.col("start") + F.col("earlier") - F.col("from")).alias("less"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -139,8 +165,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     get a place; texts may be null, empty or of any length. Within a source rows keep the order of the table's parts, which
     is the same again for the same files, settings and cluster. A table without rows gives none. Columns of docs stay as
     they are; a column of docs with one of the new names, in any case, is left out. There may be any number of sources: the
-    MOST_SOURCES of most rows have windows of their own, all others are placed as one source with the sum of their weights,
-    so the driver's work has a bound. most: rows of the table of counts by part and source to broadcast at once; beyond,
+    MOST_SOURCES of most rows have windows of their own, all others share those of one source with the sum of their weights,
+    within which their blocks run by deadlines of their own, sorted by Spark, so the driver's work has a bound. most: rows of the table of counts by part and source (and block, of such others) to broadcast at once; beyond,
     ranges of parts are placed one after another.
     """
     new = ("mix_slot", "mix_block", "mix_position")
@@ -150,21 +176,24 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
         pre += "_"
     spark, own = docs.sparkSession, lambda c: F.col(pre + c)
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    shares, label = _shares(docs.select(name.alias("of")), {f"={x}": w for x, w in (weights or {}).items()})
-    rows = numbered(docs.withColumn(pre + "of", label(name)).sortWithinPartitions(pre + "of"), pre + "at")
+    shares, label, weight = _shares(docs.select(name.alias("of")), {f"={x}": w for x, w in (weights or {}).items()})
+    rows = numbered(docs.withColumn(pre + "of", label(name)).withColumn(pre + "name", name).sortWithinPartitions(pre + "of", pre + "name"), pre + "at")
     part = F.shiftright(own("at"), _PART)
-    parts = written(rows.groupBy(part.alias("part"), own("of").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min(own("at")).alias("from")))
+    parts = written(rows.groupBy(part.alias("part"), own("of").alias("of"), own("name").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min(own("at")).alias("from")))
     counts = {r.of: r.n for r in parts.groupBy("of").agg(F.sum("n").alias("n")).collect()}
     plan = phases(counts, shares, block_rows)
     ends = [*(p.done for p in plan), {}][1:]
     told = [(x, p.done[x], end.get(x), p.first, p.quotas[x], p.short, p.places[x]) for p, end in zip(plan, ends, strict=True) for x in p.done]
     spans = F.broadcast(spark.createDataFrame(told, "of string, done long, until long, first long, quota long, short long, places array<int>").withColumnsRenamed({c: pre + "s_" + c for c in ("of", "done", "until", "first", "quota", "short", "places")}))
     before = F.sum("n").over(Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = written(parts.select(F.col("part").alias(pre + "p_part"), F.col("of").alias(pre + "p_of"), (F.coalesce(before, F.lit(0)) - F.col("from")).alias(pre + "p_less")))
+    lone = parts.filter(F.col("of") != REST).select("part", "of", "from", (F.col("from") + F.col("n")).alias("to"), (F.coalesce(before, F.lit(0)) - F.col("from")).alias("less"))
+    if REST in counts:
+        lone = lone.unionByName(_within_rest(parts.filter(F.col("of") == REST).drop("of"), weight, block_rows))
+    offsets = written(lone.withColumnsRenamed({c: pre + "p_" + c for c in ("part", "of", "from", "to", "less")}))
     discard(parts)
 
     def placed(some: DataFrame, there: DataFrame) -> DataFrame:
-        out = some.join(F.broadcast(there), (part == own("p_part")) & (own("of") == own("p_of"))).withColumn(pre + "rank", own("at") + own("p_less"))
+        out = some.join(F.broadcast(there), (part == own("p_part")) & (own("of") == own("p_of")) & (own("at") >= own("p_from")) & (own("at") < own("p_to"))).withColumn(pre + "rank", own("at") + own("p_less"))
         out = out.withColumn(pre + "block", F.floor(own("rank") / block_rows).cast("long"))
         out = out.join(spans, (own("of") == own("s_of")) & (own("block") >= own("s_done")) & (own("s_until").isNull() | (own("block") < own("s_until"))))
         turn = own("block") - own("s_done")

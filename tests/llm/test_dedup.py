@@ -408,3 +408,14 @@ def test_vectors_of_several_lengths(spark):
         q = np.array(rows[i][1])
         want = sorted(((-float(q @ np.array(v)), j) for j, v in rows if j != i and len(v) == len(q)))[:20]
         assert [got[i][k + 1][0] for k in range(20)] == [j for _, j in want]
+
+
+def test_each_source_has_its_share(spark, monkeypatch):
+    """Sources beyond MOST_SOURCES run within the common windows by deadlines of their own, not one after another."""
+    monkeypatch.setattr(pfair_mix, "MOST_SOURCES", 2)
+    docs = spark.range(0, 1000, 1, 3).selectExpr("id as doc_id", "case when id < 300 then 'a' when id < 550 then 'b' when id < 750 then 'c' when id < 950 then 'd' else 'e' end as source")
+    rows = pfair_mix.mix(docs, block_rows=4).orderBy("mix_position").collect()
+    assert [r.mix_position for r in rows] == list(range(1000)) and len({r.doc_id for r in rows}) == 1000
+    rest = [r.source for r in rows if r.source not in "ab"]
+    due = lambda s, n: [((i // 4 + 1) / n**0.5, s, i) for i in range(n)]
+    assert rest == [s for _, s, _ in sorted(due("c", 200) + due("d", 200) + due("e", 50))]
