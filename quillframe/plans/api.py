@@ -28,7 +28,7 @@ def from_completions(raw: DataFrame) -> statements.Statements:
     )
     number = lambda df: df.withColumn("table_no", F.lit(0)).withColumnRenamed("line_no", "row_no")
     price = [F.lit(None).cast("double").alias(c) for c in ("pa_cat", "pa_cat_net", "pv_ttc")]
-    return statements.Statements(documents, number(lines).select(*assemble.ROW, "code_produit", "designation", *price), number(cells).select(*assemble.ROW, "month", F.col("quantity").cast("double").alias("quantity")))
+    return statements.Statements(documents, number(lines).select(*assemble.ROW, "code_produit", "designation", *price), number(cells).select(*assemble.ROW, "code_produit", "month", F.col("quantity").cast("double").alias("quantity")))
 
 
 def extract(spark: SparkSession, path: str, decoder: files.Decoder | None = None, factory: Callable[[], engine.Engine] | None = None) -> tuple[statements.Statements, DataFrame]:

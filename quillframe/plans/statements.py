@@ -23,17 +23,33 @@ class Statements:
 
 
 def native(page_texts: DataFrame, raw_cells: DataFrame, rules: Rules = DEFAULT) -> Statements:
-    """Assembly of documents from tables and texts. Months are in descending order; only monthly documents with printed totals are reconciled; a document without tables is monthly and has no lines. Layouts and gathered rows are written once: lines, cells, sums and documents all come from them, and raw_cells is read twice."""
+    """Assembly of documents from tables and texts. Months are in descending order; only monthly documents with printed totals are reconciled; a document without tables is monthly and has no lines. Layouts and the rows that were read are written once: lines, cells, sums and documents all come from them, and raw_cells is read twice."""
     texts = assemble.document_text(page_texts)
-    years = texts.select("doc_id", x.reference_year(F.col("text")).alias("reference_year"))
-    found = tables.once(assemble.layouts(raw_cells, years, rules))
+    found = tables.once(assemble.layouts(raw_cells, _years(texts), rules))
     kinds = assemble.statement_types(found)
-    rows = tables.once(assemble.table_rows(raw_cells, found.join(kinds, "doc_id")))
+    rows = assemble.grid_rows(assemble.table_rows(raw_cells, found.join(kinds, "doc_id")))
+    return _assembled(texts, kinds, tables.once(rows), rules)
+
+
+def native_rows(page_texts: DataFrame, table_rows: DataFrame, rules: Rules = DEFAULT, keep: bool = True) -> Statements:
+    """native() of tables whose rows are gathered already, table_rows(doc_id, table_no, row_no, cols, texts), best dealt by doc_id. With keep the rows that were read are written once; without, each table that is asked for reads them again, which is less if it is only one."""
+    texts = assemble.document_text(page_texts)
+    rows = assemble.grid_rows(assemble.laid_rows(table_rows, _years(texts), rules))
+    rows = tables.once(rows) if keep else rows
+    kinds = rows.filter("row_no = 0").groupBy("doc_id").agg(F.min("statement_type").alias("statement_type"))
+    return _assembled(texts, kinds, rows.filter("row_no > 0"), rules)
+
+
+def _years(texts: DataFrame) -> DataFrame:
+    return texts.select("doc_id", x.reference_year(F.col("text")).alias("reference_year"))
+
+
+def _assembled(texts: DataFrame, kinds: DataFrame, rows: DataFrame, rules: Rules) -> Statements:
+    """A13 of documents' texts and types and the grid_rows() of all their tables."""
     m_lines, m_cells, printed = assemble.grid(rows.filter("statement_type = 'monthly'"))
-    p_lines, p_cells = assemble.period(assemble.period_rows(rows.filter("statement_type = 'period'")))
-    p_cells = p_cells.join(p_lines.select(*assemble.TABLE, "code_produit", "row_no"), [*assemble.TABLE, "code_produit"])
-    lines = m_lines.unionByName(p_lines, allowMissingColumns=True)
-    cells = m_cells.unionByName(p_cells.select(*m_cells.columns))
+    flat = assemble.period_lines(rows.filter("statement_type = 'period'"))
+    lines = m_lines.unionByName(flat.drop("numbers"), allowMissingColumns=True)
+    cells = m_cells.unionByName(assemble.listed(flat, [*assemble.ROW, "code_produit"]))
     checked = reconcile.reconcile(m_cells, printed)
     counts = lines.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("row_count"))
     out = texts.join(kinds, "doc_id", "left").join(counts, "doc_id", "left").join(checked, "doc_id", "left").join(assemble.months_of(cells, descending=True), "doc_id", "left")

@@ -220,3 +220,25 @@ def test_reconcile_and_structure(spark):
     assert off.flags == ["month 2026-02: computed=0.0, printed=5"]
     docs = spark.createDataFrame([(1,), (2,)], "doc_id int")
     assert {r.doc_id: (r.row_count, r.flags) for r in reconcile.structure(docs, cells).collect()} == {1: (3, []), 2: (0, ["no product lines extracted"])}
+
+
+def test_gathered_rows_give_what_cells_give(spark):
+    """Two tables, one with a month twice, one without a header, in rows and as cells."""
+    twice = [[*MONTHLY[0], MONTHLY[0][-1]], [*MONTHLY[1], "4"], [*MONTHLY[2], ""], ["", "TOTAL", "", "", "", "1", "", "2", "3"]]
+    cells = pages(spark, ("a", "", [twice, MONTHLY]), ("b", "", [MONTHLY]))[1]
+    cells = cells.unionByName(cells.filter("doc_id = 'b' and row_no > 0").withColumn("table_no", F.lit(7)))
+    want = assemble.monthly(cells, spark.createDataFrame([], "doc_id string, reference_year int"))
+    got = assemble.grid(assemble.grid_rows(assemble.laid_rows(assemble.gathered(cells)).filter("row_no > 0")))
+    for w, g in zip(want, got, strict=True):
+        rows = sorted(map(repr, w.collect()))
+        assert rows and rows == sorted(map(repr, g.select(*w.columns).collect()))
+
+
+def test_grids_are_dealt_once(spark):
+    """Printing and reading a grid shuffles its orders' items and nothing that was made of them."""
+    from quillframe.plans import queries
+    from tests.oracle import SF
+
+    for name in ("monthly_roundtrip", "monthly_lines", "grid_totals", "native_cells"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert 0 < plan.count("REPARTITION_BY_COL") == plan.count(" Exchange "), name
