@@ -5,7 +5,7 @@ Tables: lines(doc_id, line_no, code_produit), cells(doc_id, line_no, month, quan
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions import exprs as x
@@ -18,16 +18,28 @@ def last_lines(lines: DataFrame) -> DataFrame:
 
 def matched_cells(expected_lines: DataFrame, expected_cells: DataFrame, actual_lines: DataFrame, actual_cells: DataFrame) -> DataFrame:
     """JN1, JN2: (doc_id, line_no, code_produit, month, expected, actual) over the months of either side, for each actual line whose code the gold has; and a row without a month for each other actual line."""
-    gold = last_lines(expected_lines)
-    actual = actual_lines.select("doc_id", "line_no", "code_produit")
-    pairs = actual.join(gold.withColumnRenamed("line_no", "gold_no"), ["doc_id", "code_produit"], "left")
-    want = expected_cells.select("doc_id", F.col("line_no").alias("gold_no"), "month", F.col("quantity").cast("double").alias("expected"), F.lit(None).cast("double").alias("actual"))
-    key = ["doc_id", "line_no", "code_produit"]
-    left = pairs.filter("gold_no is not null").join(want, ["doc_id", "gold_no"]).select(*key, "month", "expected", "actual")
-    right = actual_cells.select("doc_id", "line_no", "month", F.col("quantity").cast("double").alias("actual")).join(pairs.filter("gold_no is not null"), ["doc_id", "line_no"]).select(*key, "month", F.lit(None).cast("double").alias("expected"), "actual")
-    both = left.unionByName(right).groupBy(*key, "month").agg(F.max("expected").alias("expected"), F.max("actual").alias("actual"))
-    extra = pairs.filter("gold_no is null").select(*key, F.lit(None).cast("string").alias("month"), F.lit(None).cast("double").alias("expected"), F.lit(None).cast("double").alias("actual"))
-    return both.unionByName(extra)
+    gold, actual = _with_months(expected_lines, expected_cells), _with_months(actual_lines, actual_cells)
+    no = lambda like: F.lit(None).cast(like.schema["line_no"].dataType)
+    none = F.lit(None).cast("map<string,double>")
+    sides = gold.filter("code_produit is not null").select("doc_id", "code_produit", F.col("line_no").alias("gold_no"), no(actual).alias("line_no"), F.col("months").alias("gold"), none.alias("own"))
+    sides = sides.unionByName(actual.select("doc_id", "code_produit", no(gold).alias("gold_no"), "line_no", none.alias("gold"), F.col("months").alias("own")))
+    # a code's last gold line comes first, then the actual lines
+    by = Window.partitionBy("doc_id", "code_produit").orderBy(F.col("gold_no").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    pairs = sides.select("doc_id", "line_no", "code_produit", F.first("gold").over(by).alias("gold"), "own").filter("line_no is not null")
+    # first the months of the gold, then the line's others; a line that the gold lacks has one row without a month
+    month = F.transform(F.array_union(F.map_keys("gold"), F.map_keys("own")), lambda m: F.struct(m.alias("month"), F.try_element_at("gold", m).alias("expected"), F.try_element_at("own", m).alias("actual")))
+    missing = F.array(F.lit(None).cast("struct<month:string,expected:double,actual:double>"))
+    told = pairs.select("doc_id", "line_no", "code_produit", F.inline_outer(F.coalesce(F.when(F.col("gold").isNotNull(), F.filter(month, lambda m: m.month.isNotNull())), missing)), F.col("gold").isNull().alias("extra"))
+    return told.filter("extra or month is not null").drop("extra")
+
+
+def _with_months(lines: DataFrame, cells: DataFrame) -> DataFrame:
+    """(doc_id, line_no, code_produit, months) of each line, its quantities by month in a map; of several quantities of a month the greatest."""
+    own = cells.select("doc_id", "line_no", F.lit(None).cast("string").alias("code_produit"), "month", F.col("quantity").cast("double").alias("quantity"), F.lit(False).alias("line"))
+    both = lines.select("doc_id", "line_no", F.col("code_produit").alias("code_produit"), F.lit(None).cast("string").alias("month"), F.lit(None).cast("double").alias("quantity"), F.lit(True).alias("line")).unionByName(own)
+    both = both.groupBy("doc_id", "line_no", "month").agg(F.max("code_produit").alias("code_produit"), F.max("quantity").alias("quantity"), F.max("line").alias("line"))
+    found = both.groupBy("doc_id", "line_no").agg(F.max("code_produit").alias("code_produit"), F.map_from_entries(F.collect_list(F.when(F.col("month").isNotNull(), F.struct("month", "quantity")))).alias("months"), F.max("line").alias("line"))
+    return found.filter("line").drop("line")
 
 
 def diffs(cells: DataFrame) -> DataFrame:

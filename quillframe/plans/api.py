@@ -78,10 +78,10 @@ def conversion_counters(documents: DataFrame, line_rejects: DataFrame, file_reje
 
 
 def compare(expected: statements.Statements, actual: statements.Statements) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scores by document, dataset row, differences) of an extraction against gold with the same doc_ids. Lines count in order of tables and rows."""
+    """(scores by document, dataset row, differences) of an extraction against gold with the same doc_ids. Lines count in order of tables and rows. The compared cells are written once, as all three come from them."""
     number = F.col("table_no").cast("long") * 2**32 + F.col("row_no")
     numbered = lambda df: df.withColumn("line_no", number)
-    cells = score.matched_cells(numbered(expected.lines), numbered(expected.cells), numbered(actual.lines), numbered(actual.cells))
+    cells = tables.once(score.matched_cells(numbered(expected.lines), numbered(expected.cells), numbered(actual.lines), numbered(actual.cells)))
     agreed = expected.documents.select("doc_id", F.col("totals_reconciled").alias("expected")).join(actual.documents.select("doc_id", F.col("totals_reconciled").alias("actual")), "doc_id")
     scores = score.by_document(agreed, cells, agreed)
     return scores, score.dataset(scores), score.diffs(cells)

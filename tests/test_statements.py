@@ -242,3 +242,21 @@ def test_grids_are_dealt_once(spark):
     for name in ("monthly_roundtrip", "monthly_lines", "grid_totals", "native_cells"):
         plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert 0 < plan.count("REPARTITION_BY_COL") == plan.count(" Exchange "), name
+
+
+def test_comparison_joins_nothing_of_dealt_lines(spark):
+    from quillframe.plans import queries
+    from tests.oracle import SF
+
+    plan = queries.QUERIES["cell_diffs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("REPARTITION_BY_COL") == plan.count(" Exchange ") and "Join" not in plan
+
+
+def test_comparison_of_repeated_and_missing_lines(spark):
+    """Two lines of one code are both held against the last gold line of it; lines without a code, or of another one, are a row without a month."""
+    lines = lambda *rows: spark.createDataFrame(rows, "doc_id string, line_no int, code_produit string")
+    cells = lambda *rows: spark.createDataFrame(rows, "doc_id string, line_no int, month string, quantity double")
+    gold = lines(("d", 0, "A"), ("d", 1, "A"), ("d", 2, None)), cells(("d", 0, "2026-01", 9.0), ("d", 1, "2026-02", 2.0), ("d", 5, "2026-02", 2.0))
+    own = lines(("d", 0, "A"), ("d", 1, "A"), ("d", 2, "B"), ("d", 3, None)), cells(("d", 0, "2026-02", 2.0), ("d", 1, "2026-03", 1.0), ("d", 2, "2026-01", 1.0))
+    found = sorted((r.line_no, r.month or "", r.expected, r.actual) for r in score.matched_cells(*gold, *own).collect())
+    assert found == [(0, "2026-02", 2.0, 2.0), (1, "2026-02", 2.0, None), (1, "2026-03", None, 1.0), (2, "", None, None), (3, "", None, None)]
