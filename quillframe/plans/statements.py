@@ -73,26 +73,21 @@ def _assembled(texts: DataFrame, kinds: DataFrame, rows: DataFrame, rules: Rules
 
 
 def nested(s: Statements) -> DataFrame:
-    """(doc_id, document, lines, validation): the tables as one object per document, for JSON. Lines are in order of tables and rows."""
+    """(doc_id, document, lines, validation): the tables as one object per document, for JSON. Lines are in order of tables and rows. Lines that have their cells beside them, in numbers as grid_rows() gives them, are joined with none."""
     key = ["doc_id", "table_no", "row_no"]
-    quantities = s.cells.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("month", "quantity")))).alias("quantities"))
+    rows = s.lines
+    if "numbers" not in rows.columns:
+        rows = rows.join(s.cells.groupBy(*key).agg(F.collect_list(F.struct("month", "quantity")).alias("numbers")), key, "left")
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-    body = F.struct(
-        *key[1:],
-        F.struct(
-            "code_produit", "designation", F.struct("pa_cat", "pa_cat_net", "pv_ttc").alias("prices"), F.coalesce("quantities", empty).alias("quantities"), F.lit(1.0).alias("confidence"),
-            F.struct(F.lit(1).alias("page"), F.array(*[F.lit(0.0)] * 4).alias("row_bbox")).alias("source"),
-        ).alias("line"),
+    line = lambda e: F.struct(
+        e.code_produit.alias("code_produit"), e.designation.alias("designation"), e.prices.alias("prices"), F.coalesce(F.map_from_entries(e.numbers), empty).alias("quantities"), F.lit(1.0).alias("confidence"),
+        F.struct(F.lit(1).alias("page"), F.array(*[F.lit(0.0)] * 4).alias("row_bbox")).alias("source"),
     )
-    lines = _ordered(s.lines.join(quantities, key, "left"), body)
+    # maps have no order and a comparison of one's own is slow, so quantities become maps after lines are sorted
+    body = F.struct(*key[1:], "code_produit", "designation", F.struct("pa_cat", "pa_cat_net", "pv_ttc").alias("prices"), F.sort_array("numbers").alias("numbers"))
+    lines = rows.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(body)), line).alias("lines"))
     head = F.struct(
         F.col("doc_id").cast("string").alias("source_file"), "lgo", "statement_type", F.struct(F.col("pharmacy_name").alias("name"), "address", F.col("pharmacy_id").alias("id")).alias("pharmacy"),
         "supplier", "months", F.lit(None).cast("date").alias("generated_at"), "page_count",
     )
     return s.documents.join(lines, "doc_id", "left").select("doc_id", head.alias("document"), "lines", F.struct("totals_reconciled", "row_count", "flags").alias("validation"))
-
-
-def _ordered(rows: DataFrame, body) -> DataFrame:
-    """Maps have no order, so lines are sorted by their numbers alone."""
-    by = lambda a, b: F.when((a.table_no < b.table_no) | ((a.table_no == b.table_no) & (a.row_no < b.row_no)), -1).when((a.table_no == b.table_no) & (a.row_no == b.row_no), 0).otherwise(1)
-    return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(body), by), lambda e: e.line).alias("lines"))

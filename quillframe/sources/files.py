@@ -80,8 +80,10 @@ def json_texts(spark: SparkSession, path: str, glob: str = "*.json") -> DataFram
 
 def statements(spark: SparkSession, path: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """(statements, rejects(name, reason)) of canonical JSON files, checked against the constraints."""
+    from quillframe.operators.semistructured import computed
+
     texts = json_texts(spark, path, glob)
-    parsed = texts.withColumn("s", F.from_json("value", STATEMENT_DDL, {"mode": "PERMISSIVE"}))
+    parsed = computed(texts, ["name"], F.from_json("value", STATEMENT_DDL, {"mode": "PERMISSIVE"}).alias("s"))
     s = F.col("s")
     line = F.get(F.filter(F.transform(s.lines, lambda i: x.bad_line(i.code_produit, F.coalesce(i.confidence, F.lit(1.0)))), lambda r: r.isNotNull()), F.lit(0))
     reason = F.coalesce(F.when(s.isNull() | s.document.isNull(), "not a statement"), x.bad_document(F.coalesce(s.document.months, F.array()), F.coalesce(s.document.page_count, F.lit(1)), F.coalesce(s.validation.row_count, F.lit(0))), line)

@@ -103,6 +103,20 @@ def test_statement_files(spark, tmp_path):
     assert {r.name: len(r.lines) for r in read.collect()} == {"a.v1.expected.json": 2, "b.expected.json": 0} and rejects.count() == 0
 
 
+def test_gold_is_gathered_and_parsed_once(spark, tmp_path):
+    """Lines with their cells beside them need no join, in the order of their numbers; a text is parsed once for its reason and its lines."""
+    documents = spark.createDataFrame([("/in/a.pdf", ["2031-03"], 3)], "doc_id string, months array<string>, row_count int").selectExpr("doc_id", "'' as lgo", "'monthly' as statement_type", "'P' as pharmacy_name", "'' as address", "'1' as pharmacy_id", "'S' as supplier", "months", "1 as page_count", "row_count", "false as totals_reconciled", "array('') as flags")
+    kind = "doc_id string, table_no int, row_no long, code_produit string, designation string, pa_cat double, pa_cat_net double, pv_ttc double, numbers array<struct<month:string,quantity:double>>"
+    rows = [(1, 2, "3400000000002", [("2031-03", 2.0), ("2031-02", 1.0)]), (0, 11, "3400000000011", None), (0, 9, "3400000000009", [])]
+    s = statements.Statements(documents, spark.createDataFrame([("/in/a.pdf", t, n, c, "d", None, 1.5, None, q) for t, n, c, q in rows], kind), None)
+    files.write_statement_files(statements.nested(s), str(tmp_path / "gold"), ".expected.json", 2)
+    read, _ = files.statements(spark, str(tmp_path / "gold"), "*.expected.json")
+    (found,) = read.collect()
+    assert [(i.code_produit, i.quantities) for i in found.lines] == [("3400000000009", {}), ("3400000000011", {}), ("3400000000002", {"2031-02": 1.0, "2031-03": 2.0})]
+    told = read.select("name", F.explode("lines").alias("l")).select("name", "l.code_produit", F.explode("l.quantities"))
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
 def test_pairs_are_copied(spark, tmp_path):
     for d in ("gold", "photos/x", "photos/y"):
         (tmp_path / d).mkdir(parents=True)
