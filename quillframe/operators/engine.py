@@ -154,12 +154,11 @@ def completions(
     return found if counts is None else found.observe(counts, F.count(F.lit(1)).alias("images"), F.count("reason").alias("failed"))
 
 
-def evaluate(images: DataFrame, factory: Callable[[], Engine], gold_lines: DataFrame, gold_cells: DataFrame) -> DataFrame:
-    """Scores by document of an engine against gold: completions, their lines and cells, and the cell-level comparison."""
+def evaluate(images: DataFrame, factory: Callable[[], Engine], gold_lines: DataFrame, gold_cells: DataFrame | None = None) -> DataFrame:
+    """Scores by document of an engine against gold: completions, their lines and cells, and the cell-level comparison. images has a row a doc_id; without gold_cells, gold_lines have their quantities by month in a map own."""
     raw = tables.once(completions(images, factory))
     parsed = raw.select("doc_id", semistructured.completion(raw["completion"]).alias("v"))
-    lines, cells = semistructured.completion_lines(parsed)
-    return score.by_document(images.select("doc_id"), score.matched_cells(gold_lines, gold_cells, lines, cells))
+    return score.by_document(images.select("doc_id"), score.matched_cells(gold_lines, gold_cells, semistructured.completion_own(parsed), None))
 
 
 def messages(demos: DataFrame, template: str = TEMPLATE) -> DataFrame:

@@ -16,8 +16,8 @@ def last_lines(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "code_produit").agg(F.max("line_no").alias("line_no"))
 
 
-def matched_cells(expected_lines: DataFrame, expected_cells: DataFrame, actual_lines: DataFrame, actual_cells: DataFrame) -> DataFrame:
-    """JN1, JN2: (doc_id, line_no, code_produit, month, expected, actual) over the months of either side, for each actual line whose code the gold has; and a row without a month for each other actual line."""
+def matched_cells(expected_lines: DataFrame, expected_cells: DataFrame | None, actual_lines: DataFrame, actual_cells: DataFrame | None) -> DataFrame:
+    """JN1, JN2: (doc_id, line_no, code_produit, month, expected, actual) over the months of either side, for each actual line whose code the gold has; and a row without a month for each other actual line. A side without cells has its quantities by month in a map own of its lines, of which a line_no is one."""
     gold, actual = _with_months(expected_lines, expected_cells), _with_months(actual_lines, actual_cells)
     no = lambda like: F.lit(None).cast(like.schema["line_no"].dataType)
     none = F.lit(None).cast("map<string,double>")
@@ -33,8 +33,10 @@ def matched_cells(expected_lines: DataFrame, expected_cells: DataFrame, actual_l
     return told.filter("extra or month is not null").drop("extra")
 
 
-def _with_months(lines: DataFrame, cells: DataFrame) -> DataFrame:
+def _with_months(lines: DataFrame, cells: DataFrame | None) -> DataFrame:
     """(doc_id, line_no, code_produit, months) of each line, its quantities by month in a map; of several quantities of a month the greatest."""
+    if cells is None:
+        return lines.select("doc_id", "line_no", "code_produit", F.col("own").alias("months"))
     own = cells.select("doc_id", "line_no", F.lit(None).cast("string").alias("code_produit"), "month", F.col("quantity").cast("double").alias("quantity"), F.lit(False).alias("line"))
     both = lines.select("doc_id", "line_no", F.col("code_produit").alias("code_produit"), F.lit(None).cast("string").alias("month"), F.lit(None).cast("double").alias("quantity"), F.lit(True).alias("line")).unionByName(own)
     both = both.groupBy("doc_id", "line_no", "month").agg(F.max("code_produit").alias("code_produit"), F.max("quantity").alias("quantity"), F.max("line").alias("line"))

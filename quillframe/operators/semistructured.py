@@ -60,27 +60,50 @@ def computed(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
 
 def completion_lines(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """J2, J3 of raw(doc_id, v): (lines, cells). Elements that are no objects and codes without 13 digits are left out; a month's quantities are summed."""
-    products = elements(raw, items(F.col("v"), "$.products"), ["doc_id"], "product", "line_no").filter(is_object(F.col("product")))
-    products = computed(products, ["doc_id", "line_no", "product"], x.code_digits(as_text(F.col("product"), "$.code_produit")).alias("code_produit")).filter(x.is_code(F.col("code_produit")))
+    products = _products(raw)
     lines = products.select("doc_id", "line_no", "code_produit", as_text(F.col("product"), "$.designation").alias("designation"))
     sales = elements(products, items(F.col("product"), "$.sales"), ["doc_id", "line_no", "code_produit"], "sale", "sale_no").filter(is_object(F.col("sale")))
-    sales = computed(sales, ["doc_id", "line_no", "code_produit"], x.month_prefix(as_text(F.col("sale"), "$.month")).alias("month"), x.truncated(as_text(F.col("sale"), "$.quantity")).alias("quantity"))
+    sales = computed(sales, ["doc_id", "line_no", "code_produit"], *_sale(F.col("sale")))
     cells = sales.filter("month is not null and quantity is not null").groupBy("doc_id", "line_no", "code_produit", "month").agg(F.sum("quantity").alias("quantity"))
     return lines, cells
 
 
+def completion_own(raw: DataFrame) -> DataFrame:
+    """completion_lines() of raw(doc_id, v) with a row a doc_id, as one table (doc_id, line_no, code_produit, designation, own): each line with its quantities by month in a map, so that a completion is parsed once and nothing is shuffled."""
+    sales = F.transform(items(F.col("product"), "$.sales"), lambda s: F.when(is_object(s), F.struct(*_sale(s))))
+    told = computed(_products(raw), ["doc_id", "line_no", "code_produit"], as_text(F.col("product"), "$.designation").alias("designation"), F.filter(sales, lambda s: s.month.isNotNull() & s.quantity.isNotNull()).alias("sales"))
+    months = F.array_distinct("sales.month")
+    total = lambda m: F.aggregate(F.filter("sales", lambda s: s.month == m), F.lit(0).cast("bigint"), lambda a, s: a + s.quantity)
+    own = F.when(F.size(months) == F.size("sales"), F.map_from_entries("sales")).when(F.size("sales") > 0, F.map_from_arrays(months, F.transform(months, total)))
+    return told.select("doc_id", "line_no", "code_produit", "designation", F.coalesce(own, F.create_map().cast("map<string,bigint>")).cast("map<string,double>").alias("own"))
+
+
+def _products(raw: DataFrame) -> DataFrame:
+    """(doc_id, line_no, product, code_produit) of the products with a code."""
+    products = elements(raw, items(F.col("v"), "$.products"), ["doc_id"], "product", "line_no").filter(is_object(F.col("product")))
+    return computed(products, ["doc_id", "line_no", "product"], x.code_digits(as_text(F.col("product"), "$.code_produit")).alias("code_produit")).filter(x.is_code(F.col("code_produit")))
+
+
+def _sale(v: Column) -> tuple[Column, Column]:
+    return x.month_prefix(as_text(v, "$.month")).alias("month"), x.truncated(as_text(v, "$.quantity")).alias("quantity")
+
+
 def completion_documents(raw: DataFrame) -> DataFrame:
     """J2 of raw(doc_id, v): (doc_id, statement_type, pharmacy_name, pharmacy_id, supplier, generated_at)."""
     v = F.col("v")
     return raw.select("doc_id", F.lit("monthly").alias("statement_type"), as_text(v, "$.pharmacy.name").alias("pharmacy_name"), as_text(v, "$.pharmacy.id").alias("pharmacy_id"), as_text(v, "$.supplier").alias("supplier"), x.report_date(as_text(v, "$.report_date")).alias("generated_at"))
 
 
-def completion_of(documents: DataFrame, lines: DataFrame, cells: DataFrame) -> DataFrame:
-    """(doc_id, output): the completion that would give these tables. documents: (doc_id, pharmacy_name, pharmacy_id, supplier, generated_at)."""
-    sale = F.struct(F.concat("month", F.lit("-01")).alias("month"), x.plain_number(F.col("quantity").cast("double")).cast("bigint").alias("quantity"))
-    sales = cells.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(sale)).alias("sales"))
-    product = F.struct("line_no", F.struct("code_produit", "designation", F.coalesce("sales", F.array().cast("array<struct<month:string,quantity:bigint>>")).alias("sales")).alias("p"))
-    products = lines.join(sales, ["doc_id", "line_no"], "left").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(product)), lambda e: e.p).alias("products"))
+def completion_of(documents: DataFrame, lines: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """(doc_id, output): the completion that would give these tables. documents: (doc_id, pharmacy_name, pharmacy_id, supplier, generated_at). Without cells, lines have their quantities by month in a map own, and are joined with nothing but their documents."""
+    sale = lambda month, quantity: F.struct(F.concat(month, F.lit("-01")).alias("month"), x.plain_number(quantity.cast("double")).cast("bigint").alias("quantity"))
+    if cells is None:
+        lines = lines.withColumn("sales", F.transform(F.map_entries("own"), lambda e: sale(e.key, e.value)))
+    else:
+        sales = cells.groupBy("doc_id", "line_no").agg(F.collect_list(sale(F.col("month"), F.col("quantity"))).alias("sales"))
+        lines = lines.join(sales, ["doc_id", "line_no"], "left")
+    product = F.struct("line_no", F.struct("code_produit", "designation", F.coalesce(F.sort_array("sales"), F.array().cast("array<struct<month:string,quantity:bigint>>")).alias("sales")).alias("p"))
+    products = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(product))["p"].alias("products"))
     empty = F.array().cast("array<struct<code_produit:string,designation:string,sales:array<struct<month:string,quantity:bigint>>>>")
     whole = F.struct(F.struct(F.col("pharmacy_name").alias("name"), F.col("pharmacy_id").alias("id")).alias("pharmacy"), "supplier", F.coalesce(F.col("generated_at").cast("string"), F.lit("")).alias("report_date"), F.coalesce("products", empty).alias("products"))
     return documents.join(products, "doc_id", "left").select("doc_id", F.to_json(whole).alias("output"))
