@@ -73,6 +73,21 @@ def test_sink_is_all_or_nothing(spark, tmp_path):
     assert filesink.write_files(rows(["z.txt"]).limit(0), out)["files"] == 0 and not list(Path(out).rglob("*.txt"))
 
 
+def test_rows_reach_the_sink_in_small_batches(spark, tmp_path):
+    """Python before the sink gets batches of the same bound, so names by batch tell how large they are; the setting is the session's own again."""
+    key, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def named(batches):
+        for i, b in enumerate(batches):
+            yield b.assign(name=[f"{i}-{k}" for k in b["id"]])[["name", "content"]]
+
+    rows = spark.range(0, 24, 1, 1).selectExpr("id", "cast(repeat('x', 1 << 20) as binary) as content").mapInPandas(named, "name string, content binary")
+    assert filesink.write_files(rows, str(tmp_path / "out")) == {"files": 24, "bytes": 24 << 20, "tasks": 1}
+    batches = [p.name.split("-")[0] for p in (tmp_path / "out").iterdir() if "-" in p.name]
+    assert len(batches) == 24 and max(map(batches.count, batches)) <= 5
+    assert spark.conf.get(key) == before
+
+
 def test_a_task_that_runs_on_leaves_nothing(tmp_path):
     """After an abort, and after a commit, a task of the same job cannot bring its folder back."""
     row = Row("name", "content")
