@@ -10,9 +10,10 @@ compression. doc_id, place and n_tokens are written without a dictionary by the
 numbers as deltas. Row groups and pages have a bounded size, and pages of each column end at the same few rows, so the page
 indexes let a reader of some doc_ids or of a stretch of the sequence skip most pages; readers that want no ids read none.
 
-Texts are cut before they are encoded, at single spaces between characters that are not white space and at marks after
-letters. The tokenizer never joins what stands before such a place with what follows, so the ids of the pieces, one after
-another, are those of the text; a worker asks the tokenizer only for pieces that it has not met, of which it keeps KEPT bytes.
+Texts are cut before they are encoded, at single spaces between characters that are not white space, at marks after letters
+and after single ends of lines. The tokenizer never joins what stands before such a place with what follows, so the ids of the
+pieces, one after another, are those of the text; a worker asks the tokenizer only for pieces that it does not know. It knows
+KEPT bytes of pieces; beyond, it forgets those that it has met least.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ END = 2
 #: Bytes of a row group and of a page, and the most rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 64 << 10, 256
 #: Bytes of pieces whose ids a worker keeps, and of texts that are cut at a time.
-KEPT, CHUNK = 8 << 20, 1 << 20
-#: A piece with a space at its start and no white space else, how many of these are encoded as one text, and a byte-level tokenizer's letter for a space.
-LONE, JOINED, SPACE = "^ [!-~À-ɏ]+$", 1000, "Ġ"
+KEPT, CHUNK = 16 << 20, 2 << 20
+#: Pieces with a space at their start and no white space else, and without any; how many of these are encoded as one text; a byte-level tokenizer's letters for a space and the end of a line.
+LONE, BARE, JOINED, SPACE, LINE = "^ [!-~À-ɏ]+$", "^[!-~À-ɏ]+$", 50, "Ġ", "Ċ"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -59,17 +60,35 @@ class Encoder:
 
         self.tokenizer, self.end, self.most = Tokenizer.from_file(path), end, kept
         vocabulary = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens, self.breaks = np.zeros((2, max(vocabulary.values()) + 1), bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        """The pieces that are known, and the ids of all of them, one after another: those of piece i are ids[starts[i] : starts[i + 1]]. The last piece is the end id, of no text."""
-        self.known = pa.array([], pa.large_string())
-        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of the known pieces, by hash
+        self.breaks[[i for t, i in vocabulary.items() if t == LINE]] = True
+        # The pieces that are known, in how many chunks each was met again, and the ids of all of them, one after another: those of piece i are ids[starts[i] : starts[i + 1]]. The last piece is the end id, of no text.
+        self.known, self.met = pa.array([], pa.large_string()), np.zeros(0, np.int32)
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # of the known pieces, by hash
         self.starts = np.array([0, 1])
         self.ids = np.array([self.end], np.int32)
 
+    def _forget(self) -> None:
+        """Keeps the known pieces that were met most, half of the bytes at most; what was met long ago counts less each time."""
+        size, least = buffers(self.known)[1], 1
+        size = np.diff(size) + size.itemsize
+        keep = self.met >= least
+        while size[keep].sum() > self.most / 2:
+            least *= 2
+            keep = self.met >= least
+        stay = keep[self.numbers]
+        self.hashes, self.numbers = self.hashes[stay], (np.cumsum(keep, dtype=np.int32) - 1)[self.numbers[stay]]
+        self.ids, ends = self._taken(np.flatnonzero(np.append(keep, True)))
+        self.starts = np.append(0, ends)
+        self.known, self.met = self.known.filter(pa.array(keep)), self.met[keep] // 2
+
+    def _taken(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of the pieces with these numbers: the ids of all, one after another, and where those of each end."""
+        n = np.diff(self.starts)[pieces]
+        ends = np.cumsum(n)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[pieces] - ends + n, n)], ends
+
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """The ids of each text, and the end id; nulls count as empty."""
         data, offsets = buffers(texts)
@@ -77,15 +96,14 @@ class Encoder:
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     def _encode(self, b: np.ndarray, rows: np.ndarray) -> pa.ListArray:
-        cuts = np.sort(np.concatenate([rows, places(b)]))
-        cuts = cuts[np.concatenate([[True], cuts[1:] != cuts[:-1]])]
+        cuts = np.zeros(len(b) + 1, bool)
+        cuts[rows] = cuts[places(b)] = True
+        cuts = np.flatnonzero(cuts)
         coded = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(b))).dictionary_encode()
         piece = self._learned(coded.dictionary)[coded.indices.to_numpy()]
         piece = np.insert(piece, np.searchsorted(cuts, rows[1:]), len(self.known))  # the end of each row
-        n = np.diff(self.starts)[piece]
-        after = np.cumsum(n)
-        ids = self.ids[np.arange(after[-1] if len(after) else 0) + np.repeat(self.starts[piece] - after + n, n)]
-        ends = after[np.flatnonzero(piece == len(self.known))]
+        ids, ends = self._taken(piece)
+        ends = ends[piece == len(self.known)]
         return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))
 
     def _learned(self, pieces: pa.Array) -> np.ndarray:
@@ -102,14 +120,16 @@ class Encoder:
         else:
             hit = np.zeros(0, np.int64)
         hit = hit[pc.equal(self.known.take(pa.array(number[hit])), pieces.take(pa.array(hit))).to_numpy(zero_copy_only=False)]
+        self.met[number[hit]] += 1
         fresh = np.ones(len(pieces), bool)
         fresh[hit] = False
         fresh = np.flatnonzero(fresh)
         if len(fresh):
-            lone = pc.match_substring_regex(pieces.take(pa.array(fresh)), LONE).to_numpy(zero_copy_only=False)
-            fresh = np.concatenate([fresh[lone], fresh[~lone]])
-            new = pieces.take(pa.array(fresh))
-            got = [self._ids(new.slice(0, lone.sum()), JOINED), self._ids(new.slice(lone.sum()), 1)]
+            lone, bare = (pc.match_substring_regex(pieces.take(pa.array(fresh)), x).to_numpy(zero_copy_only=False) for x in (LONE, BARE))
+            kinds = [fresh[lone], fresh[bare], fresh[~(lone | bare)]]
+            fresh = np.concatenate(kinds)
+            lone, bare, rest = (pieces.take(pa.array(x)) for x in kinds)
+            got = [self._opened(lone), self._lined(bare), self._alone(rest)]
             ends = self.starts[-2] + np.cumsum(np.concatenate([n for n, _ in got]))
             self.ids = np.concatenate([self.ids[:-1], *(ids for _, ids in got), [self.end]]).astype(np.int32)
             self.starts = np.concatenate([self.starts[:-1], ends, [ends[-1] + 1]])
@@ -118,22 +138,42 @@ class Encoder:
             place = np.searchsorted(self.hashes, own[fresh][order])
             self.hashes = np.insert(self.hashes, place, own[fresh][order])
             self.numbers = np.insert(self.numbers, place, number[fresh][order])
-            self.known = pa.concat_arrays([self.known, new])
+            self.known = pa.concat_arrays([self.known, lone, bare, rest])
+            self.met = np.append(self.met, np.zeros(len(fresh), np.int32))
         return number
 
-    def _ids(self, pieces: pa.Array, together: int) -> tuple[np.ndarray, np.ndarray]:
-        """(lengths, ids) of the pieces. Several LONE ones make one text, in which a piece begins with each id that begins with a space."""
-        texts = pieces.to_pylist()
-        texts = texts if together == 1 else ["".join(texts[i : i + together]) for i in range(0, len(texts), together)]
+    def _opened(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of LONE pieces. Several make one text, in which a piece begins with each id that begins with a space."""
+        _, ids = self._asked(joined(pieces))
+        first = np.flatnonzero(self.opens[ids])
+        if len(first) != len(pieces):  # a tokenizer that marks spaces in another way
+            return self._alone(pieces)
+        return np.diff(np.append(first, len(ids))), ids
+
+    def _lined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of BARE pieces. Several make one text, each a line of it."""
+        _, ids = self._asked(joined(pc.binary_join_element_wise(pieces, *pa.array(["", "\n"], pa.large_string()))))
+        breaks = np.flatnonzero(self.breaks[ids])
+        if len(breaks) != len(pieces):  # a tokenizer that marks lines in another way
+            return self._alone(pieces)
+        return np.diff(breaks, prepend=-1) - 1, np.delete(ids, breaks)
+
+    def _alone(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of pieces, each of which is a text."""
+        return self._asked(pieces.to_pylist())
+
+    def _asked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of texts, by the tokenizer."""
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter(chain.from_iterable(got), np.int32, lengths.sum())
-        if together > 1:
-            first = np.flatnonzero(self.opens[ids])
-            if len(first) != len(pieces):  # a tokenizer that marks spaces in another way
-                return self._ids(pieces, 1)
-            lengths = np.diff(np.append(first, len(ids)))
-        return lengths, ids
+        return lengths, np.fromiter(chain.from_iterable(got), np.int32, lengths.sum())
+
+
+def joined(pieces: pa.Array) -> list[str]:
+    """Texts of JOINED pieces each."""
+    data, offsets = buffers(pieces)
+    cuts = offsets[[*range(0, len(pieces), JOINED), len(pieces)]]
+    return [data[a:b].tobytes().decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @functools.cache
@@ -153,25 +193,36 @@ def hashes(pieces: pa.Array) -> np.ndarray:
 _VALUES, _POWERS = seeds(256, 17), seeds(512, 19)
 
 
-#: Bytes by what a cut may stand beside: white space or unknown, ASCII characters, of these letters, and marks.
-_SOLID, _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
-_SOLID[0x21:0x7F] = True
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
-_MARK[list(b",.;:!?)\n")] = True
-#: First bytes of characters of two bytes that are no white space.
-_FIRST = np.zeros(256, bool)
-_FIRST[0xC3:0xE0] = True
+#: What a byte may be, by bits: an ASCII character that is no white space, the first of a character of two bytes that is none, the first of a letter of two bytes, an ASCII letter, the second of a letter (but for those of signs among letters), a mark, a space, the end of a line.
+_SOLID, _FIRST, _OPENS, _LETTER, _SECOND, _MARK, _SPACE, _LINE = (np.uint8(1 << i) for i in range(8))
+_KINDS = np.zeros(256, np.uint8)
+for _kind, _bytes in (
+    (_SOLID, range(0x21, 0x7F)),
+    (_FIRST, range(0xC3, 0xE0)),
+    (_OPENS, range(0xC3, 0xCA)),
+    (_LETTER, [*range(65, 91), *range(97, 123)]),
+    (_SECOND, [i for i in range(0x80, 0xC0) if i not in (0x97, 0xB7)]),
+    (_MARK, b",.;:!?)#$%&*\n"),
+    (_SPACE, b" "),
+    (_LINE, b"\n"),
+):
+    _KINDS[list(_bytes)] |= _kind
 
 
 def places(b: np.ndarray) -> np.ndarray:
-    """Places in UTF-8 bytes at which a text may be cut, as no word of the tokenizer reaches over them: before a single space between characters that are no white space (ASCII ones, or of two bytes of which the first tells so), and before a mark or the end of a line that follows an ASCII letter."""
+    """Places in UTF-8 bytes at which a text may be cut, as no word of the tokenizer reaches over them: before a single space between characters that are no white space (ASCII ones, or of two bytes of which the first tells so), before a mark or the end of a line that follows a letter (of ASCII or Latin), and after the end of a line, if it is a single one between such characters."""
     if len(b) < 3:
         return np.zeros(0, np.int64)
-    before, own, after = b[:-2], b[1:-1], b[2:]
-    solid = _SOLID[before]
-    solid[1:] |= _FIRST[b[:-3]]
-    space = (own == 0x20) & solid & (_SOLID | _FIRST)[after]
-    return np.flatnonzero(space | (_MARK[own] & _LETTER[before])) + 1
+    kinds = _KINDS[b]
+    solid, letter = (kinds & _SOLID) != 0, (kinds & _LETTER) != 0  # where a character ends
+    solid[1:] |= (kinds[:-1] & _FIRST) != 0
+    letter[1:] |= ((kinds[:-1] & _OPENS) != 0) & ((kinds[1:] & _SECOND) != 0)
+    begins = (kinds & (_SOLID | _FIRST)) != 0
+    cut = np.zeros(len(b), bool)
+    cut[1:-1] = ((kinds[1:-1] & _SPACE) != 0) & solid[:-2] & begins[2:]
+    cut[1:-1] |= ((kinds[1:-1] & _MARK) != 0) & letter[:-2]
+    cut[2:] |= ((kinds[1:-1] & _LINE) != 0) & solid[:-2] & begins[2:]
+    return np.flatnonzero(cut)
 
 
 def _encoded(path: str, end: int):

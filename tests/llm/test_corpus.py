@@ -136,6 +136,54 @@ def test_pieces_give_the_ids_of_texts(kept):
         assert got.to_pylist() == [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in some]
 
 
+class Counted:
+    """A tokenizer that notes the texts it is asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def counted(**options):
+    encoder = token_files.Encoder(token_files.vocabulary(), **options)
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    return encoder, encoder.tokenizer.texts
+
+
+def test_words_met_often_are_not_asked_for_again():
+    encoder, asked = counted(kept=20_000)
+    whole = Tokenizer.from_file(token_files.vocabulary())
+    often = " ".join(f"often{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(100))
+    for i in range(60):
+        text = f"{often} {' '.join(f'rare{i}x{j}' for j in range(200))} {often}"
+        assert encoder.encode(pa.array([text])).to_pylist() == [[*whole.encode(text, add_special_tokens=False).ids, 2]]
+        assert encoder.known.nbytes < 40_000
+    assert "".join(asked).count("oftenbc") == 1 and "".join(asked).count("rare7x7 ") <= 1
+
+
+def test_words_that_begin_lines_are_asked_for_together():
+    encoder, asked = counted()
+    words = [f"{a}{b}ontö" for a in "ABCDEFGHIJKLMNOPQRST" for b in "abcdefghijklmnopqrst"]
+    text = "\n".join(f"{w} tà.\n{w} x$$$" for w in words)
+    assert encoder.encode(pa.array([text])).to_pylist() == [[*Tokenizer.from_file(token_files.vocabulary()).encode(text, add_special_tokens=False).ids, 2]]
+    assert len(asked) < len(words) / 10
+
+
+@pytest.mark.parametrize("kept", [token_files.KEPT, 3000], ids=["kept", "forgotten"])
+def test_cuts_at_lines_marks_and_letters_of_two_bytes(kept):
+    whole = Tokenizer.from_file(token_files.vocabulary())
+    rng = np.random.default_rng(5)
+    parts = ["\n", "\n\n", "\n", " ", "  ", "\r\n", "\t", "a", "Été", "ö", "×", "÷", "ŗ", "Ə", "е", "\u0301", "\u00a0", "\u0085", "\u2028", "世", "😀", "'s", "'", ".", "$$$", "&", "12", "<|endoftext|>", "|>", "<|"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 40))) for _ in range(4000)]
+    encoder = token_files.Encoder(token_files.vocabulary(), kept=kept)
+    for i in range(0, len(texts), 200):
+        some = texts[i : i + 200]
+        assert encoder.encode(pa.array(some)).to_pylist() == [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in some]
+
+
 def told(rows):
     """The sequence by whole texts, in order of doc_id."""
     whole, at, out, ids = Tokenizer.from_file(token_files.vocabulary()), 0, [], []
