@@ -33,6 +33,13 @@ def reconcile_export(documents: DataFrame, cells: DataFrame, printed: DataFrame)
     return documents.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("ok", F.lit(False)).alias("totals_reconciled"))
 
 
+def reconcile_sales(told: DataFrame) -> DataFrame:
+    """reconcile_export() of told(doc_id, sales) with a row a doc_id, each sale being a struct (month, quantity, printed) with one of the numbers: rows that lie together by document need no shuffle, and nothing is joined."""
+    months = told.select("doc_id", F.inline_outer("sales")).groupBy("doc_id", "month").agg(F.sum(F.col("quantity").cast("double")).alias("computed"), F.max(F.col("printed").cast("double")).alias("printed"))
+    ok = F.when(F.col("printed").isNotNull(), F.coalesce("computed", F.lit(0.0)) == F.col("printed"))
+    return months.groupBy("doc_id").agg(F.coalesce(F.min(ok), F.lit(False)).alias("totals_reconciled"))
+
+
 def structure(documents: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, row_count, flags): documents without lines are flagged."""
     counts = lines.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))

@@ -52,19 +52,18 @@ def extract(spark: SparkSession, path: str, decoder: files.Decoder | None = None
 
 
 def convert_exports(spark: SparkSession, path: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(documents, lines, cells, line_rejects, file_rejects) of annotation exports in a folder, compressed ones if glob ends in .gz. A file that is no JSON object, or that has a month that is not yyyy-MM or a confidence out of range, is refused as a whole."""
-    raw = files.json_texts(spark, path, glob).select(F.col("name").alias("doc_id"), semistructured.strict_object(F.col("value")).alias("v"))
-    lines, cells, rejects = semistructured.export_lines(raw)
-    bad = cells.filter(x.month_prefix(F.col("month")).isNull()).select("doc_id", F.lit("month is not yyyy-MM").alias("reason"))
-    bad = bad.union(lines.filter(~F.col("confidence").between(0, 1)).select("doc_id", F.lit("confidence out of range")))
-    bad = bad.union(raw.filter("v is null").select("doc_id", F.lit("not a JSON object"))).groupBy("doc_id").agg(F.min("reason").alias("reason"))
-    good = lambda df: df.join(bad, "doc_id", "left_anti")
-    raw, lines, cells = good(raw), good(lines), good(cells)
-    text = semistructured.as_text(F.col("v"), "$.text")
-    documents = raw.select("doc_id", F.coalesce(x.fingerprint(text), F.lit("")).alias("lgo"), F.lit("monthly").alias("statement_type"))
-    documents = documents.join(semistructured.export_dates(raw), "doc_id", "left").join(assemble.months_of(cells, descending=False), "doc_id", "left")
-    documents = documents.join(reconcile.reconcile_export(raw, cells, semistructured.export_totals(raw)), "doc_id").join(reconcile.structure(raw, lines).select("doc_id", "row_count"), "doc_id")
-    return documents.withColumn("months", F.coalesce("months", F.array().cast(_NONE))), lines, cells, good(rejects), bad
+    """(documents, lines, cells, line_rejects, file_rejects) of annotation exports in a folder, compressed ones if glob ends in .gz. A file that is no JSON object, or that has a month that is not yyyy-MM or a confidence out of range, is refused as a whole. Each file is read and parsed once: what the tables need of it is written before any of them is made."""
+    told = tables.once(semistructured.exports(files.json_texts(spark, path, glob).withColumnRenamed("name", "doc_id")))
+    good = told.filter("reason is null")
+    lines, rejects = semistructured.line_tables(good)
+    own = F.filter("lines", lambda p: p["good"])
+    documents = good.select(
+        "doc_id", F.coalesce(x.fingerprint(F.col("text")), F.lit("")).alias("lgo"), F.lit("monthly").alias("statement_type"), x.report_date(F.col("date")).alias("generated_at"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform(own, lambda p: p["sales"]["month"])))).alias("months"), F.size(own).alias("row_count"),
+    )
+    sales = good.select("doc_id", semistructured.compared_sales(F.col("lines"), F.col("totals")).alias("sales"))
+    documents = documents.join(reconcile.reconcile_sales(sales), "doc_id").select("doc_id", "lgo", "statement_type", "generated_at", F.coalesce("months", F.array().cast(_NONE)).alias("months"), "totals_reconciled", F.when(F.col("row_count") > 0, F.col("row_count")).otherwise(0).alias("row_count"))
+    return documents, lines, semistructured.line_cells(good), rejects, told.filter("reason is not null").select("doc_id", "reason")
 
 
 def conversion_counters(documents: DataFrame, line_rejects: DataFrame, file_rejects: DataFrame) -> DataFrame:

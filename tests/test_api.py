@@ -86,6 +86,23 @@ def test_convert(spark, tmp_path):
     assert api.conversion_counters(documents, skipped, failures).first()[:] == (1, 1, 3)
 
 
+def test_exports_are_read_once(spark, tmp_path):
+    """All tables come from one reading of the files, so they agree whatever becomes of the files after it."""
+    sale = lambda text, month="2026-01": '{"type": "sales_by_month", "properties": [{"type": "month_period_normalized", "mentionText": "%s-01"}, {"type": "sales_quantity", "mentionText": "4", "normalizedValue": {"text": %s}}]}' % (month, text)
+    line = '{"type": "product_line", "properties": [{"type": "product_ean", "mentionText": "%s"}, %s]}'
+    good = line % ("3400900000001", ", ".join(map(sale, ('"2"', "9", '" +3 "', "null", "{}", '"x"', '"2.0"')))) + ", " + line % ("12", sale('"1"', "soon"))
+    total = '{"type": "total_line", "properties": [%s, 7, %s]}' % (sale('"17"'), sale('"0"', "2026-02"))
+    (tmp_path / "a.json").write_text('{"entities": [5, null, %s, %s, {"type": "total_line"}]}' % (good, total))
+    (tmp_path / "b.json").write_text('{"entities": {}}')
+    (tmp_path / "c.json").write_text('{"entities": [%s], "entities": []}' % good)
+    documents, lines, cells, skipped, failures = api.convert_exports(spark, str(tmp_path))
+    for name in "abc":
+        (tmp_path / f"{name}.json").unlink()
+    assert sorted((r.doc_id, r.totals_reconciled, r.row_count, r.months) for r in documents.collect()) == [("a.json", True, 1, ["2026-01"]), ("b.json", False, 0, [])]
+    assert [r.line_no for r in lines.collect()] == [2] and [r[:] for r in cells.collect()] == [("a.json", 2, "3400900000001", "2026-01", 17)]
+    assert [r[:] for r in skipped.collect()] == [("a.json", 3, "non-13-digit code", "12")] and [r[:] for r in failures.collect()] == [("c.json", "not a JSON object")]
+
+
 def test_training_split(spark, tmp_path):
     for i in range(5):
         (tmp_path / f"g{i}_1.png").write_bytes(b"x")
